@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from changelens.plans import mining
+from changelens.plans import dependency, lifecycle, mining, scanning
 
-_FAMILIES = (mining,)
+_FAMILIES = (mining, scanning, dependency, lifecycle)
 QUERIES = {name: fn for family in _FAMILIES for name, fn in family.QUERIES.items()}
 ORACLES = {name: sql for family in _FAMILIES for name, sql in family.ORACLES.items()}
 
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+flagship = scanning.flagship

@@ -42,3 +42,14 @@ def work_dir(spark: SparkSession, purpose: str) -> str:
         shared = os.path.join(tempfile.gettempdir(), "changelens-" + spark.sparkContext.applicationId)
         spark.conf.set("spark.checkpoint.dir", shared)
     return f"{shared.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+
+
+def materialize(df, purpose: str):
+    """Write a result that several later steps read, and read it back.
+
+    The written table cuts the lineage: losing an executor never repeats the
+    scan behind it, and the scan runs once however many steps follow.
+    """
+    path = work_dir(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
