@@ -13,6 +13,22 @@ from pyspark.sql import functions as F
 SEVERITIES = ("critical", "high", "medium", "low", "info")
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def once(df, **columns: Column):
+    """Add columns that later filters read instead of repeating their expressions.
+
+    The optimizer moves filters below projections and copies the expressions
+    into them; it does not move them below a generator.
+    """
+    kept = [c for c in df.columns if c not in columns]
+    added = F.inline(F.array(F.struct(*[v.alias(k) for k, v in columns.items()])))
+    return df.select(*kept, added).select(*df.columns, *[c for c in columns if c not in df.columns])
+
+
 def any_of(conditions: Iterable[Column]) -> Column:
     """Logical OR of conditions; false when there are none."""
     return reduce(lambda a, b: a | b, conditions, F.lit(False))

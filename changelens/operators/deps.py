@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from changelens.functions.text import contains_any, strip
+from changelens.functions.text import contains_any, once, strip
 from changelens.operators.diffs import added_lines
 from changelens.operators.scan import emit_position
 
@@ -36,26 +36,24 @@ def manifest_dependencies(changes: DataFrame) -> DataFrame:
         F.when(path.contains("requirements") | path.endswith(".txt"), "requirements")
         .when(path.contains("package.json"), "package.json").when(path.contains("go.mod"), "go.mod").when(path.contains("Pipfile"), "Pipfile")
     )
-    typed = lines.filter(contains_any(F.col("diff_file"), MANIFEST_WORDS)).select(
-        *columns, "diff_line", path.alias("file"), text.alias("_t"), kind.alias("_k"))
+    typed = once(
+        lines.filter(contains_any(F.col("diff_file"), MANIFEST_WORDS)).select(*columns, "diff_line", "diff_file", "code"),
+        file=path, _t=text, _k=kind)
     patterns = {"requirements": (REQUIREMENT, 1, 3), "package.json": (NODE_PACKAGE, 1, 2), "go.mod": (GO_REQUIRE, 1, 2), "Pipfile": (PIPFILE, 1, 2)}
 
     def pick(group):
-        out = None
-        for name, (pattern, *groups) in patterns.items():
-            value = F.regexp_extract("_t", pattern, groups[group])
-            out = F.when(F.col("_k") == name, value) if out is None else out.when(F.col("_k") == name, value)
-        return out
-
-    version = pick(1)
-    found = typed.select(
-        *columns, "diff_line", "file", pick(0).alias("name"),
-        F.when(F.col("_k") == "requirements", F.regexp_extract("_t", REQUIREMENT, 2)).alias("operator"),
-        F.when(F.col("_k") == "requirements", F.split_part(version, F.lit(","), F.lit(1)))
-        .when(F.col("_k") == "Pipfile", F.replace(version, F.lit("*"), F.lit("latest"))).otherwise(version).alias("version"),
-        F.when(F.col("_k") == "package.json", "npm").when(F.col("_k") == "go.mod", "Go").otherwise("PyPI").alias("ecosystem"),
-    )
-    return found.filter(F.col("name") != "")
+        return F.coalesce(*[
+            F.when(F.col("_k") == name, F.regexp_extract("_t", pattern, groups[group])) for name, (pattern, *groups) in patterns.items()])
+
+    parsed = once(typed, name=pick(0), _version=pick(1)).filter(F.col("name") != "")
+    version = F.col("_version")
+    return once(
+        parsed,
+        operator=F.when(F.col("_k") == "requirements", F.regexp_extract("_t", REQUIREMENT, 2)),
+        version=F.when(F.col("_k") == "requirements", F.split_part(version, F.lit(","), F.lit(1)))
+        .when(F.col("_k") == "Pipfile", F.replace(version, F.lit("*"), F.lit("latest"))).otherwise(version),
+        ecosystem=F.when(F.col("_k") == "package.json", "npm").when(F.col("_k") == "go.mod", "Go").otherwise("PyPI"),
+    ).select(*columns, "diff_line", "file", "name", "operator", "version", "ecosystem")
 
 
 def advisory_severity(entries: Column) -> Column:

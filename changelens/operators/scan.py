@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from changelens.functions.text import any_of, contains_any, java, literal_rows, matches, strip
+from changelens.functions.text import contains_any, java, literal_rows, matches, strip
 from changelens.operators import rules as R
 from changelens.operators.diffs import added_lines, language_of, AGENT_LANGUAGES
 
@@ -31,11 +31,16 @@ _RULE_SCHEMA = (
 
 @dataclass(frozen=True)
 class Group:
-    """Rules sharing a prefilter: ``tests[i]`` decides the rule described by ``rows[i]``."""
+    """Rules sharing a prefilter: ``tests[i]`` decides the rule described by ``rows[i]``.
+
+    ``needs`` are lower-case literals, one of which is in every line that passes
+    ``guard``; the scan drops all other lines before anything else.
+    """
 
     guard: Column
     tests: tuple[Column, ...]
     rows: tuple[dict, ...]
+    needs: tuple[str, ...]
     deep: bool = True
 
 
@@ -81,7 +86,7 @@ def group_for(name: str) -> Group:
             test = rule_test(rule, pack, text, pair)
             tests.append(test & extra(rule) if extra else test)
             rows.append(describe(no, rule))
-        return Group(base & guard if guard is not None else base, tuple(tests), tuple(rows), deep)
+        return Group(base & guard if guard is not None else base, tuple(tests), tuple(rows), _needs(pack), deep)
 
     if name == "quick_static":
         return pack_group(R.QUICK_STATIC, lambda no, r: _row(
@@ -130,21 +135,21 @@ def group_for(name: str) -> Group:
             name, 44, no, r, agent_type="compliance", category="compliance", numbering="code", confidence_score=0.8,
             suggestion="Implement data retention policy with automatic deletion after defined period"), guard=plain)
     if name == "pii_logging":
-        return _privacy_group(name, 0, plain & contains_any(low, R.LOG_WORDS), [low.contains(f) for f in R.PII_FIELDS], [
+        return _privacy_group(name, 0, plain & contains_any(low, R.LOG_WORDS), R.LOG_WORDS, [low.contains(f) for f in R.PII_FIELDS], [
             ("high", f"PII field '{f}' may be logged in plain text", "Article 5(1)(f) - Data integrity and confidentiality", "CC6.7",
              "Redact or mask PII before logging. Use structured logging with field-level masking.") for f in R.PII_FIELDS])
     if name == "pii_storage":
         guard = plain & contains_any(low, ("store_", "save_")) & ~contains_any(low, R.PROTECTION_WORDS)
-        return _privacy_group(name, 20, guard, [contains_any(low, (f"store_{f}", f"save_{f}")) for f in R.PII_FIELDS], [
+        return _privacy_group(name, 20, guard, ("store_", "save_"), [contains_any(low, (f"store_{f}", f"save_{f}")) for f in R.PII_FIELDS], [
             ("high", f"PII '{f}' may be stored without encryption", "Article 32 - Security of processing", "CC6.1",
              "Encrypt PII at rest using AES-256 or equivalent") for f in R.PII_FIELDS])
     if name == "consent":
         guard = plain & contains_any(low, R.PROCESSING_WORDS)
-        return _privacy_group(name, 40, guard, [~contains_any(low, R.CONSENT_WORDS)], [
+        return _privacy_group(name, 40, guard, R.PROCESSING_WORDS, [~contains_any(low, R.CONSENT_WORDS)], [
             ("medium", "Data processing operation without visible consent verification", "Article 6 - Lawfulness of processing",
              "PI1.1", "Add explicit consent check before processing personal data")])
     if name == "transfer":
-        return _privacy_group(name, 41, plain & low.contains("requests."), [matches(low, R.TRANSFER_PATTERN)], [
+        return _privacy_group(name, 41, plain & low.contains("requests."), ("requests.",), [matches(low, R.TRANSFER_PATTERN)], [
             ("medium", "Data transfer to external service may require GDPR Data Processing Agreement", "Article 28 - Processor",
              "CC9.1", "Ensure DPA exists with external processor and data minimization is applied")])
     if name == "operations":
@@ -159,14 +164,14 @@ def group_for(name: str) -> Group:
     raise KeyError(name)
 
 
-def _privacy_group(name, first, guard, tests, texts) -> Group:
+def _privacy_group(name, first, guard, needs, tests, texts) -> Group:
     rows = [dict(
         pack=name, agent_type="compliance", category="compliance", severity=severity, title=f"GDPR: {text}",
         description=f"{text}. GDPR {article}. SOC2 Control: {control}", suggestion=suggestion, confidence_score=0.75,
         cwe_id=None, owasp_category=None, rule_id=f"{name}-{no}", numbering="code", rule_major=False, rank=40,
         rule_no=first + no,
     ) for no, (severity, text, article, control, suggestion) in enumerate(texts, 1)]
-    return Group(guard, tuple(tests), tuple(rows))
+    return Group(guard, tuple(tests), tuple(rows), tuple(needs))
 
 
 def _context_group(name, rank, guard, functions, lines, words, describe) -> Group:
@@ -178,7 +183,7 @@ def _context_group(name, rank, guard, functions, lines, words, describe) -> Grou
             pack=name, agent_type="compliance", category="compliance", severity="medium", cwe_id=None,
             owasp_category=None, rule_id=f"{name}-{fn}", numbering="code", rule_major=False, rank=rank, rule_no=no,
         ) | describe(fn))
-    return Group(guard, tuple(tests), tuple(rows))
+    return Group(guard, tuple(tests), tuple(rows), ("def",))
 
 
 GDPR_GROUPS = ("pii_logging", "pii_storage", "consent", "transfer")
@@ -212,9 +217,8 @@ def scan_changes(changes: DataFrame, groups: Sequence[str] = MAIN_GROUPS, deep_w
         keys = range(len(rows) + 1, len(rows) + len(group.rows) + 1)
         rows.extend(group.rows)
         arrays.append(F.when(guard, F.array(*[F.when(t, F.lit(k)) for t, k in zip(group.tests, keys)])).otherwise(F.array().cast("array<int>")))
-    hits = lines.filter(any_of(guards)).select(
-        *columns, "diff_line", "diff_file", "added_no", "code_no", "line", "code", F.explode(F.flatten(F.array(*arrays))).alias("_hit"),
-    ).filter(F.col("_hit").isNotNull())
+    hits = lines.filter(contains_any(F.col("low"), _shortest(n for g in picked for n in g.needs))).select(
+        *columns, "diff_line", "diff_file", "added_no", "code_no", "line", "code", _explode_hits(arrays))
     described = hits.select("*", F.element_at(literal_rows(rows, _RULE_SCHEMA), F.col("_hit")).alias("r"))
     number = F.when(F.col("r.numbering") == "diff", F.col("diff_line")).when(
         F.col("r.numbering") == "added", F.col("added_no")).otherwise(F.col("code_no"))
@@ -235,9 +239,24 @@ def scan_changes(changes: DataFrame, groups: Sequence[str] = MAIN_GROUPS, deep_w
     )
 
 
+def _shortest(literals) -> list[str]:
+    """The literals in lower case, without those that contain another one."""
+    folded = sorted({n.lower() for n in literals}, key=len)
+    return [n for i, n in enumerate(folded) if not any(m in n for m in folded[:i])]
+
+
+def _explode_hits(arrays: list[Column]) -> Column:
+    """Rule keys of a line, one row each.
+
+    The lambda keeps the hundred expressions out of one generated method, which
+    would pass the size the JVM compiles; only prefiltered lines come here.
+    """
+    return F.explode(F.filter(F.flatten(F.array(*arrays)), lambda k: k.isNotNull())).alias("_hit")
+
+
 def emit_position(rank: Column, major: Column, minor: Column) -> Column:
     """One number ordering findings of a change as the agents emit them."""
-    return rank.cast("bigint") * 10**16 + major * 10**8 + minor
+    return rank.cast("bigint") * 10**16 + major.cast("bigint") * 10**8 + minor.cast("bigint")
 
 
 def match_rules(lines: DataFrame, text: str, packs: Sequence[R.Pack], prefiltered: bool = True) -> DataFrame:
@@ -245,7 +264,7 @@ def match_rules(lines: DataFrame, text: str, packs: Sequence[R.Pack], prefiltere
     body, low = F.col(text), F.col("_low")
     # lower case once per line; the generator below keeps it from being inlined into every test
     lines = lines.select(*lines.columns, F.explode(F.array(F.lower(text))).alias("_low"))
-    keys, arrays, guards = [], [], []
+    keys, arrays = [], []
     for pack in packs:
         tests = []
         for no, rule in enumerate(pack.rules, 1):
@@ -253,9 +272,10 @@ def match_rules(lines: DataFrame, text: str, packs: Sequence[R.Pack], prefiltere
                 keys.append(dict(pack=pack.name, rule_no=no, title=rule.title, severity=rule.severity))
                 tests.append(F.when(rule_test(rule, pack, body), F.lit(len(keys))))
         guard = prefilter(pack, body, low) if prefiltered else F.lit(True)
-        guards.append(guard)
         arrays.append(F.when(guard, F.array(*tests)).otherwise(F.array().cast("array<int>")))
-    hits = lines.filter(any_of(guards)).select("*", F.explode(F.flatten(F.array(*arrays))).alias("_hit")).filter(F.col("_hit").isNotNull())
+    if prefiltered and all(r.needs for p in packs for r in p.rules):
+        lines = lines.filter(contains_any(low, _shortest(n for p in packs for n in _needs(p))))
+    hits = lines.select("*", _explode_hits(arrays))
     return hits.select(
         *[c for c in lines.columns if c != "_low"],
         F.element_at(literal_rows(keys, "pack string, rule_no bigint, title string, severity string"), F.col("_hit")).alias("r"),

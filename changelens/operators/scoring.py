@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from changelens.functions.text import contains_any, count_contained
+from changelens.functions.text import contains_any, count_contained, let, once
 
 # ---------------------------------------------------------------------------
 # Triage words, thresholds and quality word lists.
@@ -29,22 +29,22 @@ def risk_points(changes: DataFrame) -> Column:
     """Triage score in hundredths, so no sum drifts across a threshold (Q1)."""
     size = F.coalesce(F.col("additions"), F.lit(0)) + F.coalesce(F.col("deletions"), F.lit(0))
     files = F.coalesce(F.col("files_changed"), F.lit(0))
-    low = F.lower("diff")
-    hits = count_contained(low, RISK_WORDS)
+    hits = let(F.lower("diff"), lambda low: count_contained(low, RISK_WORDS))
     # upper-cased letters may change length, so cut the original text first
     where = F.lower(F.concat(F.coalesce("head_branch", F.lit("")), F.substring("diff", 1, 500)))
+    word_points = let(hits, lambda h: F.when(h > 5, 30).when(h > 2, 20).when(h > 0, 10).otherwise(0))
     points = (
         F.when(size > 500, 30).when(size > 200, 20).when(size > 50, 10).otherwise(5)
         + F.when(files > 20, 20).when(files > 10, 10).otherwise(5)
-        + F.when(hits > 5, 30).when(hits > 2, 20).when(hits > 0, 10).otherwise(0)
-        + F.when(contains_any(where, RISK_PATHS), 20).otherwise(0)
+        + word_points
+        + let(where, lambda w: F.when(contains_any(w, RISK_PATHS), 20).otherwise(0))
     )
     return F.least(F.lit(100), points)
 
 
 def with_risk(changes: DataFrame) -> DataFrame:
     """Risk points and score of each change; the diff stays for the scan."""
-    return changes.withColumn("score_pts", risk_points(changes)).withColumn("risk_score", F.col("score_pts") / 100)
+    return once(changes, score_pts=risk_points(changes)).withColumn("risk_score", F.col("score_pts") / 100)
 
 
 def route(scored: DataFrame, max_steps: int = MAX_STEPS) -> DataFrame:

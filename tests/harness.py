@@ -65,7 +65,7 @@ if __name__ == "__main__":
     from changelens.session import build_session
 
     sf, patterns = sys.argv[1], sys.argv[2:]
-    spark = build_session(master="local[8]", **{"spark.ui.enabled": "false", "spark.sql.shuffle.partitions": "8", "spark.driver.memory": "12g"})
+    spark = build_session(master="local[8]", **{"spark.ui.enabled": "false", "spark.ui.showConsoleProgress": "false", "spark.sql.shuffle.partitions": "8", "spark.driver.memory": "12g"})
     spark.sparkContext.setLogLevel("ERROR")
     con = duck(f"/root/testdata/sf{sf}")
     oracle = entry.oracle_sql()
