@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
 
 from pyspark.sql import Column
@@ -35,6 +36,6 @@ def dot(a: Column, b: Column) -> Column:
 
 def cosine(vector: Column, query: Sequence[float]) -> Column:
     """Cosine similarity of a vector column with a fixed query vector."""
-    literal = F.array(*[F.lit(float(x)) for x in query])
+    literal = F.from_json(F.lit(json.dumps([float(x) for x in query])), "array<double>")
     norm = sum(float(x) ** 2 for x in query) ** 0.5
-    return F.try_divide(dot(vector, literal), F.sqrt(dot(vector, vector)) * norm)
+    return let(vector, lambda v: F.try_divide(dot(v, literal), F.sqrt(dot(v, v)) * norm))

@@ -24,7 +24,8 @@ def since(as_of: datetime, days: int, most: int = 90) -> datetime:
 
 
 def recent(rows: DataFrame, time: str, as_of: datetime, days: int) -> DataFrame:
-    return rows.filter(F.col(time) >= F.lit(since(as_of, days)))
+    # the literal takes the column's type, zoned or not, so the filter reaches the file scan
+    return rows.filter(F.col(time) >= F.lit(since(as_of, days)).cast(rows.schema[time].dataType))
 
 
 def listing(rows: DataFrame, time: str, key: str, limit: int, offset: int = 0, most: int = 200, ascending: bool = False, **equals) -> DataFrame:
@@ -59,10 +60,10 @@ def summary(prs: DataFrame, findings: DataFrame, runs: DataFrame, as_of: datetim
     f = recent(findings, "created_at", as_of, days).agg(
         F.count("*").alias("n"), rate(F.count_if("false_positive"), F.count("*"), 3).alias("fp"))
     r = recent(runs, "started_at", as_of, days).agg(F.round(F.coalesce(F.avg("duration_seconds"), F.lit(0.0)), 1).alias("d"))
-    one = prs.sparkSession.range(1)
+    one, found = prs.sparkSession.range(1), f.select(F.struct("n", "fp")).scalar()
     return one.select(
-        F.lit(days).alias("period_days"), p.select("n").scalar().alias("total_prs_reviewed"), f.select("n").scalar().alias("total_findings"),
-        f.select("fp").scalar().alias("false_positive_rate"), r.select("d").scalar().alias("avg_review_duration_seconds"))
+        F.lit(days).alias("period_days"), p.select("n").scalar().alias("total_prs_reviewed"), found["n"].alias("total_findings"),
+        found["fp"].alias("false_positive_rate"), r.select("d").scalar().alias("avg_review_duration_seconds"))
 
 
 def breakdown(findings: DataFrame, as_of: datetime, days: int = 7) -> DataFrame:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from changelens.functions.text import literal_rows, lookup
+from changelens.functions.text import lookup, once
 
 # ---------------------------------------------------------------------------
 # Patch templates, weakness explanations and library advice.
@@ -102,14 +104,11 @@ SAFER_LIBRARIES = {
 }
 
 
-def unified_diff(before: Column, after: Column) -> Column:
+def unified_diff(before: str, after: str) -> str:
     """Unified-diff text of a replacement (Q10)."""
-    old, new = F.split(before, "\n"), F.split(after, "\n")
-    return F.array_join(F.concat(
-        F.array(F.lit("--- a/vulnerable_code"), F.lit("+++ b/fixed_code"), F.concat(
-            F.lit("@@ -1,"), F.size(old).cast("string"), F.lit(" +1,"), F.size(new).cast("string"), F.lit(" @@"))),
-        F.transform(old, lambda l: F.concat(F.lit("-"), l)), F.transform(new, lambda l: F.concat(F.lit("+"), l)),
-    ), "\n")
+    old, new = before.split("\n"), after.split("\n")
+    head = f"--- a/vulnerable_code\n+++ b/fixed_code\n@@ -1,{len(old)} +1,{len(new)} @@"
+    return "\n".join([head, *("-" + line for line in old), *("+" + line for line in new)])
 
 
 def vulnerability_type(findings: DataFrame) -> Column:
@@ -118,18 +117,18 @@ def vulnerability_type(findings: DataFrame) -> Column:
     return F.coalesce(*[F.when(title.contains(k) | text.contains(k), F.lit(t)) for k, t in PATCH_KEYWORDS])
 
 
-def _constant(key: Column, rows: list[dict], schema: str, by: str) -> Column:
-    """Row of a small constant table, looked up in a literal map: a left join without a join."""
-    table = literal_rows(rows, schema)
-    return F.try_element_at(F.map_from_entries(F.transform(table, lambda r: F.struct(r[by], r))), key)
+def _constant(key: Column, rows: dict[str, dict], schema: str) -> Column:
+    """Row of a small constant table from a literal map: a left join without a join."""
+    return F.try_element_at(F.from_json(F.lit(json.dumps(rows)), f"map<string,struct<{schema}>>"), key)
 
 
 def with_patch(findings: DataFrame) -> DataFrame:
     """Patch fields of each finding, or the manual-review fallback (Q9)."""
     kind = vulnerability_type(findings)
-    template = _constant(F.col("_kind"), [dict(kind=k, before=b, after=a, explanation=e) for k, b, a, e in PATCHES],
-                         "kind string, before string, after string, explanation string", "kind")
-    out = findings.withColumn("_kind", kind).withColumn("_patch", template)
+    # the diff text is the same for every finding of a kind, so it is part of the table
+    templates = {k: dict(before=b, after=a, explanation=e, diff=unified_diff(b, a)) for k, b, a, e in PATCHES}
+    out = once(findings, _kind=kind)
+    out = once(out, _patch=_constant(F.col("_kind"), templates, "before string, after string, explanation string, diff string"))
     available = F.col("_patch").isNotNull()
     manual = F.when(F.coalesce("suggestion", F.lit("")) != "", F.col("suggestion")).otherwise(F.col("description"))
     return out.withColumns({
@@ -138,16 +137,16 @@ def with_patch(findings: DataFrame) -> DataFrame:
         "patch_before": F.col("_patch.before"),
         "patch_after": F.col("_patch.after"),
         "patch_explanation": F.when(available, F.col("_patch.explanation")).otherwise(manual),
-        "patch": F.when(available, unified_diff(F.col("_patch.before"), F.col("_patch.after"))),
+        "patch": F.col("_patch.diff"),
     }).drop("_kind", "_patch")
 
 
 def with_explanation(findings: DataFrame) -> DataFrame:
     """Weakness name, impact, attack scenario and business impact."""
-    row = _constant(F.col("cwe_id"), [dict(cwe=c, name=n, impact=i, attack=a, business=b) for c, n, i, a, b in EXPLANATIONS],
-                    "cwe string, name string, impact string, attack string, business string", "cwe")
+    rows = {c: dict(name=n, impact=i, attack=a, business=b) for c, n, i, a, b in EXPLANATIONS}
+    row = _constant(F.col("cwe_id"), rows, "name string, impact string, attack string, business string")
     impact, attack, business = DEFAULT_EXPLANATION
-    return findings.withColumn("_x", row).withColumns({
+    return once(findings, _x=row).withColumns({
         "vulnerability_name": F.coalesce("_x.name", "title"),
         "impact": F.coalesce("_x.impact", F.lit(impact)),
         "attack_scenario": F.coalesce("_x.attack", F.lit(attack)),
@@ -157,9 +156,8 @@ def with_explanation(findings: DataFrame) -> DataFrame:
 
 def safer_libraries(kind: Column, language: Column) -> Column:
     """Safer libraries for a vulnerability type: the language's list, else Python's, else none."""
-    rows = [dict(key=f"{t}/{l}", libraries=libs) for t, by in SAFER_LIBRARIES.items() for l, libs in by.items()]
-    table = literal_rows(rows, "key string, libraries array<string>")
-    entries = F.map_from_entries(F.transform(table, lambda r: F.struct(r["key"], r["libraries"])))
+    lists = {f"{t}/{l}": libraries for t, by in SAFER_LIBRARIES.items() for l, libraries in by.items()}
+    entries = F.from_json(F.lit(json.dumps(lists)), "map<string,array<string>>")
     key = F.regexp_replace(F.lower(kind), r"[ \-]", "_")
     found = lambda lang: F.try_element_at(entries, F.concat(key, F.lit("/"), lang))
     return F.coalesce(found(F.lower(language)), found(F.lit("python")), F.array().cast("array<string>"))

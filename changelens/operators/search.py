@@ -97,10 +97,12 @@ def keyword_scores(corpus: DataFrame, terms: Sequence[str], text: str) -> DataFr
     counted = once(counted, _len=F.size("_words"), **{f"_tf{i}": frequency(t) for i, t in enumerate(terms)}).drop("_words")
     totals = counted.agg(
         F.count("*").alias("n"), F.avg("_len").alias("mean"), *[F.count_if(F.col(f"_tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))])
-    n, mean = totals.select("n").scalar(), totals.select("mean").scalar()
+    # one struct, so that all references are to one subquery and the corpus is counted once
+    total = totals.select(F.struct(*totals.columns)).scalar()
+    n, mean = total["n"], total["mean"]
     score = F.lit(0.0)
     for i in range(len(terms)):
-        tf, df = F.col(f"_tf{i}"), totals.select(f"df{i}").scalar()
+        tf, df = F.col(f"_tf{i}"), total[f"df{i}"]
         idf = F.log(1 + (n - df + 0.5) / (df + 0.5))
         score = score + idf * tf * (BM25_K1 + 1) / (tf + BM25_K1 * (1 - BM25_B + BM25_B * F.col("_len") / mean))
     return counted.withColumn("bm25", score).drop("_len", *[f"_tf{i}" for i in range(len(terms))])
@@ -135,8 +137,8 @@ def hybrid(corpus: DataFrame, query: str, query_vector: Sequence[float], key: st
     so only those lists are fused, with their exact ranks.
     """
     depth = max(k, int((RANK_CONSTANT + k) / max(alpha, 1 - alpha)) - RANK_CONSTANT + 1)
-    scored = keyword_scores(corpus, query.split(), text).withColumn("_cos", cosine(F.col(vector), query_vector)).select(
-        key, "_cos", F.when(F.col("bm25") > 0, F.col("bm25")).alias("bm25"))
+    scored = once(keyword_scores(corpus, query.split(), text), _cos=cosine(F.col(vector), query_vector)).select(
+        key, "_cos", F.nullif("bm25", F.lit(0.0)).alias("bm25"))
     # three narrow columns per row, read by the four steps below
     scored = materialize(scored, "hybrid-scores")
     best = scored.orderBy(F.desc("_cos"), key).limit(depth).unionByName(

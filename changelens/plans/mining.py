@@ -179,13 +179,13 @@ ORACLES["u2_ordered_distinct"] = query(
 CTES["functions"] = """
 SELECT doc_id, i, 'fn_' || doc_id || '_' || i AS name, len(string_split(l, ' ')) % 14 AS ifs
 FROM (SELECT doc_id, generate_subscripts(ls, 1) - 1 AS i, unnest(ls) AS l FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents))"""
-QUERIES["d10_python_structure"] = lambda spark, sf: Y.python_structure(Y.python_sources(V.table(spark, sf, "documents"))).filter(
+QUERIES["d10_python_structure"] = lambda spark, sf: Y.python_structure(Y.python_sources(V.spread(V.table(spark, sf, "documents")))).filter(
     "kind = 'function'").select("doc_id", "name", F.col("line").cast("bigint"), F.array_join("args", ",").alias("args"), F.col("decorators").cast("bigint"))
 ORACLES["d10_python_structure"] = query("""
 SELECT doc_id, name, 2 + coalesce(sum(2 + 2 * ifs) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS line,
   'a,b' AS args, 0::BIGINT AS decorators FROM functions""")
 QUERIES["d11_complexity_hotspots"] = lambda spark, sf: Y.complexity_hotspots(
-    Y.python_structure(Y.python_sources(V.table(spark, sf, "documents"))), "doc_id", 5).select(
+    Y.python_structure(Y.python_sources(V.spread(V.table(spark, sf, "documents")))), "doc_id", 5).select(
     "doc_id", "name", F.col("complexity").cast("bigint"), F.col("hot_rank").cast("bigint"))
 ORACLES["d11_complexity_hotspots"] = query("""
 SELECT doc_id, name, complexity, hot_rank FROM (

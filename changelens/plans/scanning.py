@@ -165,7 +165,7 @@ SELECT doc_id, generate_subscripts(ls, 1) AS line_no, unnest(ls) AS line FROM (S
 
 
 def _line_rule(spark, sf):
-    lines = V.table(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    lines = V.spread(V.table(spark, sf, "documents")).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     return S.match_rules(lines, "line", _LINE_PACKS).select("doc_id", (F.col("line_no") + 1).cast("bigint").alias("line_no"), "pack", "rule_no", "severity")
 
 

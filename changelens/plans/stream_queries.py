@@ -143,22 +143,22 @@ def _windows(source, sums, n, seconds, keys="", having=""):
     """Sums over n steps of the given seconds ending at every step."""
     keyed = f", {keys}" if keys else ""
     return f"""
-SELECT at{keyed}, {', '.join(f'sum({s})::BIGINT AS {s}' for s in sums)} FROM (
-  SELECT b + to_seconds(k * {seconds}) AS at{keyed}, {', '.join(sums)} FROM (
+SELECT ends_at{keyed}, {', '.join(f'sum({s})::BIGINT AS {s}' for s in sums)} FROM (
+  SELECT b + to_seconds(k * {seconds}) AS ends_at{keyed}, {', '.join(sums)} FROM (
     SELECT time_bucket(INTERVAL '{seconds} seconds', ts) AS b{keyed}, {', '.join(f'{e} AS {s}' for s, e in sums.items())} FROM {source} GROUP BY ALL), range(1, {n + 1}) r(k))
 GROUP BY ALL {having}"""
 
 
-_AT = "strftime(at, '%Y-%m-%d %H:%M:%S') AS at"
+_AT = "strftime(ends_at, '%Y-%m-%d %H:%M:%S') AS ends_at"
 CTES["t6"] = _windows("request_log", {"part": "count(*) FILTER (status_code >= 500)", "whole": "count(*)"}, 10, 30)
-QUERIES["t6_server_error_ratio"] = lambda spark, sf: _at(A.ratio(V.request_log(spark, sf), "ts", F.col("status_code") >= 500, "5 minutes"), "at").withColumn("ratio", F.round("ratio", 6))
+QUERIES["t6_server_error_ratio"] = lambda spark, sf: _at(A.ratio(V.request_log(spark, sf), "ts", F.col("status_code") >= 500, "5 minutes"), "ends_at").withColumn("ratio", F.round("ratio", 6))
 ORACLES["t6_server_error_ratio"] = query(f"SELECT {_AT}, part, whole, round(part / whole, 6) AS ratio FROM t6")
 QUERIES["w8_sustained_errors"] = lambda spark, sf: _at(A.sustained(
     A.ratio(V.request_log(spark, sf), "ts", F.col("status_code") >= 500, "5 minutes"), F.col("ratio") > 0.05, 300), "pending_from", "firing_from", "firing_to")
 ORACLES["w8_sustained_errors"] = query("""
 SELECT strftime(s, '%Y-%m-%d %H:%M:%S') AS pending_from, strftime(s + INTERVAL 300 SECONDS, '%Y-%m-%d %H:%M:%S') AS firing_from, strftime(e, '%Y-%m-%d %H:%M:%S') AS firing_to
-FROM (SELECT min(at) AS s, max(at) AS e FROM (SELECT at, sum(fresh) OVER (ORDER BY at) AS run FROM (
-    SELECT at, CASE WHEN at - lag(at) OVER (ORDER BY at) = INTERVAL 30 SECONDS THEN 0 ELSE 1 END AS fresh FROM t6 WHERE part / whole > 0.05)) GROUP BY run)
+FROM (SELECT min(ends_at) AS s, max(ends_at) AS e FROM (SELECT ends_at, sum(fresh) OVER (ORDER BY ends_at) AS run FROM (
+    SELECT ends_at, CASE WHEN ends_at - lag(ends_at) OVER (ORDER BY ends_at) = INTERVAL 30 SECONDS THEN 0 ELSE 1 END AS fresh FROM t6 WHERE part / whole > 0.05)) GROUP BY run)
 WHERE e - s >= INTERVAL 300 SECONDS""")
 
 
@@ -170,17 +170,17 @@ def _error_stream(spark, sf):
     stream = spark.readStream.schema(log.schema).option("maxFilesPerTrigger", 4).parquet(path)
     ratios = A.ratio(stream, "ts", F.col("status_code") >= 500, "5 minutes")
     ratios.writeStream.format("parquet").option("path", out).option("checkpointLocation", work_dir(spark, "ratio")).outputMode("append").trigger(availableNow=True).start().awaitTermination()
-    return _at(spark.read.schema(ratios.schema).parquet(out).filter("at < TIMESTAMP '2024-01-30 00:00:00'"), "at").withColumn("ratio", F.round("ratio", 6))
+    return _at(spark.read.schema(ratios.schema).parquet(out).filter("ends_at < TIMESTAMP '2024-01-30 00:00:00'"), "ends_at").withColumn("ratio", F.round("ratio", 6))
 
 
 QUERIES["t6_server_error_ratio_stream"] = _error_stream
-ORACLES["t6_server_error_ratio_stream"] = query(f"SELECT {_AT}, part, whole, round(part / whole, 6) AS ratio FROM t6 WHERE at < TIMESTAMP '2024-01-30 00:00:00'")
+ORACLES["t6_server_error_ratio_stream"] = query(f"SELECT {_AT}, part, whole, round(part / whole, 6) AS ratio FROM t6 WHERE ends_at < TIMESTAMP '2024-01-30 00:00:00'")
 
 QUERIES["t7_runaway_reviews"] = lambda spark, sf: _at(A.runaway(
-    V.run_facts(spark, sf), "started_at", "findings_count", "pr_id", "1 day", "1 hour", 5), "at")
+    V.run_facts(spark, sf), "started_at", "findings_count", "pr_id", "1 day", "1 hour", 4), "ends_at")
 CTES["run_ts"] = "SELECT *, started_at AS ts FROM run_facts"
-ORACLES["t7_runaway_reviews"] = query(f"SELECT {_AT}, pr_id, steps FROM ({_windows('run_ts', {'steps': 'sum(findings_count)'}, 24, 3600, 'pr_id')}) WHERE steps > 5")
-QUERIES["t8_latency_quantiles"] = lambda spark, sf: _at(A.latency_quantiles(V.request_log(spark, sf), "ts", "latency", "6 hours", "1 hour"), "at").withColumns(
+ORACLES["t7_runaway_reviews"] = query(f"SELECT {_AT}, pr_id, steps FROM ({_windows('run_ts', {'steps': 'sum(findings_count)'}, 24, 3600, 'pr_id')}) WHERE steps > 4")
+QUERIES["t8_latency_quantiles"] = lambda spark, sf: _at(A.latency_quantiles(V.request_log(spark, sf), "ts", "latency", "6 hours", "1 hour"), "ends_at").withColumns(
     {p: F.round(p, 6) for p in ("p50", "p95", "p99")})
 
 
@@ -196,28 +196,28 @@ ORACLES["t8_latency_quantiles"] = query(f"""
 SELECT {_AT}, endpoint, {_quantile_sql(0.5)} AS p50, {_quantile_sql(0.95)} AS p95, {_quantile_sql(0.99)} AS p99
 FROM ({_windows('request_log', {f'b{i}': f'count(*) FILTER (latency <= {b})' for i, b in enumerate(LATENCY_BOUNDS)} | {'total': 'count(*)'}, 6, 3600, 'endpoint')})""")
 QUERIES["t9_backlog"] = lambda spark, sf: _at(A.backlog(
-    V.table(spark, sf, "events"), "ts", F.when(F.col("event_type") == "click", 1).when(F.col("event_type") == "view", -1).otherwise(0)), "at")
+    V.table(spark, sf, "events"), "ts", F.when(F.col("event_type") == "click", 1).when(F.col("event_type") == "view", -1).otherwise(0)), "ends_at")
 ORACLES["t9_backlog"] = query(f"""
-SELECT {_AT}, waiting FROM (SELECT b + INTERVAL 30 SECONDS AS at, sum(c) OVER (ORDER BY b)::BIGINT AS waiting
+SELECT {_AT}, waiting FROM (SELECT b + INTERVAL 30 SECONDS AS ends_at, sum(c) OVER (ORDER BY b)::BIGINT AS waiting
   FROM (SELECT time_bucket(INTERVAL '30 seconds', ts) AS b, sum(CASE event_type WHEN 'click' THEN 1 WHEN 'view' THEN -1 ELSE 0 END) AS c FROM events GROUP BY 1))""")
 QUERIES["t10_task_failure_ratio"] = lambda spark, sf: _at(A.ratio(
-    V.run_facts(spark, sf), "started_at", F.col("status") == "failed", "10 minutes", of=F.col("status").isin("failed", "completed")).filter("whole > 0"), "at").withColumn("ratio", F.round("ratio", 6))
+    V.run_facts(spark, sf), "started_at", F.col("status") == "failed", "10 minutes", of=F.col("status").isin("failed", "completed")).filter("whole > 0"), "ends_at").withColumn("ratio", F.round("ratio", 6))
 ORACLES["t10_task_failure_ratio"] = query(f"""
 SELECT {_AT}, part, whole, round(part / whole, 6) AS ratio FROM ({_windows('run_ts', {'part': "count(*) FILTER (status = 'failed')", 'whole': "count(*) FILTER (status IN ('failed', 'completed'))"}, 20, 30)})
 WHERE whole > 0""")
 QUERIES["t11_false_positive_ratio"] = lambda spark, sf: _at(A.ratio(
-    V.finding_facts(spark, sf), "created_at", F.col("false_positive"), "7 days", "1 day"), "at").withColumn("ratio", F.round("ratio", 6))
+    V.finding_facts(spark, sf), "created_at", F.col("false_positive"), "7 days", "1 day"), "ends_at").withColumn("ratio", F.round("ratio", 6))
 CTES["finding_ts"] = "SELECT *, created_at AS ts FROM finding_facts"
 ORACLES["t11_false_positive_ratio"] = query(f"""
 SELECT {_AT}, part, whole, round(part / whole, 6) AS ratio FROM ({_windows('finding_ts', {'part': 'count(*) FILTER (false_positive)', 'whole': 'count(*)'}, 7, 86400)})""")
-QUERIES["t12_hourly_rates"] = lambda spark, sf: _at(A.hourly(V.run_facts(spark, sf), "started_at", ["agent_type"]), "at")
+QUERIES["t12_hourly_rates"] = lambda spark, sf: _at(A.hourly(V.run_facts(spark, sf), "started_at", ["agent_type"]), "ends_at")
 ORACLES["t12_hourly_rates"] = query(f"""
-SELECT strftime(date_trunc('hour', started_at) + INTERVAL 1 HOUR, '%Y-%m-%d %H:%M:%S') AS at, agent_type, count(*) AS n FROM run_facts GROUP BY ALL""")
+SELECT strftime(date_trunc('hour', started_at) + INTERVAL 1 HOUR, '%Y-%m-%d %H:%M:%S') AS ends_at, agent_type, count(*) AS n FROM run_facts GROUP BY ALL""")
 QUERIES["t13_mean_durations"] = lambda spark, sf: _at(A.mean_by_window(
-    V.run_facts(spark, sf), "started_at", "duration_seconds", "6 hours", "1 hour", ["agent_type"]), "at").withColumn("mean", F.round("mean", 6)).filter("mean IS NOT NULL")
+    V.run_facts(spark, sf), "started_at", "duration_seconds", "6 hours", "1 hour", ["agent_type"]), "ends_at").withColumn("mean", F.round("mean", 6)).filter("mean IS NOT NULL")
 ORACLES["t13_mean_durations"] = query(f"""
 SELECT {_AT}, agent_type, round(sum(s) / sum(n), 6) AS mean FROM (
-  SELECT b + to_hours(k) AS at, agent_type, s, n FROM (SELECT date_trunc('hour', started_at) AS b, agent_type, sum(duration_seconds) AS s, count(duration_seconds) AS n FROM run_facts GROUP BY ALL),
+  SELECT b + to_hours(k) AS ends_at, agent_type, s, n FROM (SELECT date_trunc('hour', started_at) AS b, agent_type, sum(duration_seconds) AS s, count(duration_seconds) AS n FROM run_facts GROUP BY ALL),
     range(1, 7) r(k)) GROUP BY ALL HAVING sum(n) > 0""")
 
 
@@ -227,9 +227,9 @@ def gauges(spark, sf):
 
 
 QUERIES["t13_utilisation"] = lambda spark, sf: _at(A.gauge_ratio(gauges(spark, sf), "ts", "series", "value", "active", "total", "6 hours").filter(
-    "part IS NOT NULL AND whole IS NOT NULL"), "at").withColumn("ratio", F.round("ratio", 6))
+    "part IS NOT NULL AND whole IS NOT NULL"), "ends_at").withColumn("ratio", F.round("ratio", 6))
 ORACLES["t13_utilisation"] = query(f"""
-SELECT strftime(time_bucket(INTERVAL '6 hours', ts, TIMESTAMP '1970-01-01') + INTERVAL 6 HOURS, '%Y-%m-%d %H:%M:%S') AS at, arg_max(value, ts) FILTER (event_type = 'click') AS part,
+SELECT strftime(time_bucket(INTERVAL '6 hours', ts, TIMESTAMP '1970-01-01') + INTERVAL 6 HOURS, '%Y-%m-%d %H:%M:%S') AS ends_at, arg_max(value, ts) FILTER (event_type = 'click') AS part,
   arg_max(value, ts) FILTER (event_type = 'view') AS whole, round(arg_max(value, ts) FILTER (event_type = 'click') / arg_max(value, ts) FILTER (event_type = 'view'), 6) AS ratio
 FROM events WHERE event_type IN ('click', 'view') GROUP BY 1, time_bucket(INTERVAL '6 hours', ts, TIMESTAMP '1970-01-01')
 HAVING count(*) FILTER (event_type = 'click') > 0 AND count(*) FILTER (event_type = 'view') > 0""")

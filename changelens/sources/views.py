@@ -18,6 +18,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Use all cores for a small input that arrives in a few splits.
+
+    A file of one row group is one task however many cores there are.  An input
+    of any size has more splits than cores and is returned as it is, so nothing
+    large is ever shuffled here.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    splits = rows._jdf.queryExecution().toRdd().getNumPartitions()
+    return rows.repartition(cores) if splits <= cores else rows
+
+
 def _pick(values, index: Column) -> Column:
     return F.element_at(F.array(*[F.lit(v) for v in values]), (index % len(values) + 1).cast("int"))
 
@@ -74,7 +86,7 @@ def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
         ),
         "\n",
     )
-    derived = table(spark, sf_dir, "documents").select(
+    derived = spread(table(spark, sf_dir, "documents")).select(
         d.cast("string").alias("pr_id"),
         F.concat(F.lit("org/"), F.col("source")).alias("repo_full_name"),
         d.alias("pr_number"),
@@ -91,7 +103,7 @@ def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def finding_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored findings, one per line item; the pull request is the order."""
     part, line = F.col("l_partkey"), F.col("l_linenumber")
-    return table(spark, sf_dir, "lineitem").select(
+    return spread(table(spark, sf_dir, "lineitem")).select(
         F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_extendedprice").cast("decimal(14,2)")).alias("finding_id"),
         F.col("l_orderkey").alias("pr_id"),
         F.when(F.col("l_returnflag") == "R", F.when(F.col("l_linestatus") == "O", "critical").otherwise("high"))
@@ -142,7 +154,7 @@ def run_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(e == "click", "static_analysis").when(e == "view", "security_audit").when(e == "purchase", "dependency")
         .when(e == "signup", "compliance").otherwise("orchestrator").alias("agent_type"),
         F.when(e == "error", "failed").when(F.col("event_id") % 11 == 0, "running").otherwise("completed").alias("status"),
-        F.col("ts").alias("started_at"),
+        F.col("ts").cast("timestamp").alias("started_at"),
         F.when(F.col("event_id") % 11 != 0, F.col("value")).alias("duration_seconds"),
         F.get_json_object("props", "$.k").cast("bigint").alias("tokens_used"),
         (F.col("event_id") % 6).alias("findings_count"),
@@ -152,7 +164,7 @@ def run_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def request_log(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Served requests, one per event."""
     return table(spark, sf_dir, "events").select(
-        F.col("event_id"), F.col("ts"),
+        F.col("event_id"), F.col("ts").cast("timestamp").alias("ts"),
         F.when(F.col("event_id") % 3 == 0, "POST").otherwise("GET").alias("method"),
         F.concat(F.lit("/"), F.col("event_type")).alias("endpoint"),
         F.when(F.col("event_type") == "error", 500).when(F.col("event_id") % 50 == 0, 503).otherwise(200).alias("status_code"),
@@ -180,8 +192,8 @@ def event_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     # a null body is written as an explicit JSON null: present, unlike an absent key
     value = F.to_json(fields)
     value = F.when(i % 7 == 0, F.regexp_replace(value, r"\}$", ',"body":null}')).otherwise(value)
-    return table(spark, sf_dir, "events").select(
-        F.col("event_id").alias("seq"), F.col("ts"),
+    return spread(table(spark, sf_dir, "events")).select(
+        F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("ts"),
         F.concat(F.lit("org/repo"), (u % 5).cast("string"), F.lit(":"), u.cast("string")).alias("key"),
         value.alias("value"),
     )

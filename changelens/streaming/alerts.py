@@ -25,7 +25,7 @@ def windowed(rows: DataFrame, time: str, sums: dict[str, Column], window: str, s
     steps = rows.groupBy(F.window(time, step).alias("_step"), *keys).agg(*[F.sum(c).alias(n) for n, c in sums.items()])
     sliding = F.window(F.window_time("_step"), window, step)
     return steps.groupBy(sliding.alias("_w"), *keys).agg(*[F.sum(n).alias(n) for n in sums]).select(
-        F.col("_w.end").alias("at"), *keys, *sums)
+        F.col("_w.end").alias("ends_at"), *keys, *sums)
 
 
 def _flag(test: Column) -> Column:
@@ -62,7 +62,7 @@ def latency_quantiles(log: DataFrame, time: str, latency: str, window: str = "5
     """Latency quantiles per window and endpoint from bucket counts."""
     counts = {f"b{i}": _flag(F.col(latency) <= b) for i, b in enumerate(bounds)} | {"total": F.lit(1)}
     sums = windowed(log, time, counts, window, step, keys)
-    return sums.select("at", *keys, *[histogram_quantile(q, list(counts), bounds).alias(f"p{round(q * 100)}") for q in quantiles])
+    return sums.select("ends_at", *keys, *[histogram_quantile(q, list(counts), bounds).alias(f"p{round(q * 100)}") for q in quantiles])
 
 
 def backlog(rows: DataFrame, time: str, change: Column, step: str = STEP, keys: Sequence[str] = ()) -> DataFrame:
@@ -72,27 +72,27 @@ def backlog(rows: DataFrame, time: str, change: Column, step: str = STEP, keys:
     """
     steps = rows.groupBy(F.window(time, step).alias("_step"), *keys).agg(F.sum(change).alias("_change"))
     total = F.sum("_change").over(Window.partitionBy(*keys).orderBy("_step").rowsBetween(Window.unboundedPreceding, 0))
-    return steps.select(F.col("_step.end").alias("at"), *keys, total.alias("waiting"))
+    return steps.select(F.col("_step.end").alias("ends_at"), *keys, total.alias("waiting"))
 
 
 def hourly(rows: DataFrame, time: str, keys: Sequence[str] = (), watermark: str = "10 minutes") -> DataFrame:
     """Rows per hour."""
     if rows.isStreaming:
         rows = rows.withWatermark(time, watermark)
-    return rows.groupBy(F.window(time, "1 hour").alias("_w"), *keys).agg(F.count("*").alias("n")).select(F.col("_w.end").alias("at"), *keys, "n")
+    return rows.groupBy(F.window(time, "1 hour").alias("_w"), *keys).agg(F.count("*").alias("n")).select(F.col("_w.end").alias("ends_at"), *keys, "n")
 
 
 def mean_by_window(rows: DataFrame, time: str, value: str, window: str, step: str = STEP, keys: Sequence[str] = ()) -> DataFrame:
     """Mean of a value over windows."""
     sums = windowed(rows, time, {"_sum": F.col(value), "_n": _flag(F.col(value).isNotNull())}, window, step, keys)
-    return sums.select("at", *keys, F.try_divide("_sum", "_n").alias("mean"))
+    return sums.select("ends_at", *keys, F.try_divide("_sum", "_n").alias("mean"))
 
 
 def gauge_ratio(samples: DataFrame, time: str, series: str, value: str, part: str, whole: str, window: str, keys: Sequence[str] = ()) -> DataFrame:
     """Last sample of one gauge over the last of another, per window."""
     last = lambda name: F.max_by(value, F.when(F.col(series) == name, F.col(time)))
     return samples.groupBy(F.window(time, window).alias("_w"), *keys).agg(last(part).alias("part"), last(whole).alias("whole")).select(
-        F.col("_w.end").alias("at"), *keys, "part", "whole", F.try_divide("part", "whole").alias("ratio"))
+        F.col("_w.end").alias("ends_at"), *keys, "part", "whole", F.try_divide("part", "whole").alias("ratio"))
 
 
 def sustained(evaluated: DataFrame, condition: Column, lasting: int, step: int = 30, keys: Sequence[str] = ()) -> DataFrame:
@@ -101,7 +101,7 @@ def sustained(evaluated: DataFrame, condition: Column, lasting: int, step: int =
     Evaluations are numbered within their key; time minus number is constant
     exactly on unbroken runs.  A missing evaluation breaks a run.
     """
-    true = evaluated.filter(condition).withColumn("_t", F.unix_timestamp("at"))
+    true = evaluated.filter(condition).withColumn("_t", F.unix_timestamp("ends_at"))
     number = F.row_number().over(Window.partitionBy(*keys).orderBy("_t"))
     runs = true.withColumn("_run", F.col("_t") - number * step).groupBy(*keys, "_run").agg(F.min("_t").alias("from_s"), F.max("_t").alias("to_s"))
     firing = runs.filter(F.col("to_s") - F.col("from_s") >= lasting)
