@@ -63,6 +63,19 @@ def matches(text: Column, pattern: str) -> Column:
     return text.rlike(java(pattern))
 
 
+def quote(text: str) -> str:
+    """A SQL string literal."""
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def sql_contains_any(text: str, words: Iterable[str]) -> str:
+    return "(" + " OR ".join(f"contains({text}, {quote(w)})" for w in words) + ")"
+
+
+def sql_matches(text: str, pattern: str) -> str:
+    return f"({text} RLIKE {quote(java(pattern))})"
+
+
 def literal_rows(rows: list[dict], schema: str) -> Column:
     """A constant array of structs; the optimizer folds it to one literal."""
     return F.from_json(F.lit(json.dumps(rows)), f"array<struct<{schema}>>")

@@ -13,9 +13,9 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from changelens.functions.text import contains_any, java, literal_rows, matches, strip
+from changelens.functions.text import java, literal_rows, matches, once, quote, sql_contains_any, sql_matches, strip
 from changelens.operators import rules as R
-from changelens.operators.diffs import added_lines, language_of, AGENT_LANGUAGES
+from changelens.operators.diffs import AGENT_LANGUAGES, added_lines
 
 FINDING_COLUMNS = (
     "agent_type", "severity", "category", "title", "description", "file_path", "line_start", "line_end",
@@ -33,12 +33,13 @@ _RULE_SCHEMA = (
 class Group:
     """Rules sharing a prefilter: ``tests[i]`` decides the rule described by ``rows[i]``.
 
-    ``needs`` are lower-case literals, one of which is in every line that passes
-    ``guard``; the scan drops all other lines before anything else.
+    Guard and tests are SQL over the columns of ``diffs.added_lines``.  ``needs``
+    are lower-case literals, one of which is in every line that passes the
+    guard; the scan drops all other lines before anything else.
     """
 
-    guard: Column
-    tests: tuple[Column, ...]
+    guard: str
+    tests: tuple[str, ...]
     rows: tuple[dict, ...]
     needs: tuple[str, ...]
     deep: bool = True
@@ -52,18 +53,16 @@ def _folds_case(pack: R.Pack) -> bool:
     return pack.ignore_case or any(r.pattern.startswith("(?i)") for r in pack.rules)
 
 
-def prefilter(pack: R.Pack, text: Column, low: Column) -> Column:
+def prefilter(pack: R.Pack, text: str, low: str) -> str:
     """False only on lines that no rule of the pack can match."""
     if any(not r.needs for r in pack.rules):
-        return F.lit(True)
-    return contains_any(low if _folds_case(pack) else text, _needs(pack))
+        return "true"
+    return sql_contains_any(low if _folds_case(pack) else text, _needs(pack))
 
 
-def rule_test(rule: R.Rule, pack: R.Pack, text: Column, pair: Column | None = None) -> Column:
+def rule_test(rule: R.Rule, pack: R.Pack, text: str, pair: str) -> str:
     pattern = ("(?i)" if pack.ignore_case else "") + rule.pattern
-    if rule.two_line:
-        return F.coalesce(matches(pair, pattern), F.lit(False)) if pair is not None else F.lit(False)
-    return matches(text, pattern)
+    return f"coalesce({sql_matches(pair, pattern)}, false)" if rule.two_line else sql_matches(text, pattern)
 
 
 def _row(pack, rank, no, rule, **values):
@@ -76,17 +75,16 @@ def _row(pack, rank, no, rule, **values):
 
 def group_for(name: str) -> Group:
     """The named group over the columns of ``diffs.added_lines``."""
-    line, code, low, pair = F.col("line"), F.col("code"), F.col("low"), F.col("pair")
-    plain = F.col("code_no").isNotNull()
+    plain = "code_no IS NOT NULL"
 
-    def pack_group(pack, describe, text=code, extra=None, deep=True, guard=None):
-        base = prefilter(pack, text, low)
+    def pack_group(pack, describe, text="code", extra=None, deep=True, guard=None):
+        base = prefilter(pack, text, "low")
         tests, rows = [], []
         for no, rule in enumerate(pack.rules, 1):
-            test = rule_test(rule, pack, text, pair)
-            tests.append(test & extra(rule) if extra else test)
+            test = rule_test(rule, pack, text, "pair")
+            tests.append(f"{test} AND {extra(rule)}" if extra else test)
             rows.append(describe(no, rule))
-        return Group(base & guard if guard is not None else base, tuple(tests), tuple(rows), _needs(pack), deep)
+        return Group(f"{base} AND {guard}" if guard else base, tuple(tests), tuple(rows), _needs(pack), deep)
 
     if name == "quick_static":
         return pack_group(R.QUICK_STATIC, lambda no, r: _row(
@@ -95,12 +93,13 @@ def group_for(name: str) -> Group:
             suggestion=f"Review and replace the {r.pattern} usage with a safer alternative"), deep=False)
     if name == "secrets":
         def not_placeholder(rule):
-            return ~contains_any(F.lower(F.regexp_extract(line, java(rule.pattern), 0)), R.PLACEHOLDERS)
+            found = f"lower(regexp_extract(line, {quote(java(rule.pattern))}, 0))"
+            return f"NOT exists({_sql_array(R.PLACEHOLDERS)}, w -> contains({found}, w))"
         return pack_group(R.SECRETS, lambda no, r: _row(
             name, 20, no, r, agent_type="security_audit", category="security", numbering="diff",
             title=f"Exposed {r.title}", owasp_category=R.A02, confidence_score=0.95,
             description=f"Hardcoded {r.title} found in diff at line {{line}}",
-            suggestion=f"Remove hardcoded {r.title} and use environment variables"), text=line, extra=not_placeholder)
+            suggestion=f"Remove hardcoded {r.title} and use environment variables"), text="line", extra=not_placeholder)
     if name == "owasp":
         return pack_group(R.OWASP, lambda no, r: _row(
             name, 21, no, r, agent_type="security_audit", category="security", numbering="added",
@@ -120,10 +119,9 @@ def group_for(name: str) -> Group:
             name, 24, no, r, agent_type="security_audit", category="security", numbering="added", confidence_score=0.8,
             rule_id=f"injection-{r.label}"))
     if name == "language_static":
-        language = language_of(F.col("diff_file"), AGENT_LANGUAGES)
         return pack_group(R.LANGUAGE_STATIC, lambda no, r: _row(
             name, 11, no, r, agent_type="static_analysis", category="static_analysis", numbering="added", confidence_score=0.8),
-            extra=lambda r: F.lit(True) if r.label == "any" else language == r.label, deep=False)
+            extra=lambda r: "true" if r.label == "any" else _file_is(r.label), deep=False)
     if name == "controls":
         return pack_group(R.CONTROLS, lambda no, r: _row(
             name, 41, no, r, agent_type="compliance", category="compliance", numbering="code", confidence_score=0.7,
@@ -135,35 +133,44 @@ def group_for(name: str) -> Group:
             name, 44, no, r, agent_type="compliance", category="compliance", numbering="code", confidence_score=0.8,
             suggestion="Implement data retention policy with automatic deletion after defined period"), guard=plain)
     if name == "pii_logging":
-        return _privacy_group(name, 0, plain & contains_any(low, R.LOG_WORDS), R.LOG_WORDS, [low.contains(f) for f in R.PII_FIELDS], [
+        return _privacy_group(name, 0, f"{plain} AND {sql_contains_any('low', R.LOG_WORDS)}", R.LOG_WORDS, [sql_contains_any("low", [f]) for f in R.PII_FIELDS], [
             ("high", f"PII field '{f}' may be logged in plain text", "Article 5(1)(f) - Data integrity and confidentiality", "CC6.7",
              "Redact or mask PII before logging. Use structured logging with field-level masking.") for f in R.PII_FIELDS])
     if name == "pii_storage":
-        guard = plain & contains_any(low, ("store_", "save_")) & ~contains_any(low, R.PROTECTION_WORDS)
-        return _privacy_group(name, 20, guard, ("store_", "save_"), [contains_any(low, (f"store_{f}", f"save_{f}")) for f in R.PII_FIELDS], [
+        verbs = ("store_", "save_")
+        guard = f"{plain} AND {sql_contains_any('low', verbs)} AND NOT {sql_contains_any('low', R.PROTECTION_WORDS)}"
+        return _privacy_group(name, 20, guard, verbs, [sql_contains_any("low", [v + f for v in verbs]) for f in R.PII_FIELDS], [
             ("high", f"PII '{f}' may be stored without encryption", "Article 32 - Security of processing", "CC6.1",
              "Encrypt PII at rest using AES-256 or equivalent") for f in R.PII_FIELDS])
     if name == "consent":
-        guard = plain & contains_any(low, R.PROCESSING_WORDS)
-        return _privacy_group(name, 40, guard, R.PROCESSING_WORDS, [~contains_any(low, R.CONSENT_WORDS)], [
+        guard = f"{plain} AND {sql_contains_any('low', R.PROCESSING_WORDS)}"
+        return _privacy_group(name, 40, guard, R.PROCESSING_WORDS, [f"NOT {sql_contains_any('low', R.CONSENT_WORDS)}"], [
             ("medium", "Data processing operation without visible consent verification", "Article 6 - Lawfulness of processing",
              "PI1.1", "Add explicit consent check before processing personal data")])
     if name == "transfer":
-        return _privacy_group(name, 41, plain & low.contains("requests."), ("requests.",), [matches(low, R.TRANSFER_PATTERN)], [
+        return _privacy_group(name, 41, f"{plain} AND contains(low, 'requests.')", ("requests.",), [sql_matches("low", R.TRANSFER_PATTERN)], [
             ("medium", "Data transfer to external service may require GDPR Data Processing Agreement", "Article 28 - Processor",
              "CC9.1", "Ensure DPA exists with external processor and data minimization is applied")])
     if name == "operations":
-        return _context_group(name, 42, plain & low.contains("def"), R.SENSITIVE_OPERATIONS, 10, R.OPERATION_LOG_WORDS, lambda op: dict(
+        return _context_group(name, 42, R.SENSITIVE_OPERATIONS, 10, R.OPERATION_LOG_WORDS, lambda op: dict(
             title=f"SOC2 CC7.2: Sensitive operation '{op}' may lack audit logging", confidence_score=0.7,
             description=f"SOC2 Control CC7.2 ({R.SOC2_CONTROLS['CC7.2']}): Sensitive operation '{op}' may lack audit logging",
             suggestion="Add audit log entry recording who performed this action and when"))
     if name == "audit":
-        return _context_group(name, 43, plain & low.contains("def"), R.CRITICAL_FUNCTIONS, 15, R.AUDIT_WORDS, lambda fn: dict(
+        return _context_group(name, 43, R.CRITICAL_FUNCTIONS, 15, R.AUDIT_WORDS, lambda fn: dict(
             title=f"Missing Audit Log: {fn}", confidence_score=0.65, description=f"Function '{fn}' lacks audit logging",
             suggestion="Add structured audit log entry with user, action, timestamp, and result"))
     raise KeyError(name)
 
 
+def _sql_array(words) -> str:
+    return "array(" + ", ".join(quote(w) for w in words) + ")"
+
+
+def _file_is(language: str) -> str:
+    return "(" + " OR ".join(f"endswith(diff_file, {quote(e)})" for e, l in AGENT_LANGUAGES.items() if l == language) + ")"
+
+
 def _privacy_group(name, first, guard, needs, tests, texts) -> Group:
     rows = [dict(
         pack=name, agent_type="compliance", category="compliance", severity=severity, title=f"GDPR: {text}",
@@ -174,16 +181,17 @@ def _privacy_group(name, first, guard, needs, tests, texts) -> Group:
     return Group(guard, tuple(tests), tuple(rows), tuple(needs))
 
 
-def _context_group(name, rank, guard, functions, lines, words, describe) -> Group:
-    covered = F.exists(F.slice("following", 1, lines), lambda l: contains_any(F.lower(l), words))
+def _context_group(name, rank, functions, lines, words, describe) -> Group:
+    """Definitions of the functions without one of the words in the lines that follow."""
+    covered = f"exists(slice(following, 1, {lines}), l -> {sql_contains_any('lower(l)', words)})"
     tests, rows = [], []
     for no, fn in enumerate(functions, 1):
-        tests.append(matches(F.col("code"), rf"(?i)def\s+{fn}\s*\(") & ~covered)
+        tests.append(sql_matches("code", rf"(?i)def\s+{fn}\s*\(") + f" AND NOT {covered}")
         rows.append(dict(
             pack=name, agent_type="compliance", category="compliance", severity="medium", cwe_id=None,
             owasp_category=None, rule_id=f"{name}-{fn}", numbering="code", rule_major=False, rank=rank, rule_no=no,
         ) | describe(fn))
-    return Group(guard, tuple(tests), tuple(rows), ("def",))
+    return Group("code_no IS NOT NULL AND contains(low, 'def')", tuple(tests), tuple(rows), ("def",))
 
 
 GDPR_GROUPS = ("pii_logging", "pii_storage", "consent", "transfer")
@@ -211,14 +219,14 @@ def scan_changes(changes: DataFrame, groups: Sequence[str] = MAIN_GROUPS, deep_w
         pair_when=lambda code: code.contains("except") | code.contains("@app.route"),
     )
     picked = [group_for(g) for g in groups]
-    guards = [g.guard & F.col("_deep") if g.deep and deep_when is not None else g.guard for g in picked]
-    rows, arrays = [], []
-    for group, guard in zip(picked, guards):
-        keys = range(len(rows) + 1, len(rows) + len(group.rows) + 1)
+    rows, keyed = [], []
+    for group in picked:
+        first = len(rows) + 1
         rows.extend(group.rows)
-        arrays.append(F.when(guard, F.array(*[F.when(t, F.lit(k)) for t, k in zip(group.tests, keys)])).otherwise(F.array().cast("array<int>")))
-    hits = lines.filter(contains_any(F.col("low"), _shortest(n for g in picked for n in g.needs))).select(
-        *columns, "diff_line", "diff_file", "added_no", "code_no", "line", "code", _explode_hits(arrays))
+        guard = f"_deep AND {group.guard}" if group.deep and deep_when is not None else group.guard
+        keyed.append((guard, group.tests, first))
+    hits = lines.filter(sql_contains_any("low", _shortest(n for g in picked for n in g.needs))).select(
+        *columns, "diff_line", "diff_file", "added_no", "code_no", "line", "code", _explode_hits(keyed))
     described = hits.select("*", F.element_at(literal_rows(rows, _RULE_SCHEMA), F.col("_hit")).alias("r"))
     number = F.when(F.col("r.numbering") == "diff", F.col("diff_line")).when(
         F.col("r.numbering") == "added", F.col("added_no")).otherwise(F.col("code_no"))
@@ -245,13 +253,17 @@ def _shortest(literals) -> list[str]:
     return [n for i, n in enumerate(folded) if not any(m in n for m in folded[:i])]
 
 
-def _explode_hits(arrays: list[Column]) -> Column:
-    """Rule keys of a line, one row each.
+def _explode_hits(keyed: list[tuple[str, Sequence[str], int]]) -> Column:
+    """Rule keys of a line, one row each; tests are numbered from the given key on.
 
     The lambda keeps the hundred expressions out of one generated method, which
     would pass the size the JVM compiles; only prefiltered lines come here.
     """
-    return F.explode(F.filter(F.flatten(F.array(*arrays)), lambda k: k.isNotNull())).alias("_hit")
+    arrays = []
+    for guard, tests, first in keyed:
+        keys = ", ".join(f"CASE WHEN {t} THEN {k} END" for k, t in enumerate(tests, first))
+        arrays.append(f"CASE WHEN {guard} THEN array({keys}) ELSE array() END")
+    return F.expr(f"explode(filter(flatten(array({', '.join(arrays)})), k -> k IS NOT NULL))").alias("_hit")
 
 
 def emit_position(rank: Column, major: Column, minor: Column) -> Column:
@@ -261,22 +273,16 @@ def emit_position(rank: Column, major: Column, minor: Column) -> Column:
 
 def match_rules(lines: DataFrame, text: str, packs: Sequence[R.Pack], prefiltered: bool = True) -> DataFrame:
     """Line-by-rule join for any packs: one row per line and matching single-line rule."""
-    body, low = F.col(text), F.col("_low")
-    # lower case once per line; the generator below keeps it from being inlined into every test
-    lines = lines.select(*lines.columns, F.explode(F.array(F.lower(text))).alias("_low"))
-    keys, arrays = [], []
+    passed = [c for c in lines.columns]
+    lines = once(lines, _low=F.lower(text))
+    rows, keyed = [], []
     for pack in packs:
-        tests = []
-        for no, rule in enumerate(pack.rules, 1):
-            if not rule.two_line:
-                keys.append(dict(pack=pack.name, rule_no=no, title=rule.title, severity=rule.severity))
-                tests.append(F.when(rule_test(rule, pack, body), F.lit(len(keys))))
-        guard = prefilter(pack, body, low) if prefiltered else F.lit(True)
-        arrays.append(F.when(guard, F.array(*tests)).otherwise(F.array().cast("array<int>")))
+        single = [(no, r) for no, r in enumerate(pack.rules, 1) if not r.two_line]
+        guard = prefilter(pack, text, "_low") if prefiltered else "true"
+        keyed.append((guard, [rule_test(r, pack, text, text) for _, r in single], len(rows) + 1))
+        rows.extend(dict(pack=pack.name, rule_no=no, title=r.title, severity=r.severity) for no, r in single)
     if prefiltered and all(r.needs for p in packs for r in p.rules):
-        lines = lines.filter(contains_any(low, _shortest(n for p in packs for n in _needs(p))))
-    hits = lines.select("*", _explode_hits(arrays))
-    return hits.select(
-        *[c for c in lines.columns if c != "_low"],
-        F.element_at(literal_rows(keys, "pack string, rule_no bigint, title string, severity string"), F.col("_hit")).alias("r"),
-    ).select(*[c for c in lines.columns if c != "_low"], "r.*")
+        lines = lines.filter(sql_contains_any("_low", _shortest(n for p in packs for n in _needs(p))))
+    hits = lines.select(*passed, _explode_hits(keyed))
+    rule = F.element_at(literal_rows(rows, "pack string, rule_no bigint, title string, severity string"), F.col("_hit"))
+    return hits.select(*passed, rule.alias("r")).select(*passed, "r.*")

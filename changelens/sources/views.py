@@ -5,6 +5,8 @@ Each view has a twin CTE in ``plans/oracle.py``; both follow the same formulas.
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,7 +33,8 @@ def spread(rows: DataFrame) -> DataFrame:
 
 
 def _pick(values, index: Column) -> Column:
-    return F.element_at(F.array(*[F.lit(v) for v in values]), (index % len(values) + 1).cast("int"))
+    listed = F.from_json(F.lit(json.dumps(list(values))), "array<string>")
+    return F.element_at(listed, (index % len(values) + 1).cast("int"))
 
 
 def _signed(lines: Column) -> Column:
