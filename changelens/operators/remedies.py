@@ -163,10 +163,12 @@ def safer_libraries(kind: Column, language: Column) -> Column:
     return F.coalesce(found(F.lower(language)), found(F.lit("python")), F.array().cast("array<string>"))
 
 
-def enrich(findings: DataFrame) -> DataFrame:
-    """Add remediation to critical and high findings in place (Q11)."""
+def enrich(findings: DataFrame, where: Column | None = None) -> DataFrame:
+    """Add remediation to critical and high findings in place (Q11), only ``where`` it holds."""
     full = with_explanation(with_patch(findings))
     serious = F.col("severity").isin("critical", "high")
+    if where is not None:
+        serious = serious & where
     fixed = F.concat(
         F.coalesce("suggestion", F.lit("")), F.lit("\n\n**Fixed Code:**\n```\n"), F.col("patch_after"),
         F.lit("\n```\n\n**Explanation:** "), F.col("patch_explanation"))

@@ -55,9 +55,13 @@ def route(scored: DataFrame, max_steps: int = MAX_STEPS) -> DataFrame:
     return scored.withColumn("agents", F.slice(agents, 1, F.least(depth, F.lit(max(0, max_steps - 1)))))
 
 
+def is_confident(threshold: float = 0.4) -> Column:
+    return F.coalesce("confidence_score", F.lit(0.8)) >= threshold
+
+
 def confident(findings: DataFrame, threshold: float = 0.4) -> DataFrame:
     """Drop findings whose confidence (0.8 when absent) is below the threshold (Q4)."""
-    return findings.filter(F.coalesce("confidence_score", F.lit(0.8)) >= threshold)
+    return findings.filter(is_confident(threshold))
 
 
 def quality_score(findings: DataFrame) -> DataFrame:

@@ -15,7 +15,8 @@ def raw_findings(changes: DataFrame, advisories: DataFrame | None = None) -> Dat
     """Union of all agents' findings; deep agents only where the risk score asks for them."""
     scored = scoring.with_risk(changes).select(*_CARRIED, "diff")
     found = scan.scan_changes(scored, deep_when=F.col("score_pts") >= scoring.LOW_RISK_POINTS)
-    manifests = deps.manifest_dependencies(scored.filter(F.col("score_pts") >= scoring.LOW_RISK_POINTS))
+    # a few lines per change, read by two checks: written once instead of reading the diffs again
+    manifests = materialize(deps.manifest_dependencies(scored.filter(F.col("score_pts") >= scoring.LOW_RISK_POINTS)), "manifests")
     found = found.unionByName(deps.stale_findings(manifests))
     if advisories is not None:
         found = found.unionByName(deps.advisory_findings(manifests, advisories))
@@ -29,9 +30,11 @@ def final_findings(raw: DataFrame) -> DataFrame:
     filter and the deduplication, as they skip the agent that does both.
     """
     deep = F.col("score_pts") >= scoring.LOW_RISK_POINTS
-    reviewed = findings.first_wins(
-        scoring.confident(remedies.enrich(raw.filter(deep))), findings.orchestrator_key(), ["emit_seq", "title"])
-    return reviewed.unionByName(raw.filter(~deep), allowMissingColumns=True)
+    enriched = remedies.enrich(raw, where=deep)
+    kept = enriched.filter(~deep | scoring.is_confident())
+    # the position makes every finding of a low-risk change a key of its own, so one pass serves both kinds
+    key = [*findings.orchestrator_key(), F.when(~deep, F.col("emit_seq"))]
+    return findings.first_wins(kept, key, ["emit_seq", "title"])
 
 
 def review(changes: DataFrame, advisories: DataFrame | None = None) -> DataFrame:

@@ -48,7 +48,8 @@ def test_dedup_is_idempotent(changes):
 
 
 def test_hot_key_is_limited_before_the_shuffle(spark):
-    rows = spark.range(100_000).select(F.lit("hot").alias("pr_id"), F.lit("a.py").alias("file_path"), F.lit(1).alias("line_start"), F.lit("T").alias("title"), F.col("id").alias("emit_seq"))
+    rows = spark.range(100_000).select(F.concat(F.lit("hot"), F.floor(F.col("id") / 10**6).cast("string")).alias("pr_id"),
+        F.lit("a.py").alias("file_path"), F.lit(1).alias("line_start"), F.lit("T").alias("title"), F.col("id").alias("emit_seq"))
     first = findings.first_wins(rows, findings.orchestrator_key(), ["emit_seq"])
     assert [r.emit_seq for r in first.collect()] == [0]
     assert "WindowGroupLimit" in first._jdf.queryExecution().executedPlan().toString()
