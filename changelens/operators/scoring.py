@@ -128,11 +128,12 @@ _JUDGED = "accuracy double, severity_appropriate double, actionability double, f
 
 def judged_evaluation(replies: DataFrame, text: str = "reply") -> DataFrame:
     """Combined score from stored judge replies holding a JSON object (Q8)."""
-    body = F.from_json(F.regexp_extract(text, r"(?s)\{.*\}", 0), _JUDGED)
+    found = once(replies, _json=F.regexp_extract(text, r"(?s)\{.*\}", 0)).filter(F.col("_json") != "")
+    body = F.col("_body")
     part = lambda name: F.coalesce(body[name], F.lit(0.7))
     overall = part("accuracy") * 0.4 + part("severity_appropriate") * 0.2 + part("actionability") * 0.4
-    return replies.filter(F.regexp_extract(text, r"(?s)\{.*\}", 0) != "").withColumns({
+    return once(found, _body=F.from_json("_json", _JUDGED)).withColumns({
         "quality_score": F.round(overall, 3),
         "false_positive_likelihood": F.coalesce(body["fp_likelihood"], F.lit(0.2)),
         "method": F.lit("llm_judge"),
-    })
+    }).drop("_json", "_body")

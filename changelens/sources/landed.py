@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from changelens.functions.text import hmac_sha256, lookup
+from changelens.functions.text import hmac_sha256, lookup, once
 
 # ---------------------------------------------------------------------------
 # Severity and confidence names of scanner reports.
@@ -31,7 +31,7 @@ def flatten_webhook(bodies: DataFrame, body: str = "body", event: str = "event")
     """Nested webhook payload to the flat columns of an event; absent counts are 0 (S3)."""
     keep = [c for c in bodies.columns if c not in (body, event)]
     p = F.from_json(body, _WEBHOOK)
-    rows = bodies.select(*keep, F.col(event).alias("event_type"), p.alias("p"))
+    rows = once(bodies.select(*keep, F.col(event).alias("event_type"), body), p=p)
     pr = F.col("p.pull_request")
     return rows.select(
         *keep, "event_type", F.col("p.action").alias("action"), _whole(pr["number"]).alias("pr_number"), pr["title"].alias("pr_title"),
@@ -85,9 +85,9 @@ _METADATA = (
 def pr_metadata(landed: DataFrame, text: str = "text") -> DataFrame:
     """Flat columns of landed pull-request metadata."""
     keep = [c for c in landed.columns if c != text]
-    rows = landed.select(*keep, F.from_json(text, _METADATA).alias("p"))
+    rows = once(landed, p=F.from_json(text, _METADATA))
     return rows.select(
-        *keep, "p.number", "p.title", F.when(F.get_json_object(F.to_json("p"), "$.body").isNull(), "").otherwise(F.col("p.body")).alias("body"), "p.state",
+        *keep, "p.number", "p.title", F.coalesce("p.body", F.lit("")).alias("body"), "p.state",
         F.col("p.user.login").alias("author"), F.col("p.base.ref").alias("base_branch"), F.col("p.head.ref").alias("head_branch"),
         F.col("p.head.sha").alias("head_sha"), "p.diff_url", "p.html_url", F.coalesce("p.changed_files", F.lit(0)).alias("files_changed"),
         F.coalesce("p.additions", F.lit(0)).alias("additions"), F.coalesce("p.deletions", F.lit(0)).alias("deletions"), "p.created_at", "p.updated_at")

@@ -195,8 +195,9 @@ def event_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     # a null body is written as an explicit JSON null: present, unlike an absent key
     value = F.to_json(fields)
     value = F.when(i % 7 == 0, F.regexp_replace(value, r"\}$", ',"body":null}')).otherwise(value)
-    return spread(table(spark, sf_dir, "events")).select(
+    derived = spread(table(spark, sf_dir, "events")).select(
         F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("ts"),
         F.concat(F.lit("org/repo"), (u % 5).cast("string"), F.lit(":"), u.cast("string")).alias("key"),
-        value.alias("value"),
-    )
+        "event_id", "event_type", "user_id")
+    # stands in for a stored column, like the diff of ``changes``
+    return once(derived, value=value).drop("event_id", "event_type", "user_id")

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from changelens.functions.text import once
 from changelens.operators.findings import latest_per_key
 from changelens.sources.landed import disposition
 
@@ -35,14 +36,14 @@ def read_messages(spark: SparkSession, path: str, schema, files_per_trigger: int
 
 def parse(messages: DataFrame) -> DataFrame:
     """Event columns of each JSON value, and which keys it has: absent is not null."""
-    parsed = messages.select("seq", "ts", F.from_json("value", _VALUE).alias("v"), F.json_object_keys("value").alias("present"))
+    parsed = once(messages.select("seq", "ts", "value"), v=F.from_json("value", _VALUE), present=F.json_object_keys("value"))
     whole = lambda c: F.col(f"v.{c}").try_cast("int").alias(c)
     return parsed.select("seq", "ts", *[F.col(f"v.{c}") for c in _TEXTS], whole("pr_number"), *[whole(c) for c in _COUNTS], "present")
 
 
 def gate(events: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Events to process, and the others with their disposition."""
-    marked = events.withColumn("disposition", disposition(F.col("event_type"), F.col("action"), F.col("repo_full_name"), F.col("pr_number")))
+    marked = once(events, disposition=disposition(F.col("event_type"), F.col("action"), F.col("repo_full_name"), F.col("pr_number")))
     accepted = F.col("disposition") == "accepted"
     return marked.filter(accepted).drop("disposition"), marked.filter(~F.coalesce(accepted, F.lit(False)))
 
