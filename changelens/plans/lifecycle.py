@@ -76,10 +76,10 @@ ORACLES["q6_reflection_rate"] = query("""
 SELECT category, count(*) AS original_count, count(*) FILTER (is_likely_false_positive OR quality_score < 0.4) AS filtered_count,
   round(count(*) FILTER (is_likely_false_positive OR quality_score < 0.4) / count(*), 4) AS false_positive_rate FROM quality GROUP BY category""")
 QUERIES["q6_reflection_filter"] = lambda spark, sf: Q.reflect(_scored(spark, sf)).groupBy("description").agg(
-    F.count("*").alias("kept"), F.round(F.avg("confidence_score"), 6).alias("mean_score"))
+    F.count("*").alias("kept"), F.sum(F.round(F.col("confidence_score") * 1000).cast("bigint")).alias("score_points"))
 ORACLES["q6_reflection_filter"] = query("""
 SELECT CASE WHEN suggested_revision <> '' AND quality_score < 0.7 THEN description || chr(10) || chr(10) || '**Reviewer Note:** ' || suggested_revision ELSE description END AS description,
-  count(*) AS kept, round(avg(quality_score), 6) AS mean_score FROM quality WHERE NOT (is_likely_false_positive OR quality_score < 0.4) GROUP BY 1""")
+  count(*) AS kept, sum(round(quality_score * 1000)::BIGINT)::BIGINT AS score_points FROM quality WHERE NOT (is_likely_false_positive OR quality_score < 0.4) GROUP BY 1""")
 QUERIES["q7_heuristic_evaluation"] = lambda spark, sf: Q.heuristic_evaluation(V.finding_facts(spark, sf)).groupBy(
     "quality_score", "false_positive_likelihood", "method").agg(F.count("*").alias("findings"))
 _S = "confidence_score"
@@ -152,10 +152,10 @@ QUERIES["s5_storable_findings"] = lambda spark, sf: L.storable(
         "title": F.when(F.col("line_start") == 10, "").otherwise(F.repeat("title", 20)),
         "severity": F.when(F.col("severity") != "info", F.col("severity")),
         "confidence_score": F.when(F.col("confidence_score") > 0.3, F.col("confidence_score"))})).groupBy("severity", "title").agg(
-    F.count("*").alias("stored"), F.round(F.avg("confidence_score"), 6).alias("mean_confidence"))
+    F.count("*").alias("stored"), F.sum(F.round(F.col("confidence_score") * 100).cast("bigint")).alias("confidence_points"))
 ORACLES["s5_storable_findings"] = query("""
 SELECT CASE WHEN severity <> 'info' THEN severity ELSE 'medium' END AS severity, substr(repeat(title, 20), 1, 500) AS title, count(*) AS stored,
-  round(avg(CASE WHEN confidence_score > 0.3 THEN confidence_score ELSE 0.8 END), 6) AS mean_confidence
+  sum(round(CASE WHEN confidence_score > 0.3 THEN confidence_score ELSE 0.8::DOUBLE END * 100)::BIGINT)::BIGINT AS confidence_points
 FROM finding_facts WHERE line_start IS DISTINCT FROM 10 GROUP BY ALL""")
 QUERIES["w4_first_wins"] = lambda spark, sf: L.first_wins(V.finding_facts(spark, sf), L.orchestrator_key(), _ORDER).select("finding_id")
 ORACLES["w4_first_wins"] = query("""

@@ -214,10 +214,11 @@ QUERIES["t12_hourly_rates"] = lambda spark, sf: _at(A.hourly(V.run_facts(spark,
 ORACLES["t12_hourly_rates"] = query(f"""
 SELECT strftime(date_trunc('hour', started_at) + INTERVAL 1 HOUR, '%Y-%m-%d %H:%M:%S') AS ends_at, agent_type, count(*) AS n FROM run_facts GROUP BY ALL""")
 QUERIES["t13_mean_durations"] = lambda spark, sf: _at(A.mean_by_window(
-    V.run_facts(spark, sf), "started_at", "duration_seconds", "6 hours", "1 hour", ["agent_type"]), "ends_at").withColumn("mean", F.round("mean", 6)).filter("mean IS NOT NULL")
+    V.run_facts(spark, sf).withColumn("hundredths", F.round(F.col("duration_seconds") * 100).cast("bigint")),  # whole numbers add up exactly in any order
+    "started_at", "hundredths", "6 hours", "1 hour", ["agent_type"]), "ends_at").filter("mean IS NOT NULL")
 ORACLES["t13_mean_durations"] = query(f"""
-SELECT {_AT}, agent_type, round(sum(s) / sum(n), 6) AS mean FROM (
-  SELECT b + to_hours(k) AS ends_at, agent_type, s, n FROM (SELECT date_trunc('hour', started_at) AS b, agent_type, sum(duration_seconds) AS s, count(duration_seconds) AS n FROM run_facts GROUP BY ALL),
+SELECT {_AT}, agent_type, sum(s)::BIGINT / sum(n)::BIGINT AS mean FROM (
+  SELECT b + to_hours(k) AS ends_at, agent_type, s, n FROM (SELECT date_trunc('hour', started_at) AS b, agent_type, sum(round(duration_seconds * 100)::BIGINT) AS s, count(duration_seconds) AS n FROM run_facts GROUP BY ALL),
     range(1, 7) r(k)) GROUP BY ALL HAVING sum(n) > 0""")
 
 
