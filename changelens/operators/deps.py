@@ -59,8 +59,8 @@ def manifest_dependencies(changes: DataFrame) -> DataFrame:
 def advisory_severity(entries: Column) -> Column:
     """Severity from an advisory's score entries: the first CVSS entry decides.
 
-    Only the leading characters of the score text are looked at, as in the
-    reference, so a vector string such as ``CVSS:3.1/...`` maps to low.
+    Only the leading characters of the score text are looked at, so a vector
+    string such as ``CVSS:3.1/...`` maps to low; see ``numeric_severity``.
     """
     cvss = F.get(F.filter(entries, lambda s: s["type"].contains("CVSS")), F.lit(0))["score"]
     head3, head4 = F.substring(cvss, 1, 3), F.substring(cvss, 1, 4)

@@ -24,9 +24,14 @@ def storable(findings: DataFrame) -> DataFrame:
     return kept.withColumns(filled | missing | {"title": F.substring("title", 1, 500)})
 
 
-def append_findings(findings: DataFrame, path: str, created_at: str = "created_at") -> None:
-    """Append storable findings to a table partitioned by day."""
-    storable(findings).withColumn("day", F.to_date(created_at)).write.mode("append").partitionBy("day").parquet(path)
+def append_findings(findings: DataFrame, path: str, created_at: str = "created_at", unit: str = "day") -> None:
+    """Append storable findings to a table partitioned by day, or by a coarser ``unit`` such as month.
+
+    Rebalancing brings the rows of a partition together, so tasks do not each
+    write a file for every day, and splits one too large for one task.
+    """
+    dated = storable(findings).withColumn(unit, F.to_date(F.date_trunc(unit, F.col(created_at))))
+    dated.hint("rebalance", unit).write.mode("append").partitionBy(unit).parquet(path)
 
 
 def orchestrator_key() -> list[Column]:
