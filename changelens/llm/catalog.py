@@ -97,11 +97,11 @@ lines AS (
   FROM said s JOIN seats p ON s.conv_id IS NOT DISTINCT FROM p.conv_id),
 placed AS (
   SELECT *, coalesce(floor(turn / 1024), -1)::BIGINT AS part,
-    coalesce(sum(length(head) + length(body)) OVER (PARTITION BY conv_id, perspective, coalesce(floor(turn / 1024), -1) ORDER BY turn, role, body ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS at
+    coalesce(sum(length(head) + length(body)) OVER (PARTITION BY conv_id, perspective, coalesce(floor(turn / 1024), -1) ORDER BY turn, role, body ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS pos
   FROM lines),
 parts AS (
   SELECT conv_id, perspective, part, count(*) AS n_turns, string_agg(head || body, '' ORDER BY turn, role, body) AS text,
-    coalesce(string_agg((at + length(head))::VARCHAR || '-' || (at + length(head) + length(body))::VARCHAR, ';' ORDER BY turn, role, body) FILTER (WHERE own), '') AS mask
+    coalesce(string_agg((pos + length(head))::VARCHAR || '-' || (pos + length(head) + length(body))::VARCHAR, ';' ORDER BY turn, role, body) FILTER (WHERE own), '') AS mask
   FROM placed GROUP BY ALL)
 SELECT conv_id, perspective, part, n_turns, text, mask,
   coalesce(sum(length(text)) OVER (PARTITION BY conv_id, perspective ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start

@@ -14,7 +14,7 @@ import numpy as np
 #: Words kept at most by one Python worker.  When full, the memory starts afresh: results stay the same.
 ENTRIES = 1_000_000
 #: Bytes of text handled together.
-TOGETHER = 8 << 20
+TOGETHER = 4 << 20
 _MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 

@@ -198,7 +198,8 @@ def mixed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     slim = materialize(rows.drop("row"), "numbered")
     first = dealt(slim.withColumn("row", F.lit(0)), block, shard_words, seed).where("part_from = `from`").select("skey", "first", "pass", "shard", "words")
     out = rows.where("size > 0").join(first, ["skey", "first"])
-    pattern = F.concat(F.lit(r"^(?s)[\x20\x09-\x0D]*(?:[^\x20\x09-\x0D]++[\x20\x09-\x0D]*+){"), (F.col("words") - 1).cast("string"), F.lit(r"}[^\x20\x09-\x0D]++"))
-    cut = F.when(F.col("words") < F.col("size"), F.regexp_substr(F.col(f"row.{text_col}"), pattern)).otherwise(F.col(f"row.{text_col}"))
+    text = F.col(f"row.{text_col}")
+    runs = F.regexp_extract_all(text, F.lit(r"[\x20\x09-\x0D]*[^\x20\x09-\x0D]+"), F.lit(0))
+    cut = F.when(F.col("words") < F.col("size"), F.array_join(F.slice(runs, F.lit(1), F.col("words").cast("int")), "")).otherwise(text)
     out = out.withColumn("row", F.col("row").withField(text_col, cut)).withColumn("_order", F.xxhash64(F.lit(seed), "turn", "pass"))
     return out.repartition("shard").sortWithinPartitions("shard", "_order").select("row.*")
