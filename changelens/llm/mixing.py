@@ -43,37 +43,59 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
     return rows.select("source", "source_size", F.when(below, F.col("free.level") * F.col("weight")).otherwise(F.col("cap")).alias("target"))
 
 
+def _let(value: Column, body) -> Column:
+    """`body` of the value, which is computed once: an expression written twice would be planned and computed twice."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _ln_factorial(n: Column) -> Column:
-    """Stirling's series, exact to 1e-12 from 10 on; below, the logarithm of the factorial itself."""
-    x = n + F.lit(1.0)
-    series = (x - 0.5) * F.log(x) - x + 0.5 * math.log(2 * math.pi) + 1 / (12 * x) - 1 / (360 * F.pow(x, 3)) + 1 / (1260 * F.pow(x, 5))
-    return F.when(n < 12, F.log(F.factorial(n.cast("int")).cast("double"))).otherwise(series)
+    """Stirling's series, exact to 1e-12 from 12 on; below, the logarithm of the factorial itself."""
+    series = lambda x: (x - 0.5) * F.log(x) - x + 0.5 * math.log(2 * math.pi) + 1 / (12 * x) - 1 / (360 * x * x * x) + 1 / (1260 * F.pow(x, 5))
+    return F.when(n < 12, F.log(F.factorial(n.cast("int")).cast("double"))).otherwise(_let(n + F.lit(1.0), series))
 
 
 def hypergeometric(total: Column, marked: Column, drawn: Column, u: Column) -> Column:
     """How many of `drawn` out of `total` are among the `marked`, for a uniform u: the distribution summed outward from its mode until it passes u."""
-    total, marked, drawn = (c.cast("double") for c in (total, marked, drawn))
-    low, high = F.greatest(F.lit(0.0), drawn + marked - total), F.least(drawn, marked)
-    mode = F.least(high, F.greatest(low, F.floor((drawn + 1) * (marked + 1) / (total + 2)).cast("double")))
-    choose = lambda n, k: _ln_factorial(n) - _ln_factorial(k) - _ln_factorial(n - k)
-    peak = F.exp(choose(marked, mode) + choose(total - marked, drawn - mode) - choose(total, drawn))
-    spread = F.sqrt(drawn * marked / F.greatest(total, F.lit(1.0)) * (1 - marked / F.greatest(total, F.lit(1.0))))
-    # beyond 12 standard deviations to each side less than 1e-30 is left
-    steps = F.least(high - low, F.ceil(12 * spread + 30).cast("double")).cast("int")
-    start = F.struct(u.alias("left"), mode.alias("down"), peak.alias("p_down"), mode.alias("up"), peak.alias("p_up"), F.when(u <= peak, mode).alias("found"))
-
-    def step(s: Column, _: Column) -> Column:
-        k = s["down"]
-        lower = F.when(k > low, s["p_down"] * k * (total - marked - drawn + k) / ((marked - k + 1) * (drawn - k + 1))).otherwise(0.0)
-        k = s["up"]
-        upper = F.when(k < high, s["p_up"] * (marked - k) * (drawn - k) / ((k + 1) * (total - marked - drawn + k + 1))).otherwise(0.0)
-        left = s["left"]
-        found = F.coalesce(s["found"], F.when((left <= lower) & (lower > 0), s["down"] - 1), F.when((left <= lower + upper) & (upper > 0), s["up"] + 1))
-        return F.struct((left - lower - upper).alias("left"), F.greatest(low, s["down"] - 1).alias("down"), lower.alias("p_down"), F.least(high, s["up"] + 1).alias("up"), upper.alias("p_up"), found.alias("found"))
-
-    first = start.withField("left", F.greatest(F.lit(0.0), u - peak))
-    walk = F.aggregate(F.when(steps > 0, F.sequence(F.lit(1), steps)).otherwise(F.array().cast("array<int>")), first, step, lambda s: F.coalesce(s["found"], mode))
-    return F.when(u <= peak, mode).otherwise(walk).cast("long")
+    given = F.struct(*[c.cast("double").alias(n) for n, c in (("total", total), ("marked", marked), ("drawn", drawn), ("u", u))])
+
+    def bounded(g: Column) -> Column:
+        low, high = F.greatest(F.lit(0.0), g["drawn"] + g["marked"] - g["total"]), F.least(g["drawn"], g["marked"])
+        return F.struct(g.alias("g"), low.alias("low"), high.alias("high"))
+
+    def peaked(b: Column) -> Column:
+        g = b["g"]
+        mode = F.least(b["high"], F.greatest(b["low"], F.floor((g["drawn"] + 1) * (g["marked"] + 1) / (g["total"] + 2)).cast("double")))
+        share = g["marked"] / F.greatest(g["total"], F.lit(1.0))
+        # beyond 12 standard deviations to each side less than 1e-30 is left
+        steps = F.least(b["high"] - b["low"], F.ceil(12 * F.sqrt(g["drawn"] * share * (1 - share)) + 30).cast("double")).cast("int")
+        return F.struct(b.alias("b"), mode.alias("mode"), steps.alias("steps"))
+
+    def weighed(m: Column) -> Column:
+        g, k = m["b"]["g"], m["mode"]
+        logs = [g["marked"], k, g["marked"] - k, g["total"] - g["marked"], g["drawn"] - k, g["total"] - g["marked"] - g["drawn"] + k, g["total"], g["drawn"], g["total"] - g["drawn"]]
+        signs = [1.0, -1.0, -1.0, 1.0, -1.0, -1.0, -1.0, 1.0, 1.0]
+        terms = F.zip_with(F.transform(F.array(*logs), _ln_factorial), F.array(*map(F.lit, signs)), lambda x, y: x * y)
+        return F.struct(m.alias("m"), F.exp(F.aggregate(terms, F.lit(0.0), lambda x, y: x + y)).alias("peak"))
+
+    def walked(w: Column) -> Column:
+        m, peak = w["m"], w["peak"]
+        low, high, mode = m["b"]["low"], m["b"]["high"], m["mode"]
+        total, marked, drawn = (m["b"]["g"][n] for n in ("total", "marked", "drawn"))
+        nothing = F.lit(None).cast("double")
+        start = F.struct((m["b"]["g"]["u"] - peak).alias("left"), mode.alias("down"), peak.alias("p_down"), mode.alias("up"), peak.alias("p_up"), F.when(m["b"]["g"]["u"] <= peak, mode).otherwise(nothing).alias("found"))
+
+        def step(s: Column, _: Column) -> Column:
+            down, up = s["down"], s["up"]
+            lower = F.when(down > low, s["p_down"] * down * (total - marked - drawn + down) / ((marked - down + 1) * (drawn - down + 1))).otherwise(0.0)
+            upper = F.when(up < high, s["p_up"] * (marked - up) * (drawn - up) / ((up + 1) * (total - marked - drawn + up + 1))).otherwise(0.0)
+            return _let(F.struct(lower.alias("lower"), upper.alias("upper")), lambda p: F.struct(
+                (s["left"] - p["lower"] - p["upper"]).alias("left"), F.greatest(low, down - 1).alias("down"), p["lower"].alias("p_down"), F.least(high, up + 1).alias("up"), p["upper"].alias("p_up"),
+                F.coalesce(s["found"], F.when((s["left"] <= p["lower"]) & (p["lower"] > 0), down - 1), F.when((s["left"] <= p["lower"] + p["upper"]) & (p["upper"] > 0), up + 1)).alias("found")))
+
+        steps = F.when(m["steps"] > 0, F.sequence(F.lit(1), F.greatest(F.lit(1), m["steps"]))).otherwise(F.array().cast("array<int>"))
+        return F.aggregate(steps, start, step, lambda s: F.coalesce(s["found"], mode)).cast("long")
+
+    return _let(_let(_let(_let(given, bounded), peaked), weighed), walked)
 
 
 def split_tree(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
@@ -91,15 +113,10 @@ def split_tree(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
 
         def draw(s: Column, q: Column, level: int = level) -> Column:
             u = (F.xxhash64(F.lit(seed), F.lit(level), F.col("shard"), q["source"]).bitwiseAND(F.lit((1 << 53) - 1)).cast("double") + 0.5) / float(1 << 53)
-            k = hypergeometric(s["rest"], q["blocks"], s["draw"], u)
-            return F.struct((s["rest"] - q["blocks"]).alias("rest"), s["draw"].alias("draw"), F.array_append(s["got"], k).alias("got"))
-
-        # the draw that remains is what earlier sources left: rebuilt from the numbers drawn so far
-        def drawing(s: Column, q: Column) -> Column:
-            t = draw(s, q)
-            return t.withField("draw", s["draw"] - F.element_at(t["got"], -1))
+            return _let(hypergeometric(s["rest"], q["blocks"], s["draw"], u), lambda k: F.struct(
+                (s["rest"] - q["blocks"]).alias("rest"), (s["draw"] - k).alias("draw"), F.array_append(s["got"], k).alias("got")))
 
-        nodes = nodes.withColumn("got", F.aggregate("qs", state, drawing, lambda s: s["got"]))
+        nodes = nodes.withColumn("got", F.aggregate("qs", state, lambda s, q: draw(s, q), lambda s: s["got"]))
         left = F.struct(F.col("shard"), F.col("left_leaves").alias("leaves"), F.transform("qs", lambda q, i: q.withField("blocks", F.element_at("got", i + 1))).alias("qs"))
         right = F.struct((F.col("shard") + F.col("left_leaves")).alias("shard"), (F.col("leaves") - F.col("left_leaves")).alias("leaves"), F.transform("qs", lambda q, i: F.struct(
             q["source"].alias("source"), (q["first"] + F.element_at("got", i + 1)).alias("first"), (q["blocks"] - F.element_at("got", i + 1)).alias("blocks"))).alias("qs"))
