@@ -39,7 +39,7 @@ def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 def quality_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> quality.Model:
     """Learned from the labelled documents whose crc32 leaves 0 or 2 modulo 3."""
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
-    return quality.train(docs.select("doc_id", "text").where(_bucket(3) != 1).join(labels.where(_bucket(3) != 1), "doc_id"))
+    return quality.train(docs.where(_bucket(3) != 1), labels.where(_bucket(3) != 1))
 
 
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

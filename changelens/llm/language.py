@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 WIDTHS, FILTERS, WINDOW = (2, 3, 4), 8, 256
@@ -152,15 +152,14 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", s
     Rows without a language, or whose text is null or has no letter, teach nothing.
     """
     rows = labelled.select(F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")).where("lang is not null and text rlike '[\\\\p{L}]'")
-    order = F.xxhash64(F.lit(seed), "text")
-    spot = F.pmod(order, F.greatest(F.lit(1), F.length("text") - most_chars + 1)).cast("int")
-    rows = rows.select("lang", order.alias("o"), F.substring(F.col("text"), spot + 1, F.lit(most_chars)).alias("text"))
-    # a bounded top list for each language, kept small before the shuffle
-    from pyspark.sql import Window
-
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("o", "text"))
-    got = rows.withColumn("r", rank).where(F.col("r") <= sample).select("text", "lang").collect()
-    return fit([r[0] for r in got], [r[1] for r in got], seed=seed)
+    rows = rows.select("text", "lang", F.xxhash64(F.lit(seed), "text").alias("turn"))
+    # first the numbers alone: a bounded list for each language, kept short before the shuffle; then the texts that they name
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("turn"))
+    chosen = rows.select("lang", "turn").distinct().withColumn("place", place).where(F.col("place") <= sample).select("lang", "turn")
+    spot = F.pmod("turn", F.greatest(F.lit(1), F.length("text") - most_chars + 1)).cast("int")
+    named = rows.join(F.broadcast(chosen), ["lang", "turn"]).select("lang", "turn", F.substring(F.col("text"), spot + 1, F.lit(most_chars)).alias("text"))
+    got = sorted(named.groupBy("lang", "turn").agg(F.min("text").alias("text")).collect())
+    return fit([r["text"] for r in got], [r["lang"] for r in got], seed=seed)
 
 
 def predict(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -13,7 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 BITS, WINDOW = 17, 4096
@@ -112,13 +112,15 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(self.slope * self.margin(text), -30, 30))))
 
 
-def train(labelled: DataFrame, text_col: str = "text", label_col: str = "label", sample: int = 6000, seed: int = 5) -> Model:
-    """Fit on rows of (text, label 0 or 1; other labels and null ones are left out).
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "label", sample: int = 6000, seed: int = 5) -> Model:
+    """Fit on the documents that `labels` (id, label 0 or 1; other labels and null ones are left out) names.
 
-    The counts behind the ratios cover every row; the support vectors come from at most `sample` rows, half of them of each class, chosen by
-    a hash of their text.  Without rows of both classes the model scores 1/2 everywhere on the side of the class there is.
+    The counts behind the ratios cover every labelled document; the support vectors come from at most `sample` of them, half of each class,
+    chosen by a hash of their id, so that only their texts are read again.  Without documents of both classes the model scores 1/2 everywhere, on the side of the class there is.
     """
-    rows = labelled.select(F.col(text_col).cast("string").alias("text"), F.col(label_col).cast("int").alias("label")).where("label in (0, 1)")
+    texts_of = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    marks = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("label in (0, 1)").distinct()
+    rows = texts_of.join(marks, "id").select("text", "label")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros((2, 1 << BITS), np.int64)
@@ -138,17 +140,17 @@ def train(labelled: DataFrame, text_col: str = "text", label_col: str = "label",
     p, q = counts[1] + SMOOTH, counts[0] + SMOOTH
     scale = np.log((p / p.sum()) / (q / q.sum()))
 
-    texts, y = [], []
-    for label in (0, 1):
-        order = F.xxhash64(F.lit(seed), "text")
-        # of each sampled text a window at a place and of a length that the hash names: bounded in bytes, and short texts are learned too
-        some = rows.where(F.col("label") == label).orderBy(order, "text").limit(sample // 2)
-        spot = F.pmod(order, F.greatest(F.lit(1), F.length("text") - WINDOW + 1)).cast("int")
-        length = F.pow(2.0, 3 + F.pmod(F.shiftright(order, 20), F.lit(1000)) / 1000 * (np.log2(WINDOW) - 3)).cast("int")
-        length = F.when(F.pmod(F.shiftright(order, 40), F.lit(2)) == 0, length).otherwise(WINDOW)
-        some = some.select(F.coalesce(F.substring(F.col("text"), spot + 1, length), F.lit("")).alias("text"))
-        got = [r[0] for r in some.collect()]
-        texts, y = texts + got, y + [2 * label - 1] * len(got)
+    order = F.xxhash64(F.lit(seed), "id", "label")
+    first = F.row_number().over(Window.partitionBy("label").orderBy(order, "id"))
+    # at most `sample` short rows
+    chosen = marks.withColumn("place", first).where(F.col("place") <= sample // 2).withColumn("turn", order)
+    # of each sampled text a window at a place and of a length that the hash names: bounded in bytes, and short texts are learned too
+    spot = F.pmod("turn", F.greatest(F.lit(1), F.length("text") - WINDOW + 1)).cast("int")
+    length = F.pow(2.0, 3 + F.pmod(F.shiftright("turn", 20), F.lit(1000)) / 1000 * float(np.log2(WINDOW) - 3)).cast("int")
+    length = F.when(F.pmod(F.shiftright("turn", 40), F.lit(2)) == 0, length).otherwise(WINDOW)
+    some = texts_of.join(F.broadcast(chosen), "id").select("id", "label", F.coalesce(F.substring(F.col("text"), spot + 1, length), F.lit("")).alias("text"))
+    got = sorted(some.limit(2 * sample).collect())
+    texts, y = [r["text"] for r in got], [2 * r["label"] - 1 for r in got]
     y = np.array(y)
     if len(set(y.tolist())) < 2:
         return Model(scale * 0, scale * 0, float(y[0]) * 1e-9 if len(y) else 0.0)

@@ -20,9 +20,9 @@ def test_quality_on_rows_not_learned_from(spark):
 
 
 def test_quality_odd_rows(spark, odd, empty):
-    labelled = odd.select("text", F.when(F.col("doc_id") < 4, 0).when(F.col("doc_id") < 9, 1).alias("label"))
-    for rows in (labelled, labelled.where("label = 1"), labelled.where("label = 0"), labelled.where("false")):
-        model = quality.train(rows)
+    labels = odd.select("doc_id", F.when(F.col("doc_id") < 4, 0).when(F.col("doc_id") < 9, 1).alias("label"))
+    for rows in (labels, labels.where("label = 1"), labels.where("label = 0"), labels.where("false")):
+        model = quality.train(odd, rows)
         got = quality.score(odd, model).collect()
         assert len(got) == odd.count() and all(0 <= r["score"] <= 1 for r in got)
     assert quality.score(empty, model).collect() == []

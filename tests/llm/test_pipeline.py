@@ -46,4 +46,4 @@ def test_odd_rows(spark, odd, empty):
             docs = materialize(stage(spark, docs, SF), "odd")
             assert docs.columns == odd.columns
         assert docs.count() == corpus_pipeline.STAGES[-1][1](spark, docs, SF).count()
-    assert quality.score(empty, quality.train(empty.selectExpr("text", "1 as label"))).count() == 0
+    assert quality.score(empty, quality.train(empty, empty.selectExpr("doc_id", "1 as label"))).count() == 0
