@@ -12,9 +12,9 @@ from collections.abc import Callable
 import numpy as np
 
 #: Words kept at most by one Python worker.  When full, the memory starts afresh: results stay the same.
-ENTRIES = 1_000_000
+ENTRIES = 300_000
 #: Bytes of text handled together.
-TOGETHER = 4 << 20
+TOGETHER = 2 << 20
 _MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 

@@ -23,7 +23,7 @@ from changelens.llm.memo import Memo, runs
 SPACE = "\u2581"
 _SPACE = SPACE.encode()
 #: Texts encoded together.
-TEXTS = 512
+TEXTS = 128
 #: Kinds of pieces in a model file.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
