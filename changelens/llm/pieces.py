@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,8 +23,8 @@ from changelens.llm.memo import Memo, runs
 
 SPACE = "\u2581"
 _SPACE = SPACE.encode()
-#: Texts encoded together.
-TEXTS = 128
+#: Texts encoded together at most, and their bytes unless one text alone has more.
+TEXTS, SOURCE = 128, 1 << 20
 #: Kinds of pieces in a model file.
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
@@ -210,12 +211,12 @@ class Pieces:
     def _plain(self, text: bytes) -> tuple[bytes, np.ndarray]:
         """Without a character map only spaces change: one byte becomes the bytes of the space symbol."""
         if not text:
-            return b"", np.zeros(1, np.int64)
+            return b"", np.zeros(1, np.int32)
         space = _SPACE if self.escape else b" "
         wide = np.where(np.frombuffer(text, np.uint8) == 32, len(space), 1)
-        where = np.repeat(np.arange(len(text)), wide)
+        where = np.repeat(np.arange(len(text), dtype=np.int32), wide)
         head = len(space) * self.dummy
-        return space * self.dummy + text.replace(b" ", space), np.concatenate([np.zeros(head, np.int64), where, [len(text)]])
+        return space * self.dummy + text.replace(b" ", space), np.concatenate([np.zeros(head, np.int32), where, np.array([len(text)], np.int32)])
 
     def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each text: ids, and the n+1 source byte places between which its n pieces lie."""
@@ -260,13 +261,25 @@ def encode_digests(docs: DataFrame, model: str, id_col: str = "doc_id", text_col
         ("tiled", "boolean", pa.bool_(), lambda p, ids, places: bool((np.diff(places) >= 0).all()))])
 
 
+def _cuts(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """(first, number) of consecutive texts that are encoded together."""
+    first = held = 0
+    for i, size in enumerate(pc.binary_length(texts).fill_null(0).to_pylist()):
+        if i > first and (i - first == TEXTS or held + size > SOURCE):
+            yield first, i - first
+            first, held = i, 0
+        held += size
+    if len(texts):
+        yield first, len(texts) - first
+
+
 def _run(docs: DataFrame, model: str, id_col: str, text_col: str, wanted: list[tuple]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = None
         for batch in batches:
             pieces = pieces or Pieces(model)
-            for first in range(0, batch.num_rows, TEXTS):
-                part = batch.slice(first, TEXTS)
+            for first, size in _cuts(batch.column(1)):
+                part = batch.slice(first, size)
                 coded = pieces.encode([t or "" for t in part.column(1).to_pylist()])
                 columns = [pa.array([make(pieces, *c) for c in coded], kind) for _, _, kind, make in wanted]
                 yield pa.RecordBatch.from_arrays([part.column(0), *columns], [id_col, *[w[0] for w in wanted]])

@@ -120,3 +120,12 @@ def test_piece_query(spark, documents, odd, empty):
     assert sorted(r["ids"] for r in rows) == sorted(library.encode(r["text"] or "", add_eos=True) for r in odd.collect())
     assert all(len(r["places"]) == len(r["ids"]) for r in rows)
     assert pieces.encode_texts(empty, PIECES).collect() == []
+
+
+def test_texts_encoded_together_are_bounded(monkeypatch):
+    monkeypatch.setattr(pieces, "SOURCE", 10)
+    monkeypatch.setattr(pieces, "TEXTS", 3)
+    cuts = lambda *sizes: list(pieces._cuts(pa.array([None if n is None else "x" * n for n in sizes], pa.string())))
+    assert cuts() == []
+    assert cuts(0, None, 0, 0) == [(0, 3), (3, 1)]
+    assert cuts(4, 6, 1, 50, 1) == [(0, 2), (2, 1), (3, 1), (4, 1)]
