@@ -79,9 +79,10 @@ def latest_per_key(updates: DataFrame, keys: Sequence[str], order: Sequence[Colu
     return updates.withColumn("_n", F.row_number().over(last)).filter("_n = 1").drop("_n")
 
 
-def patch_rows(base: DataFrame, updates: DataFrame, key: str, fields: Sequence[str], order: Sequence[Column | str]) -> DataFrame:
-    """Set the given non-null fields of the latest update of each row."""
-    latest = latest_per_key(updates, [key], order).select(key, *[F.col(f).alias(f"_u_{f}") for f in fields])
+def patch_rows(base: DataFrame, updates: DataFrame, key: str, fields: Sequence[str], seq: str) -> DataFrame:
+    """Apply the updates of each row in the order of ``seq`` (F12): a field takes its last non-null value, whichever update gave it."""
+    last = [F.max(F.when(F.col(f).isNotNull(), F.struct(F.col(seq).alias("seq"), F.col(f).alias("value"))))["value"].alias(f"_u_{f}") for f in fields]
+    latest = updates.groupBy(key).agg(*last)
     return base.join(latest, key, "left").withColumns(
         {f: F.coalesce(F.col(f"_u_{f}"), F.col(f)) for f in fields}).drop(*[f"_u_{f}" for f in fields])
 

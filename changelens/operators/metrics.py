@@ -1,7 +1,8 @@
 """Listings and dashboard aggregates over the stored tables.
 
-Nothing reads the clock: every time-filtered function takes ``as_of``.  Lists
-are ordered with the id as last key, so equal times cannot reorder pages.
+Nothing reads the clock: every time-filtered function takes ``as_of`` and
+counts rows from ``days`` before it up to, but not including, it.  Lists are
+ordered with the id as last key, so equal times cannot reorder pages.
 """
 
 from __future__ import annotations
@@ -17,26 +18,21 @@ from changelens.functions.text import SEVERITIES
 LATENCY_BOUNDS = (0.005, 0.01, 0.025, 0.05, 0.075, 0.1, 0.25, 0.5, 0.75, 1.0, 2.5, 5.0, 7.5, 10.0)
 
 
-def since(as_of: datetime, days: int, most: int = 90) -> datetime:
-    if not 1 <= days <= most:
-        raise ValueError(f"days must be between 1 and {most}")
-    return as_of - timedelta(days=days)
-
-
 def recent(rows: DataFrame, time: str, as_of: datetime, days: int) -> DataFrame:
-    # the literal takes the column's type, zoned or not, so the filter reaches the file scan
-    return rows.filter(F.col(time) >= F.lit(since(as_of, days)).cast(rows.schema[time].dataType))
+    # the literals take the column's type, zoned or not, so the filter reaches the file scan
+    first, end = (F.lit(t).cast(rows.schema[time].dataType) for t in (as_of - timedelta(days=days), as_of))
+    return rows.filter((F.col(time) >= first) & (F.col(time) < end))
 
 
-def listing(rows: DataFrame, time: str, key: str, limit: int, offset: int = 0, most: int = 200, ascending: bool = False, **equals) -> DataFrame:
-    """Filtered page of a table, newest first (F1, F3–F7); a filter given as None does not apply."""
-    if limit > most:
-        raise ValueError(f"limit must not exceed {most}")
+def listing(rows: DataFrame, time: str, key: str, limit: int | None = None, offset: int = 0, ascending: bool = False, **equals) -> DataFrame:
+    """Filtered page of a table, newest first (F1, F3–F7); a filter given as None does not apply, nor does a limit of None."""
     for name, value in equals.items():
         if value is not None:
             rows = rows.filter(F.col(name) == value)
     order = F.col(time).asc() if ascending else F.col(time).desc()
-    return rows.orderBy(order, key).offset(offset).limit(limit)
+    rows = rows.orderBy(order, key)
+    rows = rows.offset(offset) if offset else rows
+    return rows if limit is None else rows.limit(limit)
 
 
 def by_id(rows: DataFrame, key: str, value) -> DataFrame:
@@ -54,12 +50,13 @@ def rate(part: Column, whole: Column, digits: int) -> Column:
     return F.round(F.coalesce(F.try_divide(part, whole), F.lit(0.0)), digits)
 
 
-def summary(prs: DataFrame, findings: DataFrame, runs: DataFrame, as_of: datetime, days: int = 7) -> DataFrame:
-    """The dashboard's headline numbers (A1, A2, A3): one aggregate per table."""
+def summary(prs: DataFrame, findings: DataFrame, runs: DataFrame, as_of: datetime, days: int = 7,
+            runs_as_of: datetime | None = None) -> DataFrame:
+    """The dashboard's headline numbers (A1, A2, A3): one aggregate per table; ``runs_as_of`` where the runs' clock is another."""
     p = recent(prs, "created_at", as_of, days).agg(F.count("*").alias("n"))
     f = recent(findings, "created_at", as_of, days).agg(
         F.count("*").alias("n"), rate(F.count_if("false_positive"), F.count("*"), 3).alias("fp"))
-    r = recent(runs, "started_at", as_of, days).agg(F.round(F.coalesce(F.avg("duration_seconds"), F.lit(0.0)), 1).alias("d"))
+    r = recent(runs, "started_at", runs_as_of or as_of, days).agg(F.round(F.coalesce(F.avg("duration_seconds"), F.lit(0.0)), 1).alias("d"))
     one, found = prs.sparkSession.range(1), f.select(F.struct("n", "fp")).scalar()
     return one.select(
         F.lit(days).alias("period_days"), p.select("n").scalar().alias("total_prs_reviewed"), found["n"].alias("total_findings"),
@@ -93,8 +90,6 @@ def top_repositories(prs: DataFrame, findings: DataFrame, as_of: datetime, days:
     Findings are counted per pull request before the join, so the join moves
     one row per pull request and a busy repository is no hot key.
     """
-    if limit > 50:
-        raise ValueError("limit must not exceed 50")
     per_pr = recent(findings, "created_at", as_of, days).groupBy("pr_id").agg(F.count("*").alias("n"))
     counted = per_pr.join(prs.select("pr_id", F.col("repo_full_name").alias("repo")), "pr_id")
     return counted.groupBy("repo").agg(F.sum("n").alias("finding_count")).orderBy(F.desc("finding_count"), "repo").limit(limit)

@@ -209,12 +209,13 @@ def pr_updates(spark, sf):
 
 
 QUERIES["f12_patch_rows"] = lambda spark, sf: L.patch_rows(
-    V.pr_facts(spark, sf), pr_updates(spark, sf), "pr_id", ["status", "risk_score"], [F.desc("seq")]).select("pr_id", "status", "risk_score")
+    V.pr_facts(spark, sf), pr_updates(spark, sf), "pr_id", ["status", "risk_score"], "seq").select("pr_id", "status", "risk_score")
 ORACLES["f12_patch_rows"] = query(f"""
 SELECT p.pr_id, coalesce(u.status, p.status) AS status, coalesce(u.risk_score, p.risk_score) AS risk_score FROM pr_facts p LEFT JOIN (
-  SELECT event_id % 5000 AS pr_id, CASE WHEN event_id % 3 <> 0 THEN {pick(("queued", "reviewing", "completed"), "event_id")} END AS status,
-    CASE WHEN event_id % 4 = 0 THEN (event_id % 100) / 100.0::DOUBLE END AS risk_score, row_number() OVER (PARTITION BY event_id % 5000 ORDER BY event_id DESC) AS n FROM events
-  ) u ON p.pr_id = u.pr_id AND u.n = 1""")
+  SELECT event_id % 5000 AS pr_id,
+    arg_max({pick(("queued", "reviewing", "completed"), "event_id")}, event_id) FILTER (event_id % 3 <> 0) AS status,
+    arg_max((event_id % 100) / 100.0::DOUBLE, event_id) FILTER (event_id % 4 = 0) AS risk_score FROM events GROUP BY 1
+  ) u ON p.pr_id = u.pr_id""")
 
 
 def _feedback(spark, sf):

@@ -166,7 +166,7 @@ def _symbols_sql() -> str:
 # distinct in order of first appearance
 CTES["chunk_symbols"] = f"""
 SELECT pr_id, file_no, file_path, language, chunk_index, line_start, line_end, content,
-  list_slice(list_filter(all_symbols, lambda x, i: length(x) > 2 AND list_position(all_symbols, x) = i), 1, 20) AS symbols
+  list_filter(all_symbols, lambda x, i: length(x) > 2 AND list_position(all_symbols, x) = i) AS symbols
 FROM (SELECT *, {_symbols_sql()} AS all_symbols FROM chunks)"""
 ORACLES["d9_symbols"] = query("""
 SELECT pr_id, file_no::BIGINT AS file_no, chunk_index, array_to_string(symbols, ',') AS symbols FROM chunk_symbols""")

@@ -177,11 +177,11 @@ ORACLES["j9_line_rule_join"] = query("\nUNION ALL ".join(
 QUERIES["a13_categories_hit"] = lambda spark, sf: S.scan_changes(
     V.changes(spark, sf).select("pr_id", "diff"), ["owasp", "injection"]).groupBy("pr_id").agg(
     F.array_join(F.sort_array(F.collect_set("owasp_category")), ";").alias("owasp_hit"),
-    F.array_join(F.sort_array(F.collect_set(F.regexp_extract("rule_id", "^injection-(.*)", 1))), ";").alias("injection_hit"))
+    F.array_join(F.sort_array(F.collect_set(F.nullif(F.regexp_extract("rule_id", "^injection-(.*)", 1), F.lit("")))), ";").alias("injection_hit"))
 ORACLES["a13_categories_hit"] = query("""
 SELECT pr_id, coalesce(string_agg(DISTINCT owasp_category, ';' ORDER BY owasp_category), '') AS owasp_hit,
-  string_agg(DISTINCT inj, ';' ORDER BY inj) AS injection_hit
-FROM (SELECT pr_id, owasp_category, CASE WHEN starts_with(rule_id, 'injection-') THEN substr(rule_id, 11) ELSE '' END AS inj
+  coalesce(string_agg(DISTINCT inj, ';' ORDER BY inj), '') AS injection_hit
+FROM (SELECT pr_id, owasp_category, CASE WHEN starts_with(rule_id, 'injection-') THEN substr(rule_id, 11) END AS inj
   FROM (SELECT * FROM f_owasp UNION ALL SELECT * FROM f_injection)) GROUP BY pr_id""")
 
 # --------------------------------------------------------------------------- triage and routing
@@ -233,7 +233,7 @@ SELECT pr_id, agent_type, severity, title, description, file_path, coalesce(line
 
 def _stages(spark, sf):
     raw = P.raw_findings(*_sources(spark, sf))
-    keyed = raw.withColumn("_sure", F.coalesce("confidence_score", F.lit(0.8)) >= 0.7)
+    keyed = raw.withColumn("_sure", F.coalesce("confidence_score", F.lit(0.8)) >= 0.4)
     # one pass: a finding counts once per key, so a distinct count of the keys is the count after deduplication
     key = F.struct(*[k.alias(f"k{i}") for i, k in enumerate(L.orchestrator_key())])
     per_key = keyed.groupBy("pr_id", key.alias("_key")).agg(F.count("*").alias("n"), F.count_if("_sure").alias("s"))
@@ -243,8 +243,8 @@ def _stages(spark, sf):
 
 QUERIES["a12_reflection_counts"] = _stages
 ORACLES["a12_reflection_counts"] = query("""
-SELECT pr_id, count(*) AS original_count, count(*) FILTER (confidence_score >= 0.7) AS after_filter,
-  count(DISTINCT (coalesce(file_path, '?'), coalesce(line_start, -1), substr(title, 1, 50))) FILTER (confidence_score >= 0.7) AS final_count
+SELECT pr_id, count(*) AS original_count, count(*) FILTER (coalesce(confidence_score, 0.8) >= 0.4) AS after_filter,
+  count(DISTINCT (coalesce(file_path, '?'), coalesce(line_start, -1), substr(title, 1, 50))) FILTER (coalesce(confidence_score, 0.8) >= 0.4) AS final_count
 FROM f_raw GROUP BY pr_id""")
 QUERIES["a11_agent_result_counts"] = lambda spark, sf: L.agent_counts(P.raw_findings(*_sources(spark, sf)))
 ORACLES["a11_agent_result_counts"] = query("""
