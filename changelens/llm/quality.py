@@ -120,7 +120,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     """
     texts_of = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     marks = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("label in (0, 1)").distinct()
-    rows = texts_of.join(marks, "id").select("text", "label")
+    # labels grow with the documents, so they are never broadcast: one plan at every size, the texts shuffled once
+    rows = texts_of.join(marks.hint("merge"), "id").select("text", "label")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros((2, 1 << BITS), np.int64)
