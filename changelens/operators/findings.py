@@ -16,12 +16,13 @@ FINDING_DEFAULTS = {"agent_type": "orchestrator", "severity": "medium", "categor
 REPORT_ORDER = ("static_analysis", "security_audit", "dependency", "compliance")
 
 
-def storable(findings: DataFrame) -> DataFrame:
-    """Rows fit to be stored: titled and described, defaults filled, title cut to 500."""
+def storable(findings: DataFrame, title_length: int | None = None) -> DataFrame:
+    """Rows fit to be stored: titled and described, defaults filled (S5); titles are cut only where a column's width is given."""
     kept = findings.filter((F.coalesce("title", F.lit("")) != "") & (F.coalesce("description", F.lit("")) != ""))
     filled = {c: F.coalesce(F.col(c), F.lit(v)) for c, v in FINDING_DEFAULTS.items() if c in findings.columns}
     missing = {c: F.lit(v) for c, v in FINDING_DEFAULTS.items() if c not in findings.columns}
-    return kept.withColumns(filled | missing | {"title": F.substring("title", 1, 500)})
+    cut = {} if title_length is None else {"title": F.substring("title", 1, title_length)}
+    return kept.withColumns(filled | missing | cut)
 
 
 def append_findings(findings: DataFrame, path: str, created_at: str = "created_at", unit: str = "day") -> None:
@@ -34,13 +35,20 @@ def append_findings(findings: DataFrame, path: str, created_at: str = "created_a
     dated.hint("rebalance", unit).write.mode("append").partitionBy(unit).parquet(path)
 
 
-def orchestrator_key() -> list[Column]:
-    return [F.col("file_path"), F.col("line_start"), F.substring(F.coalesce("title", F.lit("")), 1, 50)]
+def _title(length: int | None) -> Column:
+    title = F.coalesce("title", F.lit(""))
+    return title if length is None else F.substring(title, 1, length)
 
 
-def service_key(missing_path: str | None = None) -> list[Column]:
+def orchestrator_key(title_length: int | None = None) -> list[Column]:
+    """File, line and title (W4); ``title_length`` compares only so much of the titles."""
+    return [F.col("file_path"), F.col("line_start"), _title(title_length)]
+
+
+def service_key(missing_path: str | None = None, title_length: int | None = None) -> list[Column]:
+    """File, line and lower-cased title (W5); ``title_length`` compares only so much of the titles."""
     path = F.col("file_path") if missing_path is None else F.coalesce("file_path", F.lit(missing_path))
-    return [path, F.col("line_start"), F.lower(F.substring(F.coalesce("title", F.lit("")), 1, 40))]
+    return [path, F.col("line_start"), F.lower(_title(title_length))]
 
 
 def first_wins(findings: DataFrame, key: Sequence[Column], order: Sequence[Column | str], scope: Sequence[str] = ("pr_id",)) -> DataFrame:
@@ -53,11 +61,11 @@ def first_wins(findings: DataFrame, key: Sequence[Column], order: Sequence[Colum
     return findings.withColumn("_first", F.row_number().over(first)).filter("_first = 1").drop("_first")
 
 
-def unseen(new: DataFrame, existing: DataFrame, order: Sequence[Column | str]) -> DataFrame:
+def unseen(new: DataFrame, existing: DataFrame, order: Sequence[Column | str], title_length: int | None = None) -> DataFrame:
     """New findings not stored yet, first of each key within the batch."""
     names = ("_path", "_line", "_title")
-    keyed = new.withColumns(dict(zip(names, service_key())))
-    stored = existing.select("pr_id", *[k.alias(n) for k, n in zip(service_key(), names)]).distinct().alias("e")
+    keyed = new.withColumns(dict(zip(names, service_key(title_length=title_length))))
+    stored = existing.select("pr_id", *[k.alias(n) for k, n in zip(service_key(title_length=title_length), names)]).distinct().alias("e")
     fresh = keyed.alias("n").join(
         stored,
         (F.col("n.pr_id") == F.col("e.pr_id")) & F.col("n._path").eqNullSafe(F.col("e._path"))
@@ -146,15 +154,15 @@ def review_summary(prs: DataFrame, final: DataFrame, agent_counts: DataFrame) ->
         severities, F.array(F.lit(""), F.lit("## Agent Results")), agents,
         F.when(zero("total") > 0, F.array(F.lit(""), F.lit("## Critical & High Findings"))).otherwise(F.array().cast("array<string>")),
     )
-    return base.select("pr_id", F.array_join(lines, "\n").alias("head"), (zero("n_critical") + zero("n_high")).alias("details"))
+    return base.select("pr_id", F.array_join(lines, "\n").alias("head"))
 
 
-def review_reports(prs: DataFrame, final: DataFrame, agent_counts: DataFrame, max_blocks: int = 5000) -> DataFrame:
-    """Markdown report of each change (Q12): one row, or parts where it is very long.
+def review_reports(prs: DataFrame, final: DataFrame, agent_counts: DataFrame) -> DataFrame:
+    """Markdown report of each change in numbered parts (Q12).
 
-    Up to ``max_blocks`` critical and high findings are joined into one text.
-    A change with more gets its head as part 0 and each finding as a part
-    numbered by its emit position, so no task ever holds an unbounded group.
+    Part 0 is the head; part n is the n-th critical or high finding as emitted.  The parts of a change
+    joined by line feeds are its report.  The shape is the same however many findings there are, and no
+    group is ever collected into one row: a sink that wants one text writes the parts one after another.
     """
     heads = review_summary(prs, final, agent_counts)
     text = lambda c, default: F.coalesce(F.col(c).cast("string"), F.lit(default))
@@ -163,13 +171,58 @@ def review_reports(prs: DataFrame, final: DataFrame, agent_counts: DataFrame, ma
         F.lit("` (lines "), text("line_start", "None"), F.lit("-"), text("line_end", "None"), F.lit(")\n\n"), F.col("description"),
         F.when(F.coalesce("suggestion", F.lit("")) != "", F.concat(F.lit("\n\n**Suggestion:** "), F.col("suggestion"))).otherwise(""),
     )
-    blocks = final.filter(F.col("severity").isin("critical", "high")).select("pr_id", "emit_seq", "title", block.alias("block"))
-    long = heads.filter(F.col("details") > max_blocks).select("pr_id")
-    short = blocks.join(long, "pr_id", "left_anti").groupBy("pr_id").agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("emit_seq", "title", "block"))), lambda s: s["block"]), "\n").alias("body"))
-    whole = heads.join(short, "pr_id", "left").select(
-        "pr_id", F.lit(0).cast("bigint").alias("part"), F.concat_ws("\n", "head", "body").alias("report"))
-    return whole.unionByName(blocks.join(long, "pr_id", "left_semi").select("pr_id", F.col("emit_seq").alias("part"), F.col("block").alias("report")))
+    numbered = F.row_number().over(Window.partitionBy("pr_id").orderBy("emit_seq", "title")).cast("bigint")
+    blocks = final.filter(F.col("severity").isin("critical", "high")).select("pr_id", numbered.alias("part"), block.alias("report"))
+    return heads.select("pr_id", F.lit(0).cast("bigint").alias("part"), F.col("head").alias("report")).unionByName(blocks)
+
+
+def reflection_counts(raw: DataFrame, threshold: float = 0.4, title_length: int | None = None) -> DataFrame:
+    """Findings of each change before reflection, after its confidence filter and after its deduplication.
+
+    One pass: a finding counts once per key, so the number of keys with a confident finding is the number kept.
+    """
+    keyed = raw.withColumn("_sure", F.coalesce("confidence_score", F.lit(0.8)) >= threshold)
+    key = F.struct(*[k.alias(f"k{i}") for i, k in enumerate(orchestrator_key(title_length))])
+    per_key = keyed.groupBy("pr_id", key.alias("_key")).agg(F.count("*").alias("n"), F.count_if("_sure").alias("s"))
+    return per_key.groupBy("pr_id").agg(
+        F.sum("n").alias("original_count"), F.sum("s").alias("after_filter"), F.count_if(F.col("s") > 0).alias("final_count"))
+
+
+def categories_hit(findings: DataFrame) -> DataFrame:
+    """The risk categories and injection kinds found in each change, each once and in order."""
+    kind = F.nullif(F.regexp_extract("rule_id", "^injection-(.*)", 1), F.lit(""))
+    listed = lambda c: F.array_join(F.sort_array(F.collect_set(c)), ";")  # noqa: E731  (a fixed list of categories bounds the sets)
+    return findings.groupBy("pr_id").agg(listed("owasp_category").alias("owasp_hit"), listed(kind).alias("injection_hit"))
+
+
+def only_in(new: DataFrame, existing: DataFrame, key: str = "pr_id") -> DataFrame:
+    """Keys of new rows that no existing row has (U3); each side moves one row per key."""
+    return new.select(key).distinct().join(existing.select(key).distinct(), key, "left_anti")
+
+
+def finish_reviews(prs: DataFrame, outcomes: DataFrame, final: DataFrame, error_length: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """Pull requests and run rows after their reviews ended.
+
+    ``outcomes`` has one row per ended review: pr_id, risk_score, steps_taken, started_at, completed_at and ``error``, null where it went well.
+    A review that went well sets status, score and time of its pull request and the run's counts; a failed one sets the status
+    alone and leaves its message, cut to ``error_length`` if given, in the run.
+    """
+    well = F.col("error").isNull()
+    counts = final.groupBy("pr_id").agg(F.count("*").alias("_n"))
+    message = F.col("error") if error_length is None else F.substring("error", 1, error_length)
+    runs = outcomes.join(counts, "pr_id", "left").select(
+        "pr_id", F.lit("orchestrator").alias("agent_type"), F.when(well, "completed").otherwise("failed").alias("status"), "started_at", "completed_at",
+        F.when(well, F.coalesce("steps_taken", F.lit(0))).otherwise(0).alias("steps_taken"), F.when(well, F.coalesce("_n", F.lit(0))).otherwise(0).alias("findings_count"),
+        ((F.unix_millis("completed_at") - F.unix_millis("started_at")) / 1000).alias("duration_seconds"),
+        F.when(~well, message).alias("error_message"))
+    ended = outcomes.select("pr_id", F.lit(True).alias("_ended"), well.alias("_well"), F.col("risk_score").alias("_risk"), F.col("completed_at").alias("_at"))
+    have = set(prs.columns)
+    reviewed = F.col("reviewed_at") if "reviewed_at" in have else F.lit(None).cast("timestamp")
+    updated = prs.join(ended, "pr_id", "left").withColumns({
+        "status": F.when(F.col("_ended"), F.when(F.col("_well"), "completed").otherwise("failed")).otherwise(F.col("status")),
+        "risk_score": F.when(F.col("_well"), F.coalesce("_risk", F.lit(0.0))).otherwise(F.col("risk_score")),
+        "reviewed_at": F.when(F.col("_well"), F.col("_at")).otherwise(reviewed)}).drop("_ended", "_well", "_risk", "_at")
+    return updated, runs
 
 
 def agent_counts(findings: DataFrame) -> DataFrame:
@@ -200,7 +253,11 @@ def comment_outbox(prs: DataFrame, final: DataFrame, first: int = 5) -> DataFram
 
 
 def inline_comments(final: DataFrame, per_review: int = 50) -> DataFrame:
-    """Inline comments of each review: the first 50, default line 1, right side (Q13)."""
-    return top_per_group(final, ["pr_id"], ["emit_seq", "title"], per_review, "comment_no").select(
-        "pr_id", "comment_no", F.col("file_path").alias("path"), F.coalesce("line_start", F.lit(1)).alias("line"),
-        F.lit("RIGHT").alias("side"), F.col("description").alias("body"))
+    """All inline comments, numbered, ``per_review`` to a review; default line 1, right side (Q13).
+
+    A review takes only so many comments, so those beyond go to the change's next review (``review_no`` from 0).
+    """
+    number = F.row_number().over(Window.partitionBy("pr_id").orderBy("emit_seq", "title"))
+    return final.withColumn("comment_no", number).select(
+        "pr_id", F.floor((F.col("comment_no") - 1) / per_review).cast("bigint").alias("review_no"), "comment_no", F.col("file_path").alias("path"),
+        F.coalesce("line_start", F.lit(1)).alias("line"), F.lit("RIGHT").alias("side"), F.col("description").alias("body"))

@@ -9,11 +9,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from changelens.functions.text import java, literal_rows, matches, once, quote, sql_contains_any, sql_matches, strip
+from changelens.functions.text import contains_any, java, literal_rows, matches, once, quote, sql_contains_any, sql_matches, strip
 from changelens.operators import rules as R
 from changelens.operators.diffs import AGENT_LANGUAGES, added_lines
 
@@ -43,6 +44,12 @@ class Group:
     rows: tuple[dict, ...]
     needs: tuple[str, ...]
     deep: bool = True
+    pair_needs: tuple[str, ...] | None = ()  # literals of the two-line rules; None where one has none
+
+
+def _pair_needs(packs: Sequence[R.Pack]) -> tuple[str, ...] | None:
+    rules = [r for p in packs for r in p.rules if r.two_line]
+    return None if any(not r.needs for r in rules) else tuple(n.lower() for r in rules for n in r.needs)
 
 
 def _needs(pack: R.Pack) -> tuple[str, ...]:
@@ -73,8 +80,8 @@ def _row(pack, rank, no, rule, **values):
     return base | values
 
 
-def group_for(name: str) -> Group:
-    """The named group over the columns of ``diffs.added_lines``."""
+def group_for(name: str | R.Pack, position: int = 0) -> Group:
+    """The named group, or a pack of the user's own, over the columns of ``diffs.added_lines``; ``position`` orders several own packs."""
     plain = "code_no IS NOT NULL"
 
     def pack_group(pack, describe, text="code", extra=None, deep=True, guard=None):
@@ -84,7 +91,13 @@ def group_for(name: str) -> Group:
             test = rule_test(rule, pack, text, "pair")
             tests.append(f"{test} AND {extra(rule)}" if extra else test)
             rows.append(describe(no, rule))
-        return Group(f"{base} AND {guard}" if guard else base, tuple(tests), tuple(rows), _needs(pack), deep)
+        needs = () if any(not r.needs for r in pack.rules) else _needs(pack)
+        return Group(f"{base} AND {guard}" if guard else base, tuple(tests), tuple(rows), needs, deep, _pair_needs([pack]))
+
+    if isinstance(name, R.Pack):
+        return pack_group(name, lambda no, r: _row(
+            name.name, 50 + position, no, r, agent_type="security_audit", category="security", numbering="added", confidence_score=0.8,
+            owasp_category=r.label))
 
     if name == "quick_static":
         return pack_group(R.QUICK_STATIC, lambda no, r: _row(
@@ -201,13 +214,17 @@ LIBRARY_GROUPS = ("language_static", "auth", "injection", "retention")
 _DEFINITIONS = r"(?i)def\s+(?:" + "|".join(dict.fromkeys(R.SENSITIVE_OPERATIONS + R.CRITICAL_FUNCTIONS)) + r")\s*\("
 
 
-def scan_changes(changes: DataFrame, groups: Sequence[str] = MAIN_GROUPS, deep_when: Column | None = None) -> DataFrame:
-    """Findings of the named groups over the added lines of each diff.
+def scan_changes(changes: DataFrame, groups: Sequence[str | R.Pack] = MAIN_GROUPS, deep_when: Column | None = None, secret_chars: int | None = None) -> DataFrame:
+    """Findings of the named groups, and of packs of the user's own, over the added lines of each diff.
 
     ``deep_when`` limits all but the static groups to changes where it holds;
-    every other column of ``changes`` is passed through.
+    every other column of ``changes`` is passed through.  ``secret_chars`` shows
+    only so much of a line that holds a secret.
     """
-    wanted = set(groups)
+    wanted = {g for g in groups if isinstance(g, str)}
+    picked = [group_for(g, i) for i, g in enumerate(groups)]
+    pairs = [g.pair_needs for g in picked if g.pair_needs != ()]
+    pair_words = None if None in pairs else _shortest(n for p in pairs for n in p)
     columns = [c for c in changes.columns if c != "diff"]
     source = changes
     if deep_when is not None:
@@ -216,16 +233,17 @@ def scan_changes(changes: DataFrame, groups: Sequence[str] = MAIN_GROUPS, deep_w
         source,
         context=15,
         context_when=(lambda code: code.rlike(r"(?i)def\s") & matches(code, _DEFINITIONS)) if wanted & {"operations", "audit"} else None,
-        pair_when=lambda code: code.contains("except") | code.contains("@app.route"),
+        pair_when=None if not pairs else (lambda code: F.lit(True)) if pair_words is None else (lambda code: contains_any(F.lower(code), pair_words)),
     )
-    picked = [group_for(g) for g in groups]
     rows, keyed = [], []
     for group in picked:
         first = len(rows) + 1
         rows.extend(group.rows)
         guard = f"_deep AND {group.guard}" if group.deep and deep_when is not None else group.guard
         keyed.append((guard, group.tests, first))
-    hits = lines.filter(sql_contains_any("low", _shortest(n for g in picked for n in g.needs))).select(
+    if all(g.needs for g in picked):
+        lines = lines.filter(sql_contains_any("low", _shortest(n for g in picked for n in g.needs)))
+    hits = lines.select(
         *columns, "diff_line", "diff_file", "added_no", "code_no", "line", "code", _explode_hits(keyed))
     described = hits.select("*", F.element_at(literal_rows(rows, _RULE_SCHEMA), F.col("_hit")).alias("r"))
     number = F.when(F.col("r.numbering") == "diff", F.col("diff_line")).when(
@@ -239,8 +257,8 @@ def scan_changes(changes: DataFrame, groups: Sequence[str] = MAIN_GROUPS, deep_w
         F.replace(F.col("r.description"), F.lit("{line}"), number.cast("string")).alias("description"),
         F.when(F.col("r.pack") == "quick_static", F.col("diff_file")).otherwise("unknown").alias("file_path"),
         number.alias("line_start"), number.alias("line_end"),
-        F.when((F.col("r.pack") == "secrets") & (F.length("line") > 100), F.concat(F.substring(stripped, 1, 100), F.lit("...")))
-        .otherwise(stripped).alias("code_snippet"),
+        (stripped if secret_chars is None else F.when(
+            (F.col("r.pack") == "secrets") & (F.length("line") > secret_chars), F.concat(F.substring(stripped, 1, secret_chars), F.lit("..."))).otherwise(stripped)).alias("code_snippet"),
         F.col("r.suggestion"), F.col("r.confidence_score"), F.col("r.cwe_id"), F.col("r.owasp_category"), F.col("r.rule_id"),
         "diff_line", "diff_file",
         emit_position(F.col("r.rank"), major, minor).alias("emit_seq"),
@@ -271,18 +289,53 @@ def emit_position(rank: Column, major: Column, minor: Column) -> Column:
     return rank.cast("bigint") * 10**16 + major.cast("bigint") * 10**8 + minor.cast("bigint")
 
 
-def match_rules(lines: DataFrame, text: str, packs: Sequence[R.Pack], prefiltered: bool = True) -> DataFrame:
-    """Line-by-rule join for any packs: one row per line and matching single-line rule."""
-    passed = [c for c in lines.columns]
+def match_rules(lines: DataFrame, text: str, packs: Sequence[R.Pack], prefiltered: bool = True, pair: str | None = None) -> DataFrame:
+    """Line-by-rule join for any packs: one row per line and matching rule.
+
+    ``pair`` names the column with the line, a line feed and the next line (null on a last line), on which two-line rules are matched.
+    """
+    if pair is None and any(r.two_line for p in packs for r in p.rules):
+        raise ValueError("two-line rules need the column with a line and its successor")
+    passed = [c for c in lines.columns if c != pair]
     lines = once(lines, _low=F.lower(text))
     rows, keyed = [], []
     for pack in packs:
-        single = [(no, r) for no, r in enumerate(pack.rules, 1) if not r.two_line]
         guard = prefilter(pack, text, "_low") if prefiltered else "true"
-        keyed.append((guard, [rule_test(r, pack, text, text) for _, r in single], len(rows) + 1))
-        rows.extend(dict(pack=pack.name, rule_no=no, title=r.title, severity=r.severity) for no, r in single)
+        keyed.append((guard, [rule_test(r, pack, text, pair) for r in pack.rules], len(rows) + 1))
+        rows.extend(dict(pack=pack.name, rule_no=no, title=r.title, severity=r.severity) for no, r in enumerate(pack.rules, 1))
     if prefiltered and all(r.needs for p in packs for r in p.rules):
         lines = lines.filter(sql_contains_any("_low", _shortest(n for p in packs for n in _needs(p))))
     hits = lines.select(*passed, _explode_hits(keyed))
     rule = F.element_at(literal_rows(rows, "pack string, rule_no bigint, title string, severity string"), F.col("_hit"))
     return hits.select(*passed, rule.alias("r")).select(*passed, "r.*")
+
+
+def packs_of(rules: DataFrame) -> list[R.Pack]:
+    """Packs from a table of rules: pack, rule_no, pattern, severity and, where they have them, title, needs, ignore_case, two_line.
+
+    The definitions come to the driver, as they become expressions of the plan; they grow with what users write, not with the data.
+    Rules are numbered through in the order of ``rule_no``.
+    """
+    by_pack: dict[tuple[str, bool], list[R.Rule]] = {}
+    have = set(rules.columns)
+    optional = {"title": "string", "needs": "array<string>", "ignore_case": "boolean", "two_line": "boolean"}
+    table = rules.withColumns({c: F.lit(None).cast(t) for c, t in optional.items() if c not in have})
+    for r in table.orderBy("pack", "rule_no").collect():
+        by_pack.setdefault((r.pack, bool(r.ignore_case)), []).append(
+            R.Rule(r.pattern, r.title or r.pattern, r.severity, tuple(r.needs or ()), two_line=bool(r.two_line)))
+    return [R.Pack(name, tuple(found), fold) for (name, fold), found in by_pack.items()]
+
+
+def match_rule_table(lines: DataFrame, text: str, rules: DataFrame, pair: str | None = None, per_pass: int = 400) -> DataFrame:
+    """``match_rules`` with the rules of a table.
+
+    All rules become literals of one pass over the lines, which a join on a regular expression could not do; a
+    table with more than about ``per_pass`` rules takes several passes, a pack staying in one.
+    """
+    passes: list[list[R.Pack]] = [[]]
+    for pack in packs_of(rules):
+        if passes[-1] and sum(len(p.rules) for p in passes[-1]) + len(pack.rules) > per_pass:
+            passes.append([])
+        passes[-1].append(pack)
+    found = [match_rules(lines, text, packs, pair=pair) for packs in passes]
+    return reduce(DataFrame.unionByName, found)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,13 +28,18 @@ EXAMPLE_PATHS = ("example", "sample", "demo", "fixture")
 CREDENTIAL_WORDS = ("password", "secret", "api_key", "token")
 
 
-def risk_points(changes: DataFrame) -> Column:
-    """Triage score in hundredths, so no sum drifts across a threshold (Q1)."""
+def risk_points(changes: DataFrame, path_chars: int | None = None) -> Column:
+    """Triage score in hundredths, so no sum drifts across a threshold (Q1).
+
+    Sensitive places are looked for in the branch name and in the paths of all files of the diff; ``path_chars``
+    looks at so many leading characters of the diff instead.
+    """
     size = F.coalesce(F.col("additions"), F.lit(0)) + F.coalesce(F.col("deletions"), F.lit(0))
     files = F.coalesce(F.col("files_changed"), F.lit(0))
     hits = let(F.lower("diff"), lambda low: count_contained(low, RISK_WORDS))
-    # upper-cased letters may change length, so cut the original text first
-    where = F.lower(F.concat(F.coalesce("head_branch", F.lit("")), F.substring("diff", 1, 500)))
+    # lower-casing may change the length, so it comes after the cut
+    places = F.array_join(F.regexp_extract_all("diff", F.lit(r"(?m)^diff --git (.*)$"), F.lit(1)), "\n") if path_chars is None else F.substring("diff", 1, path_chars)
+    where = F.lower(F.concat_ws("\n" if path_chars is None else "", F.coalesce("head_branch", F.lit("")), places))
     word_points = let(hits, lambda h: F.when(h > 5, 30).when(h > 2, 20).when(h > 0, 10).otherwise(0))
     points = (
         F.when(size > 500, 30).when(size > 200, 20).when(size > 50, 10).otherwise(5)
@@ -42,9 +50,9 @@ def risk_points(changes: DataFrame) -> Column:
     return F.least(F.lit(100), points)
 
 
-def with_risk(changes: DataFrame) -> DataFrame:
+def with_risk(changes: DataFrame, path_chars: int | None = None) -> DataFrame:
     """Risk points and score of each change; the diff stays for the scan."""
-    return once(changes, score_pts=risk_points(changes)).withColumn("risk_score", F.col("score_pts") / 100)
+    return once(changes, score_pts=risk_points(changes, path_chars)).withColumn("risk_score", F.col("score_pts") / 100)
 
 
 def route(scored: DataFrame, max_steps: int = MAX_STEPS) -> DataFrame:
@@ -127,13 +135,30 @@ _JUDGED = "accuracy double, severity_appropriate double, actionability double, f
 
 
 def judged_evaluation(replies: DataFrame, text: str = "reply") -> DataFrame:
-    """Combined score from stored judge replies holding a JSON object (Q8)."""
-    found = once(replies, _json=F.regexp_extract(text, r"(?s)\{.*\}", 0)).filter(F.col("_json") != "")
+    """Combined score from stored judge replies (Q8).
+
+    A reply is used if the text from its first to its last brace is a JSON object.  Any other (none, null, malformed)
+    leaves its finding to the heuristic of Q7, over whichever of its columns the rows have.
+    """
+    wanted = {"confidence_score": "double", "cwe_id": "string", "code_snippet": "string", "suggestion": "string", "description": "string"}
+    added = {c: F.lit(None).cast(t) for c, t in wanted.items() if c not in replies.columns}
+    plain = heuristic_evaluation(replies.withColumns(added)).withColumnsRenamed(
+        {"quality_score": "_quality", "false_positive_likelihood": "_likelihood"}).drop("method", *added)
+    found = once(plain, _json=F.regexp_extract(text, r"(?s)\{.*\}", 0))
+    judged = F.col("_is_judged")
     body = F.col("_body")
     part = lambda name: F.coalesce(body[name], F.lit(0.7))
     overall = part("accuracy") * 0.4 + part("severity_appropriate") * 0.2 + part("actionability") * 0.4
-    return once(found, _body=F.from_json("_json", _JUDGED)).withColumns({
-        "quality_score": F.round(overall, 3),
-        "false_positive_likelihood": F.coalesce(body["fp_likelihood"], F.lit(0.2)),
-        "method": F.lit("llm_judge"),
-    }).drop("_json", "_body")
+    return once(found, _body=F.from_json("_json", _JUDGED), _is_judged=F.try_parse_json("_json").isNotNull()).withColumns({
+        "quality_score": F.when(judged, F.round(overall, 3)).otherwise(F.col("_quality")),
+        "false_positive_likelihood": F.when(judged, F.coalesce(body["fp_likelihood"], F.lit(0.2))).otherwise(F.col("_likelihood")),
+        "method": F.when(judged, "llm_judge").otherwise("heuristic"),
+    }).drop("_json", "_body", "_is_judged", "_quality", "_likelihood")
+
+
+def user_scored(findings: DataFrame, scorer: Callable[[pd.DataFrame], pd.Series], inputs: Sequence[str], name: str = "quality_score") -> DataFrame:
+    """Findings with a score of the user's own (P3): ``scorer`` gets batches of the named columns and returns one number per row."""
+    def scores(rows: pd.DataFrame) -> pd.Series:
+        return scorer(rows).astype("float64")
+
+    return findings.withColumn(name, F.pandas_udf(scores, "double")(F.struct(*inputs)))

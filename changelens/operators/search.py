@@ -6,13 +6,14 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from changelens.functions.text import once
 from changelens.functions.vectors import cosine, hash_embedding
 from changelens.operators.diffs import code_chunks, code_of, file_chunks
 from changelens.operators.symbols import symbols
+from changelens.schemas import CODE_CHUNKS, conform, read_table
 from changelens.session import materialize
 
 RANK_CONSTANT = 60  # of reciprocal-rank fusion
@@ -35,49 +36,107 @@ def chunk_index(changes: DataFrame, max_files: int | None = None, max_chunks: in
 
 
 def write_index(index: DataFrame, path: str) -> None:
-    index.write.mode("append").partitionBy("language").parquet(path)
+    """Append chunks to a stored index, partitioned by language, so that a search of one language reads no other (V1)."""
+    conform(index, CODE_CHUNKS).hint("rebalance", "language").write.mode("append").partitionBy("language").parquet(path)
 
 
-def nearest(corpus: DataFrame, query: Sequence[float], key: str, vector: str = "vector", k: int = 5, filters: dict | None = None) -> DataFrame:
-    """The k rows nearest to a vector by cosine, with certainty (1 + cos) / 2 (V2)."""
+def read_index(spark: SparkSession, path: str) -> DataFrame:
+    """The stored index under its declared columns; filters on ``language`` prune folders, others are pushed to the files (V2)."""
+    return read_table(spark, path, CODE_CHUNKS)
+
+
+def delete_from_index(spark: SparkSession, path: str, deleted: DataFrame, out: str) -> DataFrame:
+    """Write the index at ``path`` without the chunks of the deleted changes to ``out`` and read it from there (V7).
+
+    A folder can't be read and overwritten by one job, so the caller puts the new one in the place of the old.
+    """
+    kept = read_index(spark, path).join(deleted.select("pr_id").distinct(), "pr_id", "left_anti")
+    write_index(kept, out)
+    return read_index(spark, out)
+
+
+def nearest(corpus: DataFrame, query: Sequence[float], key: str | Sequence[str], vector: str = "vector", k: int = 5, filters: dict | None = None) -> DataFrame:
+    """The k rows nearest to a vector by cosine, with certainty (1 + cos) / 2 (V2); ties go by the key columns."""
     for name, value in (filters or {}).items():
         corpus = corpus.filter(F.col(name) == value)
     scored = corpus.withColumn("certainty", (1 + cosine(F.col(vector), query)) / 2)
-    return scored.orderBy(F.desc("certainty"), key).limit(k)
+    return scored.orderBy(F.desc("certainty"), *([key] if isinstance(key, str) else key)).limit(k)
 
 
-def nearest_many(corpus: DataFrame, queries: Sequence[Sequence[float]], key: str, vector: str = "vector", k: int = 5, max_queries: int = 4096) -> DataFrame:
-    """The k nearest rows for each of several query vectors (V4).
+def _usable(vectors: pd.Series, width: int) -> np.ndarray:
+    """Which vectors are there, of the right length and finite throughout."""
+    return np.fromiter((v is not None and len(v) == width and bool(np.isfinite(np.asarray(v, dtype=np.float64)).all()) for v in vectors), dtype=bool, count=len(vectors))
 
-    The queries are given by the caller and sent to the tasks as one matrix of
-    checked size; larger sets go in batches of this call.  Each batch of corpus
-    rows is multiplied once and gives at most k candidates per query, which are
-    then ranked per query.
+
+def _best(matrix: np.ndarray, query_ids: np.ndarray, batch: pd.DataFrame, key: str, vector: str, query_key: str, k: int) -> pd.DataFrame:
+    """At most k rows of the batch for each normalised query; equal scores in order of the key, as in the final ranking."""
+    batch = batch[_usable(batch[vector], matrix.shape[1])]
+    if batch.empty or not len(matrix):
+        return pd.DataFrame({query_key: query_ids[:0], key: batch[key].to_numpy()[:0], "certainty": np.zeros(0)})
+    vectors, keys = np.stack(batch[vector].to_numpy()).astype(np.float64), batch[key].to_numpy()
+    norms = np.linalg.norm(vectors, axis=1, keepdims=True)
+    scores = matrix @ (vectors / np.where(norms > 0, norms, 1)).T
+    by_key = np.argsort(keys, kind="stable")
+    best = by_key[np.argsort(-scores[:, by_key], axis=1, kind="stable")[:, :k]]
+    row = np.repeat(np.arange(len(matrix)), best.shape[1])
+    return pd.DataFrame({query_key: query_ids[row], key: keys[best.ravel()], "certainty": (1 + scores[row, best.ravel()]) / 2})
+
+
+def _normalised(vectors) -> tuple[np.ndarray, np.ndarray]:
+    """Directions of the queries that have one, and which these are."""
+    matrix = np.asarray(vectors, dtype=np.float64)
+    norms = np.linalg.norm(matrix, axis=1)
+    some = norms > 0
+    return matrix[some] / norms[some, None], some
+
+
+def _ranked(found: DataFrame, query_key: str, key: str, k: int) -> DataFrame:
+    rank = F.row_number().over(Window.partitionBy(query_key).orderBy(F.desc("certainty"), key))
+    return found.withColumn("rank", rank).filter(F.col("rank") <= k)
+
+
+def nearest_many(corpus: DataFrame, queries: Sequence[Sequence[float]], key: str, vector: str = "vector", k: int = 5) -> DataFrame:
+    """The k nearest rows for each of the given query vectors (V4); for queries in a table see ``nearest_join``.
+
+    The queries go to the tasks as one matrix, 256 at a time against each batch of rows, and each batch gives at most k candidates per query.
+    Rows whose vector is null, of another length or not finite, and queries of length zero, have no neighbours.
     """
-    if len(queries) > max_queries:
-        raise ValueError(f"at most {max_queries} query vectors per call")
-    matrix = np.asarray(queries, dtype=np.float64)
-    matrix = matrix / np.linalg.norm(matrix, axis=1, keepdims=True)
+    matrix, some = _normalised(queries)
+    ids = np.flatnonzero(some)
     key_type = corpus.schema[key].dataType.simpleString()
 
     def candidates(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            if batch.empty:
-                continue
-            vectors = np.stack(batch[vector].to_numpy()).astype(np.float64)
-            keys = batch[key].to_numpy()
-            norms = np.linalg.norm(vectors, axis=1, keepdims=True)
-            scores = matrix @ (vectors / np.where(norms > 0, norms, 1)).T
-            # stable order by score, then key, so equal scores resolve as in the final ranking
-            by_key = np.argsort(keys, kind="stable")
-            best = by_key[np.argsort(-scores[:, by_key], axis=1, kind="stable")[:, :k]]
-            query_no = np.repeat(np.arange(len(matrix)), best.shape[1])
-            flat = best.ravel()
-            yield pd.DataFrame({"query_no": query_no, key: keys[flat], "certainty": (1 + scores[query_no, flat]) / 2})
-
-    found = corpus.select(key, vector).mapInPandas(candidates, f"query_no long, {key} {key_type}, certainty double")
-    rank = F.row_number().over(Window.partitionBy("query_no").orderBy(F.desc("certainty"), key))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= k)
+            for at in range(0, len(matrix), 256):
+                yield _best(matrix[at:at + 256], ids[at:at + 256], batch, key, vector, "query_no", k)
+
+    found = corpus.select(key, vector).mapInPandas(candidates, f"query_no long, `{key}` {key_type}, certainty double")
+    return _ranked(found, "query_no", key, k)
+
+
+def nearest_join(corpus: DataFrame, queries: DataFrame, key: str, query_key: str, vector: str = "vector", query_vector: str = "vector", k: int = 5,
+                 slices: int = 64, blocks: int = 1) -> DataFrame:
+    """The k nearest rows for each query of a table (V4), as ``nearest_many`` gives them.
+
+    Rows are dealt over ``slices`` and queries over ``blocks`` by their hash; each pair of a slice and a block is one task's group,
+    so choose them for groups of some 10 000 rows and 1 000 queries.  A group gives at most k rows per query.
+    """
+    key_type, query_type = corpus.schema[key].dataType.simpleString(), queries.schema[query_key].dataType.simpleString()
+    place = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n))
+    rows = corpus.select(F.col(key), F.col(vector).alias("_v"), place(key, slices).alias("_slice"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_block"))
+    asked = queries.filter(F.col(query_vector).isNotNull()).select(
+        F.col(query_key), F.col(query_vector).alias("_v"), F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("_slice"), place(query_key, blocks).cast("int").alias("_block"))
+    grouped = lambda df: df.withColumn("_slice", F.col("_slice").cast("int")).groupBy("_slice", "_block")
+
+    def candidates(some_rows: pd.DataFrame, some_queries: pd.DataFrame) -> pd.DataFrame:
+        given = some_queries[_usable(some_queries["_v"], len(some_queries["_v"].iloc[0]))] if len(some_queries) else some_queries
+        if given.empty:
+            return pd.DataFrame({query_key: given[query_key], key: some_rows[key][:0], "certainty": np.zeros(0)})
+        matrix, some = _normalised(np.stack(given["_v"].to_numpy()))
+        return _best(matrix, given[query_key].to_numpy()[some], some_rows, key, "_v", query_key, k)
+
+    found = grouped(rows).cogroup(grouped(asked)).applyInPandas(candidates, f"`{query_key}` {query_type}, `{key}` {key_type}, certainty double")
+    return _ranked(found, query_key, key, k)
 
 
 def by_symbol(index: DataFrame, symbol: str, repo: str | None = None, limit: int = 10, order: Sequence[str] = ("pr_id", "file_path", "chunk_index")) -> DataFrame:
@@ -157,6 +216,10 @@ def delete_change_chunks(index: DataFrame, pr_id: str) -> tuple[DataFrame, DataF
     return index.filter(~F.coalesce(mine, F.lit(False))), index.filter(mine).agg(F.count("*").alias("removed"))
 
 
-def reembed_selection(prs: DataFrame, limit: int = 100) -> DataFrame:
-    """Completed pull requests due for a new index, one night's batch (V8)."""
-    return prs.filter(F.col("status") == "completed").orderBy("pr_id").limit(limit)
+def reembed_selection(prs: DataFrame, index: DataFrame | None = None, limit: int | None = None) -> DataFrame:
+    """Completed pull requests that the index lacks (V8): all of them, or a night's batch of ``limit``; the next night takes the next ones."""
+    due = prs.filter(F.col("status") == "completed")
+    if index is not None:
+        stored = index.select(F.col("pr_id").cast(prs.schema["pr_id"].dataType).alias("pr_id")).distinct()
+        due = due.join(stored, "pr_id", "left_anti")
+    return due if limit is None else due.orderBy("pr_id").limit(limit)

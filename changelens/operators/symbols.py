@@ -117,8 +117,14 @@ def python_structure(sources: DataFrame, code: str = "code") -> DataFrame:
     out_names = names + [c.split()[0] for c in _SYMBOL_SCHEMA.split(", ")]
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = []
         for batch in batches:
-            rows = [(*key, *symbol) for *key, text in batch[[*names, code]].itertuples(index=False) for symbol in _structure(text)]
+            for *key, text in batch[[*names, code]].itertuples(index=False):
+                rows.extend((*key, *symbol) for symbol in _structure(text))
+                if len(rows) >= 10_000:  # a frame holds this many rows and those of one more source
+                    yield pd.DataFrame(rows, columns=out_names)
+                    rows = []
+        if rows:
             yield pd.DataFrame(rows, columns=out_names)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keys) + ", " + _SYMBOL_SCHEMA

@@ -170,17 +170,21 @@ def transcripts(spark, sf):
     c, t = F.col("conv_id"), F.col("turn")
     good = F.to_json(F.struct(
         F.when(c % 2 == 0, "high").otherwise("low").alias("severity"), F.concat(F.lit("Issue "), t.cast("string")).alias("title"),
-        F.when(c % 3 == 0, "security").alias("category"), F.when(c % 4 == 0, (t % 10) / 10).alias("confidence_score"), t.alias("line_start")))
+        F.when(c % 3 == 0, "security").alias("category"), F.when(c % 4 == 0, (t % 10) / 10).alias("confidence_score"), t.alias("line_start"), (t + 2).alias("line_end"),
+        F.when(c % 5 == 0, "x = 1").alias("code_snippet"), F.when(c % 6 == 0, "A03").alias("owasp_category"), F.when(c % 7 == 0, "rule-9").alias("rule_id"), F.when(t % 4 == 1, "+y").alias("patch")))
     return V.table(spark, sf, "conversations").filter("role = 'assistant'").select(
         "conv_id", "turn", F.concat("text", F.lit("\nFirst "), good, F.lit(' then {\n "severity":\n "info"\n} and {"severity": oops} end')).alias("text"))
 
 
 QUERIES["s10_transcript_findings"] = lambda spark, sf: S.transcript_findings(transcripts(spark, sf), "text", "static_analysis").select(
-    "conv_id", "turn", F.col("position").cast("bigint"), "severity", "category", "title", F.coalesce("line_start", F.lit(-1)).cast("bigint").alias("line_start"), "confidence_score")
+    "conv_id", "turn", F.col("position").cast("bigint"), "severity", "category", "title", F.coalesce("line_start", F.lit(-1)).cast("bigint").alias("line_start"), "confidence_score",
+    F.coalesce("line_end", F.lit(-1)).cast("bigint").alias("line_end"), "code_snippet", "owasp_category", "rule_id", "patch")
 ORACLES["s10_transcript_findings"] = query("""
 SELECT conv_id, turn, 0::BIGINT AS position, CASE WHEN conv_id % 2 = 0 THEN 'high' ELSE 'low' END AS severity, CASE WHEN conv_id % 3 = 0 THEN 'security' ELSE 'static_analysis' END AS category,
-  'Issue ' || turn AS title, turn AS line_start, CASE WHEN conv_id % 4 = 0 THEN (turn % 10) / 10.0::DOUBLE ELSE 0.8::DOUBLE END AS confidence_score FROM conversations WHERE role = 'assistant'
-UNION ALL SELECT conv_id, turn, 1, 'info', 'static_analysis', NULL, -1, 0.8::DOUBLE FROM conversations WHERE role = 'assistant'""")
+  'Issue ' || turn AS title, turn AS line_start, CASE WHEN conv_id % 4 = 0 THEN (turn % 10) / 10.0::DOUBLE ELSE 0.8::DOUBLE END AS confidence_score,
+  turn + 2 AS line_end, CASE WHEN conv_id % 5 = 0 THEN 'x = 1' END AS code_snippet, CASE WHEN conv_id % 6 = 0 THEN 'A03' END AS owasp_category,
+  CASE WHEN conv_id % 7 = 0 THEN 'rule-9' END AS rule_id, CASE WHEN turn % 4 = 1 THEN '+y' END AS patch FROM conversations WHERE role = 'assistant'
+UNION ALL SELECT conv_id, turn, 1, 'info', 'static_analysis', NULL, -1, 0.8::DOUBLE, -1, NULL, NULL, NULL, NULL FROM conversations WHERE role = 'assistant'""")
 
 # --------------------------------------------------------------------------- published events, stored tables
 

@@ -97,15 +97,20 @@ def judge_replies(spark, sf):
         F.when(c % 3 != 0, (c % 10) / 10).alias("accuracy"), F.when(t % 2 == 1, (t % 10) / 10).alias("severity_appropriate"),
         ((c + t) % 10 / 10).alias("actionability"), F.when(c % 4 != 0, (c % 5) / 10).alias("fp_likelihood")))
     return V.table(spark, sf, "conversations").filter("role = 'assistant'").select(
-        "conv_id", "turn", F.when(c % 7 == 0, F.col("text")).otherwise(F.concat("text", F.lit("\nVerdict: "), verdict, F.lit(" done."))).alias("reply"))
+        "conv_id", "turn", F.when(c % 7 == 0, F.col("text")).when(c % 7 == 1, F.concat("text", F.lit(' {"accuracy": 0.9, oops}'))).otherwise(
+            F.concat("text", F.lit("\nVerdict: "), verdict, F.lit(" done."))).alias("reply"),
+        ((t % 10) / 10).alias("confidence_score"), F.when(c % 2 == 0, "CWE-89").alias("cwe_id"), F.col("text").alias("description"))
 
 
-QUERIES["q8_judge_scores"] = lambda spark, sf: Q.judged_evaluation(judge_replies(spark, sf)).drop("reply")
+QUERIES["q8_judge_scores"] = lambda spark, sf: Q.judged_evaluation(judge_replies(spark, sf)).drop("reply", "confidence_score", "cwe_id", "description")
 ORACLES["q8_judge_scores"] = query("""
-SELECT conv_id, turn, round(coalesce(CASE WHEN conv_id % 3 <> 0 THEN (conv_id % 10) / 10.0::DOUBLE END, 0.7::DOUBLE) * 0.4::DOUBLE
-    + coalesce(CASE WHEN turn % 2 = 1 THEN (turn % 10) / 10.0::DOUBLE END, 0.7::DOUBLE) * 0.2::DOUBLE + ((conv_id + turn) % 10) / 10.0::DOUBLE * 0.4::DOUBLE, 3) AS quality_score,
-  CASE WHEN conv_id % 4 <> 0 THEN (conv_id % 5) / 10.0::DOUBLE ELSE 0.2::DOUBLE END AS false_positive_likelihood, 'llm_judge' AS method
-FROM conversations WHERE role = 'assistant' AND conv_id % 7 <> 0""")
+SELECT conv_id, turn, CASE WHEN conv_id % 7 < 2 THEN round(plain, 3) ELSE round(coalesce(CASE WHEN conv_id % 3 <> 0 THEN (conv_id % 10) / 10.0::DOUBLE END, 0.7::DOUBLE) * 0.4::DOUBLE
+    + coalesce(CASE WHEN turn % 2 = 1 THEN (turn % 10) / 10.0::DOUBLE END, 0.7::DOUBLE) * 0.2::DOUBLE + ((conv_id + turn) % 10) / 10.0::DOUBLE * 0.4::DOUBLE, 3) END AS quality_score,
+  CASE WHEN conv_id % 7 < 2 THEN round(1 - plain, 3) WHEN conv_id % 4 <> 0 THEN (conv_id % 5) / 10.0::DOUBLE ELSE 0.2::DOUBLE END AS false_positive_likelihood,
+  CASE WHEN conv_id % 7 < 2 THEN 'heuristic' ELSE 'llm_judge' END AS method
+FROM (SELECT *, CASE WHEN length(text) < 50 THEN given * 0.8::DOUBLE ELSE given END AS plain FROM (
+  SELECT *, CASE WHEN conv_id % 2 = 0 THEN least(1.0::DOUBLE, (turn % 10) / 10.0::DOUBLE + 0.05::DOUBLE) ELSE (turn % 10) / 10.0::DOUBLE END AS given
+  FROM conversations WHERE role = 'assistant'))""")
 
 # --------------------------------------------------------------------------- enrichment
 QUERIES["q9_patch_lookup"] = lambda spark, sf: M.with_patch(V.finding_facts(spark, sf)).groupBy(
@@ -149,22 +154,22 @@ LEFT JOIN (VALUES {_values(SOC2_CONTROLS.items())}) m(id, name) ON control_id =
 # --------------------------------------------------------------------------- append, deduplicate, delete
 QUERIES["s5_storable_findings"] = lambda spark, sf: L.storable(
     V.finding_facts(spark, sf).withColumns({
-        "title": F.when(F.col("line_start") == 10, "").otherwise(F.repeat("title", 20)),
+        "title": F.when(F.col("line_start") == 10, "").otherwise(F.repeat("title", 40)),
         "severity": F.when(F.col("severity") != "info", F.col("severity")),
-        "confidence_score": F.when(F.col("confidence_score") > 0.3, F.col("confidence_score"))})).groupBy("severity", "title").agg(
+        "confidence_score": F.when(F.col("confidence_score") > 0.3, F.col("confidence_score"))}), title_length=500).groupBy("severity", "title").agg(
     F.count("*").alias("stored"), F.sum(F.round(F.col("confidence_score") * 100).cast("bigint")).alias("confidence_points"))
 ORACLES["s5_storable_findings"] = query("""
-SELECT CASE WHEN severity <> 'info' THEN severity ELSE 'medium' END AS severity, substr(repeat(title, 20), 1, 500) AS title, count(*) AS stored,
+SELECT CASE WHEN severity <> 'info' THEN severity ELSE 'medium' END AS severity, substr(repeat(title, 40), 1, 500) AS title, count(*) AS stored,
   sum(round(CASE WHEN confidence_score > 0.3 THEN confidence_score ELSE 0.8::DOUBLE END * 100)::BIGINT)::BIGINT AS confidence_points
 FROM finding_facts WHERE line_start IS DISTINCT FROM 10 GROUP BY ALL""")
-QUERIES["w4_first_wins"] = lambda spark, sf: L.first_wins(V.finding_facts(spark, sf), L.orchestrator_key(), _ORDER).select("finding_id")
+QUERIES["w4_first_wins"] = lambda spark, sf: L.first_wins(V.finding_facts(spark, sf), L.orchestrator_key(50), _ORDER).select("finding_id")
 ORACLES["w4_first_wins"] = query("""
 SELECT finding_id FROM (SELECT *, row_number() OVER (PARTITION BY pr_id, file_path, line_start, substr(title, 1, 50) ORDER BY emit_seq, finding_id) AS n FROM finding_facts) WHERE n = 1""")
-QUERIES["w5_first_wins_service_key"] = lambda spark, sf: L.first_wins(V.finding_facts(spark, sf), L.service_key(), _ORDER).select("finding_id")
+QUERIES["w5_first_wins_service_key"] = lambda spark, sf: L.first_wins(V.finding_facts(spark, sf), L.service_key(title_length=40), _ORDER).select("finding_id")
 ORACLES["w5_first_wins_service_key"] = query("""
 SELECT finding_id FROM (SELECT *, row_number() OVER (PARTITION BY pr_id, file_path, line_start, lower(substr(title, 1, 40)) ORDER BY emit_seq, finding_id) AS n FROM finding_facts) WHERE n = 1""")
 QUERIES["w5_first_wins_reflection_key"] = lambda spark, sf: L.first_wins(
-    Q.reflect(_scored(spark, sf)), L.service_key(""), _ORDER).groupBy("pr_id").agg(F.count("*").alias("kept"))
+    Q.reflect(_scored(spark, sf)), L.service_key("", 40), _ORDER).groupBy("pr_id").agg(F.count("*").alias("kept"))
 ORACLES["w5_first_wins_reflection_key"] = query("""
 SELECT pr_id, count(*) AS kept FROM (SELECT *, row_number() OVER (PARTITION BY pr_id, coalesce(file_path, ''), line_start, lower(substr(title, 1, 40)) ORDER BY emit_seq, finding_id) AS n
   FROM quality WHERE NOT (is_likely_false_positive OR quality_score < 0.4)) WHERE n = 1 GROUP BY pr_id""")
@@ -175,12 +180,12 @@ def _split(spark, sf):
     return facts.filter("created_at >= '1998-01-01'"), facts.filter("created_at < '1998-01-01'")
 
 
-QUERIES["j7_new_minus_existing"] = lambda spark, sf: L.unseen(*_split(spark, sf), _ORDER).select("finding_id")
+QUERIES["j7_new_minus_existing"] = lambda spark, sf: L.unseen(*_split(spark, sf), _ORDER, title_length=40).select("finding_id")
 ORACLES["j7_new_minus_existing"] = query("""
 SELECT finding_id FROM (SELECT *, row_number() OVER (PARTITION BY pr_id, file_path, line_start, lower(substr(title, 1, 40)) ORDER BY emit_seq, finding_id) AS n
   FROM finding_facts f WHERE created_at >= '1998-01-01' AND NOT EXISTS (SELECT 1 FROM finding_facts e WHERE e.created_at < '1998-01-01' AND e.pr_id = f.pr_id
     AND e.file_path IS NOT DISTINCT FROM f.file_path AND e.line_start IS NOT DISTINCT FROM f.line_start AND lower(substr(e.title, 1, 40)) = lower(substr(f.title, 1, 40)))) WHERE n = 1""")
-QUERIES["u3_except_existing_prs"] = lambda spark, sf: _split(spark, sf)[0].select("pr_id").join(_split(spark, sf)[1].select("pr_id"), "pr_id", "left_anti").distinct()
+QUERIES["u3_except_existing_prs"] = lambda spark, sf: L.only_in(*_split(spark, sf))
 ORACLES["u3_except_existing_prs"] = query("""
 SELECT pr_id FROM finding_facts WHERE created_at >= '1998-01-01' EXCEPT SELECT pr_id FROM finding_facts WHERE created_at < '1998-01-01'""")
 
@@ -248,3 +253,40 @@ QUERIES["f9_pr_highlights"] = lambda spark, sf: L.highlights(V.finding_facts(spa
 ORACLES["f9_pr_highlights"] = query("""
 SELECT pr_id, n AS highlight, finding_id, severity FROM (SELECT *, row_number() OVER (PARTITION BY pr_id ORDER BY severity = 'high', emit_seq, finding_id) AS n
   FROM finding_facts WHERE severity IN ('critical', 'high')) WHERE n <= 3""")
+
+
+def _finished(spark, sf):
+    """Reviews of two in three pull requests, one in ten of them failed."""
+    prs, key = V.pr_facts(spark, sf), F.col("pr_id")
+    begun = F.col("created_at").cast("timestamp")
+    outcomes = prs.filter(key % 3 != 0).select(
+        "pr_id", ((key % 100) / 100).alias("risk_score"), (key % 10).cast("int").alias("steps_taken"), begun.alias("started_at"),
+        F.timestamp_seconds(F.unix_seconds(begun) + key % 600).alias("completed_at"), F.when(key % 10 == 0, F.repeat(F.lit("rate limit "), 120)).alias("error"))
+    return L.finish_reviews(prs, outcomes, V.finding_facts(spark, sf), error_length=1000)
+
+
+QUERIES["f12_review_results"] = lambda spark, sf: _finished(spark, sf)[0].select(
+    "pr_id", "status", "risk_score", F.date_format("reviewed_at", "yyyy-MM-dd HH:mm:ss").alias("reviewed_at"))
+ORACLES["f12_review_results"] = query("""
+SELECT pr_id, CASE WHEN pr_id % 3 = 0 THEN status WHEN pr_id % 10 = 0 THEN 'failed' ELSE 'completed' END AS status,
+  CASE WHEN pr_id % 3 <> 0 AND pr_id % 10 <> 0 THEN (pr_id % 100) / 100.0::DOUBLE ELSE risk_score END AS risk_score,
+  CASE WHEN pr_id % 3 <> 0 AND pr_id % 10 <> 0 THEN strftime(created_at::TIMESTAMP + to_seconds(pr_id % 600), '%Y-%m-%d %H:%M:%S') END AS reviewed_at FROM pr_facts""")
+QUERIES["f12_review_runs"] = lambda spark, sf: _finished(spark, sf)[1].select(
+    "pr_id", "agent_type", "status", F.col("steps_taken").cast("bigint"), "findings_count", "duration_seconds", "error_message")
+ORACLES["f12_review_runs"] = query("""
+SELECT pr_id, 'orchestrator' AS agent_type, CASE WHEN pr_id % 10 = 0 THEN 'failed' ELSE 'completed' END AS status, pr_id % 10 AS steps_taken,
+  CASE WHEN pr_id % 10 = 0 THEN 0 ELSE coalesce(n, 0) END AS findings_count, (pr_id % 600)::DOUBLE AS duration_seconds,
+  CASE WHEN pr_id % 10 = 0 THEN substr(repeat('rate limit ', 120), 1, 1000) END AS error_message
+FROM pr_facts LEFT JOIN (SELECT pr_id, count(*) AS n FROM finding_facts GROUP BY pr_id) USING (pr_id) WHERE pr_id % 3 <> 0""")
+
+
+def _own_score(rows):
+    """A scorer as a user writes one: a pandas frame of the named columns in, one number per row out."""
+    return (rows["confidence_score"] * 1000).round() + rows["description"].str.contains("hardcoded") * 100
+
+
+QUERIES["p3_user_scorer"] = lambda spark, sf: Q.user_scored(
+    V.finding_facts(spark, sf), _own_score, ["confidence_score", "description"], "points").groupBy("severity").agg(F.sum("points").alias("points"), F.count("*").alias("findings"))
+ORACLES["p3_user_scorer"] = query("""
+SELECT severity, sum(round(confidence_score * 1000) + CASE WHEN contains(description, 'hardcoded') THEN 100 ELSE 0 END)::DOUBLE AS points, count(*) AS findings
+FROM finding_facts GROUP BY severity""")

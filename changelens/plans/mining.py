@@ -179,15 +179,34 @@ ORACLES["u2_ordered_distinct"] = query(
 CTES["functions"] = """
 SELECT doc_id, i, 'fn_' || doc_id || '_' || i AS name, len(string_split(l, ' ')) % 14 AS ifs
 FROM (SELECT doc_id, generate_subscripts(ls, 1) - 1 AS i, unnest(ls) AS l FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents))"""
-QUERIES["d10_python_structure"] = lambda spark, sf: Y.python_structure(Y.python_sources(V.spread(V.table(spark, sf, "documents")))).filter(
+QUERIES["d10_python_structure"] = lambda spark, sf: Y.python_structure(Y.python_sources(V.table(spark, sf, "documents"))).filter(
     "kind = 'function'").select("doc_id", "name", F.col("line").cast("bigint"), F.array_join("args", ",").alias("args"), F.col("decorators").cast("bigint"))
 ORACLES["d10_python_structure"] = query("""
 SELECT doc_id, name, 2 + coalesce(sum(2 + 2 * ifs) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS line,
   'a,b' AS args, 0::BIGINT AS decorators FROM functions""")
 QUERIES["d11_complexity_hotspots"] = lambda spark, sf: Y.complexity_hotspots(
-    Y.python_structure(Y.python_sources(V.spread(V.table(spark, sf, "documents")))), "doc_id", 5).select(
+    Y.python_structure(Y.python_sources(V.table(spark, sf, "documents"))), "doc_id", 5).select(
     "doc_id", "name", F.col("complexity").cast("bigint"), F.col("hot_rank").cast("bigint"))
 ORACLES["d11_complexity_hotspots"] = query("""
 SELECT doc_id, name, complexity, hot_rank FROM (
   SELECT doc_id, name, 1 + 2 * ifs AS complexity, row_number() OVER (PARTITION BY doc_id ORDER BY ifs DESC, i) AS hot_rank
   FROM functions WHERE 1 + 2 * ifs > 10) WHERE hot_rank <= 5""")
+
+
+def _odd_sources(spark, sf):
+    """The Python files, some with a class and imports in it, some broken, some null."""
+    d = F.col("doc_id")
+    more = F.when(d % 5 == 0, "def broken(:\n").when(d % 3 == 0, F.concat(F.lit("class C"), d.cast("string"), F.lit(":\n    from json import loads\n    import re, sys\n"))).otherwise("")
+    return Y.python_sources(V.table(spark, sf, "documents")).withColumn("code", F.when(d % 50 != 7, F.concat("code", more)))
+
+
+QUERIES["d10_classes_imports_errors"] = lambda spark, sf: Y.python_structure(_odd_sources(spark, sf)).filter("kind <> 'function'").select(
+    "doc_id", "kind", F.when(F.col("kind") != "error", F.col("name")).otherwise(F.regexp_extract("name", "^[A-Za-z ]+", 0)).alias("name"))
+ORACLES["d10_classes_imports_errors"] = query("""
+SELECT doc_id, 'error' AS kind, CASE WHEN doc_id % 50 = 7 THEN 'No source' ELSE 'Syntax error' END AS name FROM documents WHERE doc_id % 5 = 0 OR doc_id % 50 = 7
+UNION ALL SELECT doc_id, 'import', 'os' FROM documents WHERE doc_id % 5 <> 0 AND doc_id % 50 <> 7
+UNION ALL SELECT doc_id, kind, name FROM (SELECT doc_id, unnest(['class', 'import', 'import', 'import']) AS kind, unnest(['C' || doc_id, 'json', 're', 'sys']) AS name FROM documents
+  WHERE doc_id % 5 <> 0 AND doc_id % 3 = 0 AND doc_id % 50 <> 7)""")
+QUERIES["d11_total_complexity"] = lambda spark, sf: Y.total_complexity(Y.python_structure(Y.python_sources(V.table(spark, sf, "documents"))), "doc_id")
+ORACLES["d11_total_complexity"] = query("""
+SELECT doc_id, (1 + sum(2 * ifs))::BIGINT AS total_complexity, count(*) FILTER (1 + 2 * ifs > 10) AS high_complexity_functions FROM functions GROUP BY doc_id""")

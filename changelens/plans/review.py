@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,10 +13,22 @@ from changelens.session import materialize
 _CARRIED = ("pr_id", "score_pts")
 
 
-def raw_findings(changes: DataFrame, advisories: DataFrame | None = None) -> DataFrame:
+@dataclass(frozen=True)
+class Widths:
+    """Leading characters that count of a title as key, of a shown line with a secret, of a diff searched for places; None takes all."""
+
+    title: int | None = None
+    secret: int | None = None
+    places: int | None = None
+
+
+WHOLE = Widths()
+
+
+def raw_findings(changes: DataFrame, advisories: DataFrame | None = None, widths: Widths = WHOLE) -> DataFrame:
     """Union of all agents' findings; deep agents only where the risk score asks for them."""
-    scored = scoring.with_risk(changes).select(*_CARRIED, "diff")
-    found = scan.scan_changes(scored, deep_when=F.col("score_pts") >= scoring.LOW_RISK_POINTS)
+    scored = scoring.with_risk(changes, widths.places).select(*_CARRIED, "diff")
+    found = scan.scan_changes(scored, deep_when=F.col("score_pts") >= scoring.LOW_RISK_POINTS, secret_chars=widths.secret)
     # a few lines per change, read by two checks: written once instead of reading the diffs again
     manifests = materialize(deps.manifest_dependencies(scored.filter(F.col("score_pts") >= scoring.LOW_RISK_POINTS)), "manifests")
     found = found.unionByName(deps.stale_findings(manifests))
@@ -23,7 +37,7 @@ def raw_findings(changes: DataFrame, advisories: DataFrame | None = None) -> Dat
     return found
 
 
-def final_findings(raw: DataFrame) -> DataFrame:
+def final_findings(raw: DataFrame, widths: Widths = WHOLE) -> DataFrame:
     """Enriched in place, filtered by confidence, first of each key.
 
     Changes of low risk end after the static agent: their findings skip the
@@ -33,21 +47,21 @@ def final_findings(raw: DataFrame) -> DataFrame:
     enriched = remedies.enrich(raw, where=deep)
     kept = enriched.filter(~deep | scoring.is_confident())
     # the position makes every finding of a low-risk change a key of its own, so one pass serves both kinds
-    key = [*findings.orchestrator_key(), F.when(~deep, F.col("emit_seq"))]
+    key = [*findings.orchestrator_key(widths.title), F.when(~deep, F.col("emit_seq"))]
     return findings.first_wins(kept, key, ["emit_seq", "title"])
 
 
-def review(changes: DataFrame, advisories: DataFrame | None = None) -> DataFrame:
-    return final_findings(raw_findings(changes, advisories))
+def review(changes: DataFrame, advisories: DataFrame | None = None, widths: Widths = WHOLE) -> DataFrame:
+    return final_findings(raw_findings(changes, advisories, widths), widths)
 
 
-def reports(changes: DataFrame, advisories: DataFrame | None = None) -> DataFrame:
-    """Markdown reports of all changes, those without findings included."""
-    raw = materialize(raw_findings(changes, advisories), "raw-findings")
-    heads = scoring.with_risk(changes).select("pr_id", "repo_full_name", "pr_number", "score_pts", "risk_score")
-    return findings.review_reports(heads, final_findings(raw), findings.agent_counts(raw))
+def reports(changes: DataFrame, advisories: DataFrame | None = None, widths: Widths = WHOLE) -> DataFrame:
+    """Markdown reports of all changes in numbered parts, those without findings included."""
+    raw = materialize(raw_findings(changes, advisories, widths), "raw-findings")
+    heads = scoring.with_risk(changes, widths.places).select("pr_id", "repo_full_name", "pr_number", "score_pts", "risk_score")
+    return findings.review_reports(heads, materialize(final_findings(raw, widths), "final-findings"), findings.agent_counts(raw))
 
 
-def outbox(changes: DataFrame, advisories: DataFrame | None = None) -> DataFrame:
-    heads = scoring.with_risk(changes).select("pr_id", "repo_full_name", "pr_number", "risk_score")
-    return findings.comment_outbox(heads, materialize(review(changes, advisories), "final-findings"))
+def outbox(changes: DataFrame, advisories: DataFrame | None = None, widths: Widths = WHOLE) -> DataFrame:
+    heads = scoring.with_risk(changes, widths.places).select("pr_id", "repo_full_name", "pr_number", "risk_score")
+    return findings.comment_outbox(heads, materialize(review(changes, advisories, widths), "final-findings"))

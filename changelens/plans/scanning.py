@@ -8,7 +8,7 @@ from changelens.operators import findings as L
 from changelens.operators import rules as R
 from changelens.operators import scan as S
 from changelens.operators import scoring as Q
-from changelens.operators.diffs import AGENT_LANGUAGES
+from changelens.operators.diffs import AGENT_LANGUAGES, added_lines
 from changelens.plans import review as P
 from changelens.plans import lifecycle  # noqa: F401  (defines the enrichment CTEs)
 from changelens.plans.dependency import advisories
@@ -129,7 +129,7 @@ def _shown(df):
 
 
 def _scan(*groups):
-    return lambda spark, sf: _shown(S.scan_changes(V.changes(spark, sf).select("pr_id", "diff"), groups))
+    return lambda spark, sf: _shown(S.scan_changes(V.changes(spark, sf).select("pr_id", "diff"), groups, secret_chars=100))
 
 
 def _register(name, groups, ctes):
@@ -158,26 +158,50 @@ QUERIES["w3_following_context"] = lambda spark, sf: S.scan_changes(
 ORACLES["w3_following_context"] = query(
     "SELECT rule_id, count(*) AS uncovered, min(line_start) AS first_line FROM (SELECT * FROM f_operations UNION ALL SELECT * FROM f_audit) GROUP BY rule_id")
 
-_LINE_PACKS = (R.SECRETS, R.OWASP, R.CRYPTO, R.QUICK_STATIC)
-_RE2 = {r"http://(?!localhost)": "regexp_matches(regexp_replace(line, 'http://localhost', ' ', 'g'), 'http://')"}
+_LINE_PACKS = (R.QUICK_STATIC, R.LANGUAGE_STATIC, R.OWASP, R.SECRETS, R.AUTH, R.INJECTION, R.CRYPTO, R.CONTROLS, R.RETENTION)
+_PACK_COLUMNS = "pack string, rule_no bigint, pattern string, title string, severity string, needs array<string>, ignore_case boolean, two_line boolean"
 CTES["text_lines"] = """
-SELECT doc_id, generate_subscripts(ls, 1) AS line_no, unnest(ls) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents)"""
+SELECT doc_id, i AS line_no, ls[i] AS code, ls[i + 1] AS next_code FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents))"""
 
 
-def _line_rule(spark, sf):
-    lines = V.spread(V.table(spark, sf, "documents")).select("doc_id", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    return S.match_rules(lines, "line", _LINE_PACKS).select("doc_id", (F.col("line_no") + 1).cast("bigint").alias("line_no"), "pack", "rule_no", "severity")
+def _text_lines(spark, sf):
+    lines = F.split("text", "\n")
+    paired = F.transform(lines, lambda l, i: F.struct(l.alias("line"), F.concat(l, F.lit("\n"), F.get(lines, i + 1)).alias("pair")))
+    return V.table(spark, sf, "documents").select("doc_id", F.posexplode(paired).alias("line_no", "l")).select("doc_id", "line_no", "l.line", "l.pair")
 
 
-QUERIES["j9_line_rule_join"] = _line_rule
-ORACLES["j9_line_rule_join"] = query("\nUNION ALL ".join(
-    f"SELECT doc_id, line_no, {q(p.name)} AS pack, {no}::BIGINT AS rule_no, {q(r.severity)} AS severity FROM text_lines WHERE {_RE2.get(r.pattern) or _regex('line', r.pattern)}"
-    for p in _LINE_PACKS for no, r in enumerate(p.rules, 1) if not r.two_line))
+def _shown_hits(hits):
+    return hits.select("doc_id", (F.col("line_no") + 1).cast("bigint").alias("line_no"), "pack", "rule_no", "severity")
+
+
+def rule_table(spark, packs=_LINE_PACKS):
+    """The packs as a table, as users may keep theirs."""
+    return spark.createDataFrame([
+        (p.name, no, r.pattern, r.title, r.severity, list(r.needs), p.ignore_case, r.two_line) for p in packs for no, r in enumerate(p.rules, 1)], _PACK_COLUMNS)
+
+
+def _line_test(pack, rule):
+    return _regex("code", "(?i)" + rule.pattern) if pack.ignore_case else _code_test(rule)
+
 
-QUERIES["a13_categories_hit"] = lambda spark, sf: S.scan_changes(
-    V.changes(spark, sf).select("pr_id", "diff"), ["owasp", "injection"]).groupBy("pr_id").agg(
-    F.array_join(F.sort_array(F.collect_set("owasp_category")), ";").alias("owasp_hit"),
-    F.array_join(F.sort_array(F.collect_set(F.nullif(F.regexp_extract("rule_id", "^injection-(.*)", 1), F.lit("")))), ";").alias("injection_hit"))
+QUERIES["j9_line_rule_join"] = lambda spark, sf: _shown_hits(S.match_rules(_text_lines(spark, sf), "line", _LINE_PACKS, pair="pair"))
+QUERIES["j9_rule_table"] = lambda spark, sf: S.match_rule_table(
+    added_lines(V.changes(spark, sf).select("pr_id", "diff"), pair_when=lambda code: F.lit(True)), "code", rule_table(spark), pair="pair").select(
+    "pr_id", F.col("diff_line").cast("bigint"), "pack", "rule_no", "title", "severity")
+ORACLES["j9_rule_table"] = query("\nUNION ALL ".join(
+    f"SELECT pr_id, diff_line, {q(p.name)} AS pack, {no}::BIGINT AS rule_no, {q(r.title)} AS title, {q(r.severity)} AS severity FROM added WHERE {_line_test(p, r)}"
+    for p in _LINE_PACKS for no, r in enumerate(p.rules, 1)))
+ORACLES["j9_line_rule_join"] = query("\nUNION ALL ".join(
+    f"SELECT doc_id, line_no, {q(p.name)} AS pack, {no}::BIGINT AS rule_no, {q(r.severity)} AS severity FROM text_lines WHERE {_line_test(p, r)}"
+    for p in _LINE_PACKS for no, r in enumerate(p.rules, 1)))
+MY_RULES = R.Pack("my_rules", (
+    R.Rule(r"yaml\.load\(", "Unsafe yaml loading", "high", ("yaml.load(",), "CWE-502"), R.Rule(r"return\s+None", "Returns nothing", "info", ()),))
+QUERIES["p1_user_pack"] = lambda spark, sf: S.scan_changes(V.changes(spark, sf).select("pr_id", "diff"), [MY_RULES, "quick_static"]).select(
+    "pr_id", "title", "severity", F.col("line_start").cast("bigint"), "rule_id")
+ORACLES["p1_user_pack"] = query("SELECT pr_id, title, severity, line_start, rule_id FROM f_quick_static UNION ALL " + " UNION ALL ".join(
+    f"SELECT pr_id, {q(r.title)}, {q(r.severity)}, added_no, 'my_rules-{no}' FROM added WHERE {_regex('code', r.pattern)}" for no, r in enumerate(MY_RULES.rules, 1)))
+
+QUERIES["a13_categories_hit"] = lambda spark, sf: L.categories_hit(S.scan_changes(V.changes(spark, sf).select("pr_id", "diff"), ["owasp", "injection"]))
 ORACLES["a13_categories_hit"] = query("""
 SELECT pr_id, coalesce(string_agg(DISTINCT owasp_category, ';' ORDER BY owasp_category), '') AS owasp_hit,
   coalesce(string_agg(DISTINCT inj, ';' ORDER BY inj), '') AS injection_hit
@@ -185,9 +209,9 @@ FROM (SELECT pr_id, owasp_category, CASE WHEN starts_with(rule_id, 'injection-')
   FROM (SELECT * FROM f_owasp UNION ALL SELECT * FROM f_injection)) GROUP BY pr_id""")
 
 # --------------------------------------------------------------------------- triage and routing
-QUERIES["q1_risk_score"] = lambda spark, sf: Q.with_risk(V.changes(spark, sf)).select("pr_id", F.col("score_pts").cast("bigint"), "risk_score")
+QUERIES["q1_risk_score"] = lambda spark, sf: Q.with_risk(V.changes(spark, sf), 500).select("pr_id", F.col("score_pts").cast("bigint"), "risk_score")
 ORACLES["q1_risk_score"] = query("SELECT pr_id, score_pts::BIGINT AS score_pts, score_pts / 100.0::DOUBLE AS risk_score FROM scored")
-QUERIES["q2_depth_routing"] = lambda spark, sf: Q.route(Q.with_risk(V.changes(spark, sf))).select("pr_id", F.array_join("agents", ">").alias("agents"))
+QUERIES["q2_depth_routing"] = lambda spark, sf: Q.route(Q.with_risk(V.changes(spark, sf), 500)).select("pr_id", F.array_join("agents", ">").alias("agents"))
 ORACLES["q2_depth_routing"] = query("""
 SELECT pr_id, CASE WHEN score_pts < 30 THEN 'static_analysis' ELSE 'static_analysis>security_audit>dependency>compliance>remediation>reflection' END AS agents
 FROM scored""")
@@ -202,6 +226,9 @@ SELECT * EXCLUDE (n) FROM (SELECT *, row_number() OVER (PARTITION BY pr_id, file
 UNION ALL SELECT * FROM f_enriched WHERE score_pts < 30"""
 
 
+_STORED = P.Widths(title=50, secret=100, places=500)
+
+
 def _sources(spark, sf):
     return V.changes(spark, sf), advisories(spark, sf)
 
@@ -214,13 +241,13 @@ def _raw_rollup(df):
     return df.groupBy("pr_id", "agent_type").agg(F.count("*").alias("findings"), F.count_if(F.col("severity").isin("critical", "high")).alias("serious"))
 
 
-QUERIES["u1_union_of_agents"] = lambda spark, sf: _raw_rollup(P.raw_findings(*_sources(spark, sf)))
+QUERIES["u1_union_of_agents"] = lambda spark, sf: _raw_rollup(P.raw_findings(*_sources(spark, sf), _STORED))
 ORACLES["u1_union_of_agents"] = query("""
 SELECT pr_id, agent_type, count(*) AS findings, count(*) FILTER (severity IN ('critical', 'high')) AS serious FROM f_raw GROUP BY ALL""")
 
 
 def _final(spark, sf):
-    return P.review(*_sources(spark, sf)).select(
+    return P.review(*_sources(spark, sf), _STORED).select(
         "pr_id", "agent_type", "severity", "title", "description", "file_path", F.coalesce("line_start", F.lit(-1)).cast("bigint").alias("line_start"),
         "rule_id", "emit_seq", "suggestion", "patch", F.array_join("safer_libraries", ";").alias("safer_libraries"), "attack_scenario", "business_impact",
         F.col("remediation_explanation.impact").alias("impact"))
@@ -231,22 +258,12 @@ ORACLES["review_final_findings"] = query("""
 SELECT pr_id, agent_type, severity, title, description, file_path, coalesce(line_start, -1) AS line_start, rule_id, emit_seq, suggestion, patch,
   safer_libraries, attack_scenario, business_impact, impact FROM f_final""")
 
-def _stages(spark, sf):
-    raw = P.raw_findings(*_sources(spark, sf))
-    keyed = raw.withColumn("_sure", F.coalesce("confidence_score", F.lit(0.8)) >= 0.4)
-    # one pass: a finding counts once per key, so a distinct count of the keys is the count after deduplication
-    key = F.struct(*[k.alias(f"k{i}") for i, k in enumerate(L.orchestrator_key())])
-    per_key = keyed.groupBy("pr_id", key.alias("_key")).agg(F.count("*").alias("n"), F.count_if("_sure").alias("s"))
-    return per_key.groupBy("pr_id").agg(
-        F.sum("n").alias("original_count"), F.sum("s").alias("after_filter"), F.count_if(F.col("s") > 0).alias("final_count"))
-
-
-QUERIES["a12_reflection_counts"] = _stages
+QUERIES["a12_reflection_counts"] = lambda spark, sf: L.reflection_counts(P.raw_findings(*_sources(spark, sf), _STORED), title_length=_STORED.title)
 ORACLES["a12_reflection_counts"] = query("""
 SELECT pr_id, count(*) AS original_count, count(*) FILTER (coalesce(confidence_score, 0.8) >= 0.4) AS after_filter,
   count(DISTINCT (coalesce(file_path, '?'), coalesce(line_start, -1), substr(title, 1, 50))) FILTER (coalesce(confidence_score, 0.8) >= 0.4) AS final_count
 FROM f_raw GROUP BY pr_id""")
-QUERIES["a11_agent_result_counts"] = lambda spark, sf: L.agent_counts(P.raw_findings(*_sources(spark, sf)))
+QUERIES["a11_agent_result_counts"] = lambda spark, sf: L.agent_counts(P.raw_findings(*_sources(spark, sf), _STORED))
 ORACLES["a11_agent_result_counts"] = query("""
 SELECT pr_id, count(*) FILTER (agent_type = 'static_analysis') AS agent_static_analysis, count(*) FILTER (agent_type = 'security_audit') AS agent_security_audit,
   count(*) FILTER (agent_type = 'dependency') AS agent_dependency, count(*) FILTER (agent_type = 'compliance') AS agent_compliance,
@@ -255,9 +272,9 @@ ORACLES["w4_first_wins_orchestrator_key"] = query("""
 SELECT pr_id, count(*) AS kept FROM (SELECT *, row_number() OVER (PARTITION BY pr_id, file_path, line_start, substr(title, 1, 50) ORDER BY emit_seq, title) AS n
   FROM f_raw WHERE coalesce(confidence_score, 0.8) >= 0.4) WHERE n = 1 GROUP BY pr_id""")
 QUERIES["w4_first_wins_orchestrator_key"] = lambda spark, sf: L.first_wins(
-    Q.confident(P.raw_findings(*_sources(spark, sf))), L.orchestrator_key(), ["emit_seq", "title"]).groupBy("pr_id").agg(F.count("*").alias("kept"))
+    Q.confident(P.raw_findings(*_sources(spark, sf), _STORED)), L.orchestrator_key(50), ["emit_seq", "title"]).groupBy("pr_id").agg(F.count("*").alias("kept"))
 
-QUERIES["q12_review_report"] = lambda spark, sf: P.reports(*_sources(spark, sf))
+QUERIES["q12_review_report"] = lambda spark, sf: P.reports(*_sources(spark, sf), _STORED)
 ORACLES["q12_review_report"] = query(r"""
 SELECT s.pr_id, 0::BIGINT AS part,
   '# Code Review Report: ' || s.repo_full_name || ' PR #' || s.pr_number || chr(10) || chr(10) || '**Risk Score:** ' || printf('%.2f', s.score_pts / 100.0)
@@ -268,23 +285,24 @@ SELECT s.pr_id, 0::BIGINT AS part,
      || chr(10) || '- **dependency**: {''findings_count'': ' || coalesce(r.a3, 0) || '}'
      || chr(10) || '- **compliance**: {''findings_count'': ' || coalesce(r.a4, 0) || '}'
      || CASE WHEN coalesce(r.serious, 0) > 0 THEN chr(10) || '- **remediation**: {''enriched_count'': ' || r.serious || '}' ELSE '' END ELSE '' END
-  || CASE WHEN coalesce(f.total, 0) > 0 THEN chr(10) || chr(10) || '## Critical & High Findings' ELSE '' END || coalesce(f.blocks, '') AS report
+  || CASE WHEN coalesce(f.total, 0) > 0 THEN chr(10) || chr(10) || '## Critical & High Findings' ELSE '' END AS report
 FROM scored s
 LEFT JOIN (SELECT pr_id, count(*) AS total,
     CASE WHEN count(*) FILTER (severity = 'critical') > 0 THEN chr(10) || '- **CRITICAL**: ' || count(*) FILTER (severity = 'critical') ELSE '' END
     || CASE WHEN count(*) FILTER (severity = 'high') > 0 THEN chr(10) || '- **HIGH**: ' || count(*) FILTER (severity = 'high') ELSE '' END
     || CASE WHEN count(*) FILTER (severity = 'medium') > 0 THEN chr(10) || '- **MEDIUM**: ' || count(*) FILTER (severity = 'medium') ELSE '' END
     || CASE WHEN count(*) FILTER (severity = 'low') > 0 THEN chr(10) || '- **LOW**: ' || count(*) FILTER (severity = 'low') ELSE '' END
-    || CASE WHEN count(*) FILTER (severity = 'info') > 0 THEN chr(10) || '- **INFO**: ' || count(*) FILTER (severity = 'info') ELSE '' END AS summary,
-    string_agg(CASE WHEN severity IN ('critical', 'high') THEN chr(10) || chr(10) || '### [' || upper(severity) || '] ' || title || chr(10) || '**File:** `'
-      || coalesce(file_path, 'None') || '` (lines ' || coalesce(line_start::VARCHAR, 'None') || '-' || coalesce(line_start::VARCHAR, 'None') || ')' || chr(10) || chr(10)
-      || description || CASE WHEN coalesce(suggestion, '') <> '' THEN chr(10) || chr(10) || '**Suggestion:** ' || suggestion ELSE '' END END, '' ORDER BY emit_seq, title) AS blocks
+    || CASE WHEN count(*) FILTER (severity = 'info') > 0 THEN chr(10) || '- **INFO**: ' || count(*) FILTER (severity = 'info') ELSE '' END AS summary
   FROM f_final GROUP BY pr_id) f USING (pr_id)
 LEFT JOIN (SELECT pr_id, count(*) FILTER (agent_type = 'static_analysis') AS a1, count(*) FILTER (agent_type = 'security_audit') AS a2,
     count(*) FILTER (agent_type = 'dependency') AS a3, count(*) FILTER (agent_type = 'compliance') AS a4, count(*) FILTER (severity IN ('critical', 'high')) AS serious
-  FROM f_raw GROUP BY pr_id) r USING (pr_id)""")
+  FROM f_raw GROUP BY pr_id) r USING (pr_id)
+UNION ALL SELECT pr_id, row_number() OVER (PARTITION BY pr_id ORDER BY emit_seq, title) AS part, chr(10) || '### [' || upper(severity) || '] ' || title || chr(10) || '**File:** `'
+  || coalesce(file_path, 'None') || '` (lines ' || coalesce(line_start::VARCHAR, 'None') || '-' || coalesce(line_start::VARCHAR, 'None') || ')' || chr(10) || chr(10)
+  || description || CASE WHEN coalesce(suggestion, '') <> '' THEN chr(10) || chr(10) || '**Suggestion:** ' || suggestion ELSE '' END AS report
+FROM f_final WHERE severity IN ('critical', 'high')""")
 
-QUERIES["q13_comment_outbox"] = lambda spark, sf: P.outbox(*_sources(spark, sf))
+QUERIES["q13_comment_outbox"] = lambda spark, sf: P.outbox(*_sources(spark, sf), _STORED)
 ORACLES["q13_comment_outbox"] = query(r"""
 SELECT s.pr_id, s.repo_full_name, s.pr_number, CASE WHEN score_pts > 70 THEN 'red' WHEN score_pts > 30 THEN 'amber' ELSE 'green' END AS band,
   '## ' || CASE WHEN score_pts > 70 THEN '🔴' WHEN score_pts > 30 THEN '🟡' ELSE '🟢' END || ' Automated Code Review Report' || chr(10) || chr(10)
@@ -295,10 +313,10 @@ FROM scored s LEFT JOIN (SELECT pr_id, count(*) FILTER (severity = 'critical') A
     string_agg(CASE WHEN n <= 5 AND severity IN ('critical', 'high') THEN chr(10) || '- **[' || upper(severity) || ']** ' || title
       || CASE WHEN coalesce(file_path, '') <> '' THEN ' (`' || file_path || '`)' ELSE '' END END, '' ORDER BY n) AS entries
   FROM (SELECT *, row_number() OVER (PARTITION BY pr_id ORDER BY emit_seq, title) AS n FROM f_final) GROUP BY pr_id) f USING (pr_id)""")
-QUERIES["q13_inline_comments"] = lambda spark, sf: _bigints(L.inline_comments(P.review(*_sources(spark, sf))), "comment_no", "line")
+QUERIES["q13_inline_comments"] = lambda spark, sf: _bigints(L.inline_comments(P.review(*_sources(spark, sf), _STORED)), "comment_no", "line")
 ORACLES["q13_inline_comments"] = query("""
-SELECT pr_id, n AS comment_no, file_path AS path, coalesce(line_start, 1) AS line, 'RIGHT' AS side, description AS body
-FROM (SELECT *, row_number() OVER (PARTITION BY pr_id ORDER BY emit_seq, title) AS n FROM f_final) WHERE n <= 50""")
+SELECT pr_id, (n - 1) // 50 AS review_no, n AS comment_no, file_path AS path, coalesce(line_start, 1) AS line, 'RIGHT' AS side, description AS body
+FROM (SELECT *, row_number() OVER (PARTITION BY pr_id ORDER BY emit_seq, title) AS n FROM f_final)""")
 
 
 def flagship(spark, sf):

@@ -10,6 +10,7 @@ from changelens.operators import search as V
 from changelens.functions.vectors import hash_embedding
 from changelens.plans.mining import CTES
 from changelens.plans.sqlbase import query
+from changelens.session import work_dir
 from changelens.sources import views
 
 QUERIES, ORACLES = {}, {}
@@ -83,9 +84,42 @@ SELECT chunk, rv AS vector_rank, coalesce(rk, -1) AS keyword_rank, round(score,
   FROM (SELECT chunk, row_number() OVER (ORDER BY list_cosine_similarity(vec, {_LONG_SQL}) DESC, chunk) AS rv FROM term_counts) a
   LEFT JOIN (SELECT chunk, row_number() OVER (ORDER BY b DESC, chunk) AS rk FROM (SELECT chunk, {_BM25} AS b FROM term_counts, term_totals) WHERE b > 0) k USING (chunk))
 ORDER BY score DESC, chunk LIMIT 10""")
+
+
+def _stored(spark, sf):
+    """The index written to a table and read back."""
+    path = work_dir(spark, "chunk-index")
+    V.write_index(_index(spark, sf), path)
+    return path, V.read_index(spark, path)
+
+
+_HASH_CERTAINTY = f"(1 + list_cosine_similarity(flatten([v, v, v]), {_LONG_SQL})) / 2"
+QUERIES["v2_stored_index_search"] = lambda spark, sf: V.nearest(
+    _stored(spark, sf)[1], _LONG_WAVE, ("pr_id", "file_path", "chunk_index"), k=10, filters={"language": "python", "repo": "org/src0"}).select(
+    "pr_id", "file_path", F.col("chunk_index").cast("bigint"), F.round("certainty", 5).alias("certainty"))
+ORACLES["v2_stored_index_search"] = query(f"""
+SELECT pr_id, file_path, chunk_index, round({_HASH_CERTAINTY}, 5) AS certainty FROM chunk_bytes WHERE language = 'python' AND repo = 'org/src0'
+ORDER BY {_HASH_CERTAINTY} DESC, pr_id, file_path, chunk_index LIMIT 10""")
+QUERIES["v4_nearest_join"] = lambda spark, sf: V.nearest_join(
+    views.table(spark, sf, "embeddings"), views.table(spark, sf, "embeddings").filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding"),
+    "vec_id", "query_id", "embedding", "embedding", 5, slices=8).select("query_id", "vec_id", F.col("rank").cast("bigint"), F.round("certainty", 6).alias("certainty"))
+ORACLES["v4_nearest_join"] = query("""
+SELECT query_id, vec_id, rank, round((1 + c) / 2, 6) AS certainty FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY c DESC, vec_id) AS rank FROM (
+  SELECT q.vec_id AS query_id, e.vec_id, list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS c FROM embeddings e, embeddings q WHERE q.vec_id % 100 = 0)) WHERE rank <= 5""")
+
+
+def _after_delete(spark, sf):
+    path, _ = _stored(spark, sf)
+    gone = views.table(spark, sf, "documents").filter("doc_id % 7 = 0").select(F.col("doc_id").cast("string").alias("pr_id"))
+    return V.delete_from_index(spark, path, gone, work_dir(spark, "chunk-index"))
+
+
+QUERIES["v7_stored_index_after_delete"] = lambda spark, sf: _after_delete(spark, sf).groupBy("language").agg(F.count("*").alias("chunks"))
+ORACLES["v7_stored_index_after_delete"] = query("SELECT language, count(*) AS chunks FROM chunk_bytes WHERE pr_id::BIGINT % 7 <> 0 GROUP BY language")
 QUERIES["v7_delete_change_chunks"] = lambda spark, sf: V.delete_change_chunks(_index(spark, sf), "7")[1]
 ORACLES["v7_delete_change_chunks"] = query("SELECT count(*) AS removed FROM chunk_bytes WHERE pr_id = '7'")
 QUERIES["v7_index_after_delete"] = lambda spark, sf: V.delete_change_chunks(_index(spark, sf), "7")[0].groupBy("language").agg(F.count("*").alias("chunks"))
 ORACLES["v7_index_after_delete"] = query("SELECT language, count(*) AS chunks FROM chunk_bytes WHERE pr_id <> '7' GROUP BY language")
-QUERIES["v8_reembed_selection"] = lambda spark, sf: V.reembed_selection(views.pr_facts(spark, sf)).select("pr_id")
-ORACLES["v8_reembed_selection"] = query("SELECT pr_id FROM pr_facts WHERE status = 'completed' ORDER BY pr_id LIMIT 100")
+QUERIES["v8_reembed_selection"] = lambda spark, sf: V.reembed_selection(
+    views.pr_facts(spark, sf), _stored(spark, sf)[1]).select("pr_id")
+ORACLES["v8_reembed_selection"] = query("SELECT pr_id FROM pr_facts WHERE status = 'completed' AND pr_id::VARCHAR NOT IN (SELECT pr_id FROM chunk_bytes)")

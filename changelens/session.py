@@ -33,7 +33,7 @@ def work_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder below ``spark.checkpoint.dir``.
 
     The cluster names a folder every executor can reach.  Only where the
-    setting is absent (tests on one machine) a temporary folder stands in.
+    setting is absent and all runs in one process a temporary folder stands in.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:

@@ -126,7 +126,8 @@ def report_findings(reports: DataFrame, report: str = "report") -> DataFrame:
         F.get(meta["owasp"], F.lit(0)).alias("owasp_category"))
 
 
-_TOLD = "severity string, category string, title string, description string, file_path string, line_start string, suggestion string, confidence_score string, cwe_id string"
+_TOLD = ("severity string, category string, title string, description string, file_path string, line_start string, line_end string, code_snippet string, "
+         "suggestion string, patch string, confidence_score string, cwe_id string, owasp_category string, rule_id string")
 
 
 def transcript_findings(transcripts: DataFrame, text: str, agent_type: str) -> DataFrame:
@@ -137,8 +138,8 @@ def transcript_findings(transcripts: DataFrame, text: str, agent_type: str) -> D
     parsed = found.filter(F.try_parse_json("_json").isNotNull()).select(*keep, "position", F.from_json("_json", _TOLD).alias("f"))
     return parsed.select(
         *keep, "position", F.lit(agent_type).alias("agent_type"), F.col("f.severity"), F.coalesce("f.category", F.lit(agent_type)).alias("category"),
-        "f.title", "f.description", "f.file_path", F.col("f.line_start").try_cast("int").alias("line_start"), "f.suggestion",
-        F.coalesce(F.col("f.confidence_score").try_cast("double"), F.lit(0.8)).alias("confidence_score"), "f.cwe_id")
+        "f.title", "f.description", "f.file_path", *[F.col(f"f.{c}").try_cast("int").alias(c) for c in ("line_start", "line_end")], "f.code_snippet", "f.suggestion", "f.patch",
+        F.coalesce(F.col("f.confidence_score").try_cast("double"), F.lit(0.8)).alias("confidence_score"), "f.cwe_id", "f.owasp_category", "f.rule_id")
 
 
 def event_record(events: DataFrame, published_at: Column) -> DataFrame:

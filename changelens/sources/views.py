@@ -1,6 +1,6 @@
 """Change-audit inputs derived from the test tables, narrowly: no shuffle in any view.
 
-Each view has a twin CTE in ``plans/oracle.py``; both follow the same formulas.
+Each view has a twin among the CTEs of ``plans``; both follow the same formulas.
 """
 
 from __future__ import annotations
@@ -20,18 +20,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def spread(rows: DataFrame) -> DataFrame:
-    """Use all cores for a small input that arrives in a few splits.
-
-    A file of one row group is one task however many cores there are.  An input
-    of any size has more splits than cores and is returned as it is, so nothing
-    large is ever shuffled here.
-    """
-    cores = rows.sparkSession.sparkContext.defaultParallelism
-    splits = rows._jdf.queryExecution().toRdd().getNumPartitions()
-    return rows.repartition(cores) if splits <= cores else rows
-
-
 def _pick(values, index: Column) -> Column:
     listed = F.from_json(F.lit(json.dumps(list(values))), "array<string>")
     return F.element_at(listed, (index % len(values) + 1).cast("int"))
@@ -89,7 +77,7 @@ def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
         ),
         "\n",
     )
-    derived = spread(table(spark, sf_dir, "documents")).select(
+    derived = table(spark, sf_dir, "documents").select(
         d.cast("string").alias("pr_id"),
         F.concat(F.lit("org/"), F.col("source")).alias("repo_full_name"),
         d.alias("pr_number"),
@@ -106,7 +94,7 @@ def changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def finding_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored findings, one per line item; the pull request is the order."""
     part, line = F.col("l_partkey"), F.col("l_linenumber")
-    return spread(table(spark, sf_dir, "lineitem")).select(
+    return table(spark, sf_dir, "lineitem").select(
         F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", F.col("l_extendedprice").cast("decimal(14,2)")).alias("finding_id"),
         F.col("l_orderkey").alias("pr_id"),
         F.when(F.col("l_returnflag") == "R", F.when(F.col("l_linestatus") == "O", "critical").otherwise("high"))
@@ -195,7 +183,7 @@ def event_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     # a null body is written as an explicit JSON null: present, unlike an absent key
     value = F.to_json(fields)
     value = F.when(i % 7 == 0, F.regexp_replace(value, r"\}$", ',"body":null}')).otherwise(value)
-    derived = spread(table(spark, sf_dir, "events")).select(
+    derived = table(spark, sf_dir, "events").select(
         F.col("event_id").alias("seq"), F.col("ts").cast("timestamp").alias("ts"),
         F.concat(F.lit("org/repo"), (u % 5).cast("string"), F.lit(":"), u.cast("string")).alias("key"),
         "event_id", "event_type", "user_id")

@@ -16,6 +16,20 @@ from pyspark.sql import functions as F
 from changelens.operators.metrics import LATENCY_BOUNDS
 
 STEP = "30 seconds"
+# ---------------------------------------------------------------------------
+# Thresholds of the alerts and how long (seconds) they must hold.
+# ---------------------------------------------------------------------------
+ERROR_RATIO, ERROR_FOR = 0.05, 300
+LOOP_STEPS, LOOP_FOR = 15, 120
+LATENCY_P95, LATENCY_FOR = 30, 300
+BACKLOG, BACKLOG_FOR = 50, 900
+LAG, LAG_FOR = 100, 600
+FAILURE_RATIO, FAILURE_FOR = 0.1, 600
+POOL_LEFT, POOL_FOR = 2, 300
+FALSE_POSITIVE_RATIO, FALSE_POSITIVE_FOR = 0.3, 1800
+MEMORY_RATIO, MEMORY_FOR = 0.85, 300
+# Bounds that go on beyond the latency alert's threshold, so that its quantile can be told from it.
+ALERT_BOUNDS = (*LATENCY_BOUNDS, 15.0, 20.0, 30.0, 45.0, 60.0, 90.0, 120.0, 180.0, 300.0, 600.0, 1200.0)
 
 
 def windowed(rows: DataFrame, time: str, sums: dict[str, Column], window: str, step: str = STEP, keys: Sequence[str] = (), watermark: str = "10 minutes") -> DataFrame:
@@ -39,7 +53,7 @@ def ratio(rows: DataFrame, time: str, part: Column, window: str, step: str = STE
     return sums.withColumn("ratio", F.try_divide("part", "whole"))
 
 
-def runaway(runs: DataFrame, time: str, steps: str, key: str, window: str = "10 minutes", step: str = STEP, limit: int = 15) -> DataFrame:
+def runaway(runs: DataFrame, time: str, steps: str, key: str, window: str = "10 minutes", step: str = STEP, limit: int = LOOP_STEPS) -> DataFrame:
     """Keys with more than ``limit`` steps within the window."""
     return windowed(runs, time, {"steps": F.col(steps)}, window, step, [key]).filter(F.col("steps") > limit)
 
@@ -58,8 +72,8 @@ def histogram_quantile(q: float, counts: Sequence[str], bounds: Sequence[float])
 
 
 def latency_quantiles(log: DataFrame, time: str, latency: str, window: str = "5 minutes", step: str = STEP, keys: Sequence[str] = ("endpoint",),
-                      quantiles: Sequence[float] = (0.5, 0.95, 0.99), bounds: Sequence[float] = LATENCY_BOUNDS) -> DataFrame:
-    """Latency quantiles per window and endpoint from bucket counts."""
+                      quantiles: Sequence[float] = (0.5, 0.95, 0.99), bounds: Sequence[float] = ALERT_BOUNDS) -> DataFrame:
+    """Latency quantiles per window and endpoint from bucket counts (T8); the error is at most the width of the bucket."""
     counts = {f"b{i}": _flag(F.col(latency) <= b) for i, b in enumerate(bounds)} | {"total": F.lit(1)}
     sums = windowed(log, time, counts, window, step, keys)
     return sums.select("ends_at", *keys, *[histogram_quantile(q, list(counts), bounds).alias(f"p{round(q * 100)}") for q in quantiles])
@@ -95,11 +109,82 @@ def gauge_ratio(samples: DataFrame, time: str, series: str, value: str, part: st
         F.col("_w.end").alias("ends_at"), *keys, "part", "whole", F.try_divide("part", "whole").alias("ratio"))
 
 
+def lasting(rows: DataFrame, condition: Column, seconds: int, keys: Sequence[str] = (), time: str = "ends_at", until: Column | None = None) -> DataFrame:
+    """Times of at least ``seconds`` during which a condition on a gauge held.
+
+    A gauge keeps its value up to the key's next row, so each row is an interval and no row is needed for
+    every evaluation.  The last row of a key holds until ``until``, the time of the evaluation.
+    """
+    order = Window.partitionBy(*keys).orderBy(time)
+    end = F.coalesce(F.lead(time).over(order), F.col(time) if until is None else F.greatest(F.col(time), until))
+    held = rows.withColumns({"_ok": F.coalesce(condition, F.lit(False)), "_end": end})
+    # rows of one unbroken time have the same number of failing rows before them
+    runs = held.withColumn("_run", F.count_if(~F.col("_ok")).over(order)).filter("_ok").groupBy(*keys, "_run").agg(
+        F.min(time).alias("_from"), F.max("_end").alias("_to"))
+    lasted = runs.filter(F.unix_micros("_to") - F.unix_micros("_from") >= seconds * 1_000_000)
+    return lasted.select(
+        *keys, F.col("_from").alias("pending_from"), F.timestamp_micros(F.unix_micros("_from") + seconds * 1_000_000).alias("firing_from"), F.col("_to").alias("firing_to"))
+
+
+def gauge_pairs(samples: DataFrame, time: str, series: str, value: str, part: str, whole: str, keys: Sequence[str] = ()) -> DataFrame:
+    """The last known values of two gauges at every time that one of them was sampled."""
+    at = samples.filter(F.col(series).isin(part, whole)).groupBy(*keys, F.col(time).alias("ends_at")).agg(
+        *[F.max(F.when(F.col(series) == name, F.col(value))).alias(column) for name, column in ((part, "part"), (whole, "whole"))])
+    known = Window.partitionBy(*keys).orderBy("ends_at").rowsBetween(Window.unboundedPreceding, 0)
+    return at.withColumns({c: F.last(c, ignorenulls=True).over(known) for c in ("part", "whole")})
+
+
+def error_alert(log: DataFrame, time: str, failed: Column, keys: Sequence[str] = ()) -> DataFrame:
+    """More than 5% of the requests of five minutes failed, for five minutes."""
+    return sustained(ratio(log, time, failed, "5 minutes", keys=keys), F.col("ratio") > ERROR_RATIO, ERROR_FOR, keys=keys)
+
+
+def loop_alert(runs: DataFrame, time: str, steps: str, key: str) -> DataFrame:
+    """More than 15 steps for one key within ten minutes, for two minutes."""
+    return sustained(runaway(runs, time, steps, key), F.lit(True), LOOP_FOR, keys=[key])
+
+
+def latency_alert(log: DataFrame, time: str, latency: str, keys: Sequence[str] = ("endpoint",)) -> DataFrame:
+    """The 95th percentile of five minutes above 30 seconds, for five minutes."""
+    return sustained(latency_quantiles(log, time, latency, keys=keys, quantiles=(0.95,)), F.col("p95") > LATENCY_P95, LATENCY_FOR, keys=keys)
+
+
+def backlog_alert(rows: DataFrame, time: str, change: Column, keys: Sequence[str] = (), until: Column | None = None) -> DataFrame:
+    """More than 50 waiting, for 15 minutes, whether or not anything arrives meanwhile."""
+    return lasting(backlog(rows, time, change, keys=keys), F.col("waiting") > BACKLOG, BACKLOG_FOR, keys, until=until)
+
+
+def lag_alert(rows: DataFrame, time: str, change: Column, keys: Sequence[str] = (), until: Column | None = None) -> DataFrame:
+    """A consumer more than 100 messages behind, for ten minutes."""
+    return lasting(backlog(rows, time, change, keys=keys), F.col("waiting") > LAG, LAG_FOR, keys, until=until)
+
+
+def failure_alert(runs: DataFrame, time: str, failed: Column, ended: Column) -> DataFrame:
+    """More than 10% of the tasks ended within ten minutes failed, for ten minutes."""
+    return sustained(ratio(runs, time, failed, "10 minutes", of=ended), F.col("ratio") > FAILURE_RATIO, FAILURE_FOR)
+
+
+def false_positive_alert(findings: DataFrame, time: str, wrong: Column) -> DataFrame:
+    """More than 30% of the findings of an hour are false positives, for half an hour."""
+    return sustained(ratio(findings, time, wrong, "1 hour"), F.col("ratio") > FALSE_POSITIVE_RATIO, FALSE_POSITIVE_FOR)
+
+
+def pool_alert(pairs: DataFrame, keys: Sequence[str] = (), until: Column | None = None) -> DataFrame:
+    """Size less available connections below two, for five minutes (T13); ``part`` is what is available, ``whole`` the size."""
+    return lasting(pairs, F.col("whole") - F.col("part") < POOL_LEFT, POOL_FOR, keys, until=until)
+
+
+def memory_alert(pairs: DataFrame, keys: Sequence[str] = (), until: Column | None = None) -> DataFrame:
+    """Memory above 85% of its limit, for five minutes."""
+    return lasting(pairs, F.try_divide("part", "whole") > MEMORY_RATIO, MEMORY_FOR, keys, until=until)
+
+
 def sustained(evaluated: DataFrame, condition: Column, lasting: int, step: int = 30, keys: Sequence[str] = ()) -> DataFrame:
     """Times during which a condition held at every step for ``lasting`` seconds.
 
     Evaluations are numbered within their key; time minus number is constant
-    exactly on unbroken runs.  A missing evaluation breaks a run.
+    exactly on unbroken runs.  A missing evaluation breaks a run, as a rate
+    over no rows is no value; for gauges, which keep theirs, see ``lasting``.
     """
     true = evaluated.filter(condition).withColumn("_t", F.unix_timestamp("ends_at"))
     number = F.row_number().over(Window.partitionBy(*keys).orderBy("_t"))

@@ -6,11 +6,14 @@ same code; the ``*_stream`` functions add source, state and sink.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from changelens.functions.text import once
 from changelens.operators.findings import latest_per_key
@@ -30,10 +33,32 @@ KEY = ("repo_full_name", "pr_number")
 
 
 def read_messages(spark: SparkSession, path: str, schema, files_per_trigger: int = 10, fmt: str = "parquet") -> DataFrame:
-    """Message stream from files (S1); Kafka is the same with its format name and offsets per trigger."""
+    """Message stream from files (S1); records of a Kafka topic go through ``from_kafka``."""
     return spark.readStream.format(fmt).schema(schema).option("maxFilesPerTrigger", files_per_trigger).load(path)
 
 
+def from_kafka(records: DataFrame) -> DataFrame:
+    """Records with Kafka's columns (key, value, partition, offset, timestamp) as messages.
+
+    All events of a pull request have one key and so one partition, in which offsets give their order; partition and offset together
+    are the number that is unique and the same on redelivery.
+    """
+    return records.select(
+        (F.col("partition").cast("bigint") * 2**40 + F.col("offset")).alias("seq"), F.col("timestamp").alias("ts"),
+        F.col("key").cast("string").alias("key"), F.col("value").cast("string").alias("value"))
+
+
+def publish(records: DataFrame, fmt: str = "kafka", **options: str) -> None:
+    """Write key and value of published events (S2) to a topic, or with another format to a table."""
+    records.select(F.col("key").cast("binary"), F.col("value").cast("binary")).write.format(fmt).mode("append").options(**options).save()
+
+
+def publish_stream(records: DataFrame, checkpoint: str, fmt: str = "kafka", available_now: bool = True, **options: str) -> StreamingQuery:
+    """The same for a stream."""
+    writer = records.select(F.col("key").cast("binary"), F.col("value").cast("binary")).writeStream.format(fmt).options(**options).option("checkpointLocation", checkpoint)
+    return (writer.trigger(availableNow=True) if available_now else writer).start()
+
+
 def parse(messages: DataFrame) -> DataFrame:
     """Event columns of each JSON value, and which keys it has: absent is not null."""
     parsed = once(messages.select("seq", "ts", "value"), v=F.from_json("value", _VALUE), present=F.json_object_keys("value"))
@@ -101,14 +126,14 @@ def upsert(prs: DataFrame, folds: DataFrame) -> DataFrame:
         F.greatest(applied, F.coalesce("n.last_seq", F.lit(-1))).alias("applied_seq"))
 
 
-def write_batches(stream: DataFrame, path: str, checkpoint: str, transform: Callable[[DataFrame], DataFrame], available_now: bool = True) -> StreamingQuery:
-    """Write ``transform`` of each micro-batch below ``batch=<id>``, overwriting on retry.
+def write_batches(stream: DataFrame, path: str, checkpoint: str, transform: Callable[[DataFrame, int], DataFrame], available_now: bool = True) -> StreamingQuery:
+    """Write ``transform(batch, batch_id)`` of each micro-batch below ``batch=<id>``, overwriting on retry.
 
     A batch run twice after a failure replaces its own folder, so the output
     holds every batch once.
     """
     def sink(batch: DataFrame, batch_id: int) -> None:
-        transform(batch).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        transform(batch, batch_id).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
 
     writer = stream.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
@@ -120,28 +145,100 @@ def upsert_stream(messages: DataFrame, path: str, checkpoint: str) -> StreamingQ
     The state of the table is ``upsert`` of its last snapshot with
     ``merge_folds`` of the written folds, see ``current_prs``.
     """
-    return write_batches(messages, path, checkpoint, lambda batch: fold(gate(deduplicate(parse(batch)))[0]))
+    return write_batches(messages, path, checkpoint, lambda batch, _: fold(gate(deduplicate(parse(batch)))[0]))
+
+
+def current_prs(snapshot: DataFrame, path: str, after: int = -1, upto: int | None = None) -> DataFrame:
+    """Snapshot plus the folds of the batches beyond ``after``, the last one in the snapshot; other batches' folders are not read."""
+    folds = snapshot.sparkSession.read.parquet(path).filter(F.col("batch") > after)
+    folds = folds if upto is None else folds.filter(F.col("batch") <= upto)
+    return upsert(snapshot, merge_folds(folds.drop("batch")))
+
+
+def compact(snapshot: DataFrame, path: str, after: int, upto: int, out: str) -> DataFrame:
+    """Write the state after batch ``upto`` as the next snapshot (T2); read on with ``current_prs(snapshot, path, upto)``."""
+    current_prs(snapshot, path, after, upto).write.parquet(out)
+    return snapshot.sparkSession.read.schema(snapshot.schema).parquet(out)
+
+
+def bucket_of(keys: Sequence[str], buckets: int) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")
 
 
-def current_prs(snapshot: DataFrame, path: str) -> DataFrame:
-    """Snapshot plus all folds written so far; write the result as the next snapshot to compact."""
-    return upsert(snapshot, merge_folds(snapshot.sparkSession.read.parquet(path).drop("batch")))
+def write_changes(changes: DataFrame, path: str, on: Sequence[str] = KEY, buckets: int = 1024) -> None:
+    """Store changes by a hash of their key, for scans that need few of them."""
+    changes.withColumn("bucket", bucket_of(on, buckets)).hint("rebalance", "bucket").write.mode("append").partitionBy("bucket").parquet(path)
 
 
-def incremental_scan(events: DataFrame, changes: DataFrame, scan: Callable[[DataFrame], DataFrame], on: Sequence[str] = KEY) -> DataFrame:
-    """Findings of the changes named by accepted events, each change once per batch."""
+def incremental_scan(events: DataFrame, changes: DataFrame, scan: Callable[[DataFrame], DataFrame], on: Sequence[str] = KEY, buckets: int | None = None) -> DataFrame:
+    """Findings of the changes named by accepted events, each change once per batch.
+
+    With changes stored by ``write_changes``, ``buckets`` joins on their folder too: Spark then reads only the folders of the batch's keys.
+    """
     keys = latest_per_key(gate(events)[0], list(on), [F.desc("seq")]).select(*on, "seq")
-    return scan(changes.join(keys, list(on)))
+    if buckets is None:
+        return scan(changes.join(keys, list(on)))
+    return scan(changes.join(keys.withColumn("bucket", bucket_of(on, buckets)), [*on, "bucket"]).drop("bucket"))
+
+
+def scan_stream(messages: DataFrame, changes: DataFrame, scan: Callable[[DataFrame], DataFrame], path: str, checkpoint: str,
+                on: Sequence[str] = KEY, unique: Sequence[str] | None = None, buckets: int | None = None) -> StreamingQuery:
+    """Findings of each micro-batch of events that no earlier batch has written.
+
+    Two findings are the same if they agree in ``unique`` (all columns where it is not given), so an event that comes again writes nothing.
+    """
+    def fresh(batch: DataFrame, batch_id: int) -> DataFrame:
+        found = incremental_scan(deduplicate(parse(batch)), changes, scan, on, buckets)
+        names = list(unique or found.columns)
+        found = found.dropDuplicates(names)
+        if batch_id == 0:
+            return found
+        stored = batch.sparkSession.read.schema(f"{ddl(found)}, batch int").parquet(path).filter(F.col("batch") < batch_id).select(*names).alias("e")
+        same = reduce(Column.__and__, [F.col(f"n.{c}").eqNullSafe(F.col(f"e.{c}")) for c in names])
+        return found.alias("n").join(stored, same, "left_anti")
+
+    return write_batches(messages, path, checkpoint, fresh)
+
 
+def ddl(rows: DataFrame) -> str:
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
 
-def scan_stream(messages: DataFrame, changes: DataFrame, scan: Callable[[DataFrame], DataFrame], path: str, checkpoint: str, on: Sequence[str] = KEY) -> StreamingQuery:
-    """Findings of each micro-batch of events."""
-    return write_batches(messages, path, checkpoint, lambda batch: incremental_scan(parse(batch), changes, scan, on))
+
+def _is(kind: str) -> Column:
+    return F.col("type") == kind
 
 
 def progress(messages: DataFrame) -> DataFrame:
-    """Running counts per pull request of feed messages (T5); stream it in update mode."""
-    kind = F.col("type")
-    return messages.groupBy("pr_id").agg(
-        F.count_if(kind == "agent_progress").alias("steps"), F.count_if(kind == "finding_created").alias("findings"),
-        (F.max(F.when(kind == "review_complete", 1).otherwise(0)) == 1).alias("complete"), F.max("seq").alias("last_seq"))
+    """Counts per pull request of feed messages up to its first completion, with which its feed ends (T5)."""
+    closed = messages.filter(_is("review_complete")).groupBy("pr_id").agg(F.min("seq").alias("_end"))
+    heard = messages.join(closed, "pr_id", "left").filter(F.col("_end").isNull() | (F.col("seq") <= F.col("_end")))
+    return heard.groupBy("pr_id").agg(
+        F.count_if(_is("agent_progress")).alias("steps"), F.count_if(_is("finding_created")).alias("findings"),
+        (F.count_if(_is("review_complete")) > 0).alias("complete"), F.max("seq").alias("last_seq"))
+
+
+_PROGRESS = "steps bigint, findings bigint, complete boolean, last_seq bigint"
+
+
+def progress_stream(messages: DataFrame) -> DataFrame:
+    """``progress`` of a stream in update mode (T5): four numbers are kept for each pull request, and nothing counts once it is complete.
+
+    The messages of a micro-batch are taken in order of ``seq``; earlier batches come first, as the feed delivers them.
+    """
+    id_type = messages.schema["pr_id"].dataType.simpleString()
+
+    def advance(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        steps, findings, complete, last = state.get if state.exists else (0, 0, False, -1)
+        new = pd.concat([b[["seq", "type"]] for b in batches]).sort_values("seq")
+        if complete:
+            return
+        ends = (new["type"] == "review_complete").to_numpy()
+        if ends.any():
+            new, complete = new.iloc[: int(ends.argmax()) + 1], True
+        steps, findings = steps + int((new["type"] == "agent_progress").sum()), findings + int((new["type"] == "finding_created").sum())
+        last = max(last, int(new["seq"].max()))
+        state.update((steps, findings, complete, last))
+        yield pd.DataFrame([(key[0], steps, findings, complete, last)], columns=["pr_id", "steps", "findings", "complete", "last_seq"])
+
+    return messages.groupBy("pr_id").applyInPandasWithState(
+        advance, f"pr_id {id_type}, {_PROGRESS}", _PROGRESS, "update", GroupStateTimeout.NoTimeout)

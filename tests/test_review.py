@@ -36,7 +36,8 @@ def test_review_and_report(changes):
     assert final.count() == 4 and keys.filter("count > 1").count() == 0
     enriched = final.filter("title = 'Dangerous eval() usage'").first()
     assert "ast.literal_eval" in enriched.suggestion and enriched.patch.startswith("--- a/vulnerable_code")
-    reports = {r.pr_id: r.report for r in review.reports(changes).collect()}
+    parts = review.reports(changes).orderBy("pr_id", "part").collect()
+    reports = {p: "\n".join(r.report for r in parts if r.pr_id == p) for p in {r.pr_id for r in parts}}
     assert reports["risky"].startswith("# Code Review Report: owner/repo PR #2") and "### [HIGH]" in reports["risky"]
     assert "**Total Findings:** 0" in reports["small"]
 
@@ -60,12 +61,25 @@ def test_long_reports_come_in_parts(spark, changes):
     many = spark.range(300).select(
         F.lit("risky").alias("pr_id"), F.col("id").alias("emit_seq"), F.concat(F.lit("T"), F.col("id").cast("string")).alias("title"), F.lit("high").alias("severity"), F.lit("d").alias("description"),
         F.lit("f").alias("file_path"), F.lit(1).alias("line_start"), F.lit(1).alias("line_end"), F.lit(None).cast("string").alias("suggestion"), F.lit("security_audit").alias("agent_type"))
-    whole = findings.review_reports(scored, many, findings.agent_counts(many)).filter("pr_id = 'risky'").collect()
-    parts = findings.review_reports(scored, many, findings.agent_counts(many), max_blocks=100).filter("pr_id = 'risky'").orderBy("part").collect()
-    assert len(whole) == 1 and len(parts) == 301
-    head = next(p.report for p in parts if "# Code Review Report" in p.report)
-    blocks = [p.report for p in parts if p.report != head]
-    assert whole[0].report == "\n".join([head, *blocks])
+    parts = findings.review_reports(scored, many, findings.agent_counts(many)).filter("pr_id = 'risky'").orderBy("part").collect()
+    assert [p.part for p in parts] == list(range(301)) and "# Code Review Report" in parts[0].report
+    assert parts[300].report.startswith("\n### [HIGH] T299\n")
+    comments = findings.inline_comments(many).orderBy("comment_no").collect()
+    assert len(comments) == 300 and [c.review_no for c in comments] == [i // 50 for i in range(300)]
+
+
+def test_titles_are_compared_whole_unless_cut(spark):
+    rows = spark.createDataFrame([("p", "f", 1, "t" * 60 + c, i) for i, c in enumerate("abA")], "pr_id string, file_path string, line_start int, title string, emit_seq int")
+    kept = lambda key: sorted(r.emit_seq for r in findings.first_wins(rows, key, ["emit_seq"]).collect())
+    assert kept(findings.orchestrator_key()) == [0, 1, 2] and kept(findings.orchestrator_key(50)) == [0]
+    assert kept(findings.service_key()) == [0, 1] and kept(findings.service_key(title_length=40)) == [0]
+    assert findings.storable(rows.withColumn("description", F.lit("d"))).first().title == "t" * 60 + "a"
+
+
+def test_judge_replies_fall_back(spark):
+    rows = spark.createDataFrame([("{\"accuracy\": 1.0}", 0.5), ("{oops}", 0.5), ("none", 0.5), (None, 0.5)], "reply string, confidence_score double")
+    got = [(r.method, r.quality_score) for r in scoring.judged_evaluation(rows).collect()]
+    assert got == [("llm_judge", 0.82)] + [("heuristic", 0.4)] * 3
 
 
 def test_null_keys_group_together(spark):

@@ -51,9 +51,12 @@ def test_rule(fired, index):
 def test_prefilter_changes_nothing(spark):
     packs = [R.QUICK_STATIC, R.OWASP, R.SECRETS, R.AUTH, R.INJECTION, R.CRYPTO, R.CONTROLS, R.RETENTION, R.LANGUAGE_STATIC]
     texts = [line for pair in RULE_SAMPLES for text in pair for line in (text, "+" + text, text.upper(), text.lower())]
-    lines = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, line string")
-    found = lambda flag: sorted(map(tuple, S.match_rules(lines, "line", packs, flag).select("i", "pack", "rule_no").collect()))
+    lines = spark.createDataFrame([(i, t, t) for i, t in enumerate(texts)], "i int, line string, pair string")
+    found = lambda flag: sorted(map(tuple, S.match_rules(lines, "line", packs, flag, "pair").select("i", "pack", "rule_no").collect()))
     assert found(True) == found(False)
+    assert {("owasp", no) for no, r in enumerate(R.OWASP.rules, 1) if r.two_line} <= {(pack, no) for _, pack, no in found(True)}
+    with pytest.raises(ValueError):
+        S.match_rules(lines, "line", packs)
 
 
 def test_secret_placeholders_and_removed_lines(spark):
@@ -61,8 +64,11 @@ def test_secret_placeholders_and_removed_lines(spark):
     assert scan(spark, diffs, ["secrets"]).count() == 0
 
 
-def test_long_secret_snippet_is_cut(spark):
-    row = scan(spark, [diff_of('password = "' + "p" * 200 + '"')], ["secrets"]).first()
+def test_long_secret_snippet_is_cut_where_a_width_is_given(spark):
+    secret = 'password = "' + "p" * 200 + '"'
+    assert scan(spark, [diff_of(secret)], ["secrets"]).first().code_snippet == "+" + secret
+    rows = spark.createDataFrame([("0", diff_of(secret))], "pr_id string, diff string")
+    row = S.scan_changes(rows, ["secrets"], secret_chars=100).first()
     assert row.code_snippet.endswith("...") and len(row.code_snippet) == 103
     assert row.line_start == 4 and row.confidence_score == 0.95
 

@@ -55,9 +55,10 @@ def test_scan_stream_matches_batch(spark):
 def test_progress_stream_in_update_mode(spark):
     feed = Q.feed(spark, SF)
     path = work_dir(spark, "feed")
-    feed.repartitionByRange(3, "seq").write.parquet(path)
+    for i in range(3):  # the feed delivers in order, so one file is written after the other
+        feed.filter(F.floor(F.col("seq") / 340) == i).coalesce(1).write.mode("append").parquet(path)
     stream = spark.readStream.schema(feed.schema).option("maxFilesPerTrigger", 1).parquet(path)
-    run = E.progress(stream).writeStream.format("memory").queryName("progress_feed").outputMode("update").option("checkpointLocation", work_dir(spark, "feed-state")).trigger(availableNow=True).start()
+    run = E.progress_stream(stream).writeStream.format("memory").queryName("progress_feed").outputMode("update").option("checkpointLocation", work_dir(spark, "feed-state")).trigger(availableNow=True).start()
     run.awaitTermination()
     # the last update of each key is the state of the feed
     updates = sorted(map(tuple, spark.table("progress_feed").select("pr_id", "steps", "findings", "complete", "last_seq").collect()), key=lambda r: r[-1])
@@ -87,3 +88,40 @@ def test_sustained_needs_an_unbroken_run(spark, gap, want):
 def test_quantile_beyond_the_last_bound(spark):
     df = spark.createDataFrame([(0, 0, 10)], "b0 int, b1 int, total int")
     assert df.select(A.histogram_quantile(0.95, ["b0", "b1", "total"], [1.0, 2.0])).first()[0] == 2.0
+
+
+def test_a_gauge_keeps_its_value_without_new_rows(spark):
+    rows = spark.createDataFrame([("q", 0, 60), ("q", 1980, 10), ("r", 0, 60)], "queue string, s bigint, waiting int").withColumn("ends_at", F.timestamp_seconds("s"))
+    until = F.timestamp_seconds(F.lit(600))
+    assert [(r.queue, r.firing_to.timestamp()) for r in A.lasting(rows, F.col("waiting") > 50, 900, ["queue"], until=until).collect()] == [("q", 1980.0)]
+    assert A.lasting(rows, F.col("waiting") > 50, 600, ["queue"], until=until).count() == 2
+
+
+def test_latency_beyond_the_threshold_can_be_told(spark):
+    log = spark.range(100).select(F.timestamp_seconds(F.col("id") * 10).alias("ts"), F.lit("/a").alias("endpoint"), F.lit(45.0).alias("latency"))
+    assert A.latency_quantiles(log, "ts", "latency").filter("p95 <= 30").count() == 0
+    assert A.latency_alert(log, "ts", "latency").count() == 1
+
+
+@pytest.mark.parametrize("q", [0.5, 0.95])
+def test_bucket_quantiles_are_near_the_exact_ones(spark, q):
+    log = spark.range(5000).select(F.timestamp_seconds(F.lit(0)).alias("ts"), F.lit("/a").alias("endpoint"), F.exp(F.col("id") % 1000 / 150).alias("latency"))
+    exact = log.select(F.percentile("latency", q)).first()[0]
+    got = A.latency_quantiles(log, "ts", "latency", "30 seconds", quantiles=(q,)).first()[2]
+    bounds = [0.0, *A.ALERT_BOUNDS]
+    low = max(b for b in bounds if b <= exact)
+    assert low <= got <= min(b for b in bounds if b > exact)
+
+
+def test_incremental_scan_reads_only_the_folders_of_its_keys(spark):
+    stored = work_dir(spark, "changes")
+    E.write_changes(V.changes(spark, SF).withColumn("pr_number", F.col("pr_number").cast("int")), stored, ["pr_number"], 16)
+    found = E.incremental_scan(Q._events(spark, SF).filter("seq < 3"), spark.read.parquet(stored), lambda c: c.select("pr_number"), ["pr_number"], 16)
+    assert "dynamicpruning" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_published_records_come_back(spark):
+    path = work_dir(spark, "topic")
+    records = spark.createDataFrame([("a:1", "{}"), ("b:2", "[]")], "key string, value string")
+    E.publish(records, "parquet", path=path)
+    assert sorted((bytes(r.key).decode(), bytes(r.value).decode()) for r in spark.read.parquet(path).collect()) == [("a:1", "{}"), ("b:2", "[]")]
