@@ -372,19 +372,20 @@ QUERIES["t10_failure_alert"] = lambda spark, sf: _fired(A.failure_alert(
 ORACLES["t10_failure_alert"] = _every_step_sql(_windows("pressed_runs", {
     "part": "count(*) FILTER (status = 'failed')", "whole": "count(*) FILTER (status IN ('failed', 'completed'))"}, 20, 30), "whole > 0 AND part / whole > 0.1", 600)
 QUERIES["t11_false_positive_alert"] = lambda spark, sf: _fired(A.false_positive_alert(
-    pressed(V.finding_facts(spark, sf).withColumn("created_at", F.col("created_at").cast("timestamp")), "created_at"), "created_at", F.col("false_positive")))
+    pressed(V.finding_facts(spark, sf).withColumn("created_at", F.col("created_at").cast("timestamp")), "created_at"),
+    "created_at", F.col("false_positive") | ((F.col("severity") == "medium") & (F.hour("created_at") % 5 == 0))))  # every fifth hour is a bad one
 ORACLES["t11_false_positive_alert"] = _every_step_sql(_windows(
-    "pressed_findings", {"part": "count(*) FILTER (false_positive)", "whole": "count(*)"}, 120, 30), "part / whole > 0.3", 1800)
+    "pressed_findings", {"part": "count(*) FILTER (false_positive OR severity = 'medium' AND hour(ts) % 5 = 0)", "whole": "count(*)"}, 120, 30), "part / whole > 0.3", 1800)
 
 
 def _gauge_samples(spark, sf):
     e = V.table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     return pressed(e, "ts").select("ts", (F.col("user_id") % 3).alias("pod"), F.when(F.col("event_type") == "click", "used").otherwise("limit").alias("series"),
-                                   F.when(F.col("event_type") == "click", F.col("value") % 10).otherwise(F.lit(5.0) + F.col("event_id") % 6).alias("value"))
+                                   F.when(F.col("event_type") == "click", F.floor(F.unix_seconds("ts") / 600) % 4 + 3 + F.col("value") % 1).otherwise(F.lit(6.0)).alias("value"))
 
 
 CTES["gauge_samples"] = """
-SELECT ts, user_id % 3 AS pod, CASE WHEN event_type = 'click' THEN value % 10 END AS used, CASE WHEN event_type <> 'click' THEN 5.0::DOUBLE + event_id % 6 END AS capacity FROM pressed_events"""
+SELECT ts, user_id % 3 AS pod, CASE WHEN event_type = 'click' THEN (epoch_us(ts) // 600000000) % 4 + 3 + value % 1 END AS used, CASE WHEN event_type <> 'click' THEN 6.0::DOUBLE END AS capacity FROM pressed_events"""
 CTES["gauge_states"] = """
 SELECT pod, ts AS ends_at, last_value(used IGNORE NULLS) OVER w AS part, last_value(capacity IGNORE NULLS) OVER w AS whole
 FROM (SELECT pod, ts, max(used) AS used, max(capacity) AS capacity FROM gauge_samples GROUP BY ALL) WINDOW w AS (PARTITION BY pod ORDER BY ts ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"""
