@@ -73,16 +73,28 @@ def _shaped(shape: str, digits: str) -> str:
 
 FIRST_DAY, DAYS = date(1900, 1, 1).toordinal(), date(2100, 1, 1).toordinal() - date(1900, 1, 1).toordinal()
 #: The order matters: where patterns begin at one place, the first wins.
-PATTERN = re.compile(
-    r"(?P<email>[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24})"
-    r"|(?<![A-Za-z0-9])(?P<iban>[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)(?![A-Za-z0-9])"
-    r"|(?<![\d.])(?P<ip>(?:\d{1,3}\.){3}\d{1,3})(?![\d]|\.\d)"
-    r"|(?<![\d-])(?P<card>\d(?:[ -]?\d){12,18})(?![\d]|-\d)"
-    r"|(?<![\d-])(?P<ssn>\d{3}-\d{2}-\d{4})(?![\d]|-\d)"
-    r"|(?<![\d])(?P<date>\d{4}-\d{2}-\d{2}|\d{1,2}[./]\d{1,2}[./]\d{4})(?![\d])"
-    r"|(?<![\d+])(?P<phone>\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}|\(\d{3}\) ?\d{3}-\d{4}|\d{3}-\d{3}-\d{4})(?![\d]|-\d)"
-    r"|(?i:\b(?:token|secret|password|passwd|api[_-]?key|key))[\"']?\s*[:=]\s*[\"']?(?P<secret>[0-9a-f]{32,64})(?![0-9A-Za-z])"
-)
+PATTERNS = {
+    "email": r"(?P<email>[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24})",
+    "iban": r"(?<![A-Za-z0-9])(?P<iban>[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)(?![A-Za-z0-9])",
+    "ip": r"(?<![\d.])(?P<ip>(?:\d{1,3}\.){3}\d{1,3})(?![\d]|\.\d)",
+    # where a number ends within the run of digits is for _next_card to say
+    "card": r"(?<![\d-])(?P<card>\d(?:[ -]?\d){12,18})",
+    "ssn": r"(?<![\d-])(?P<ssn>\d{3}-\d{2}-\d{4})(?![\d]|-\d)",
+    "date": r"(?<![\d])(?P<date>\d{4}-\d{2}-\d{2}|\d{1,2}[./]\d{1,2}[./]\d{4})(?![\d])",
+    "phone": r"(?<![\d+])(?P<phone>\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}|\(\d{3}\) ?\d{3}-\d{4}|\d{3}-\d{3}-\d{4})(?![\d]|-\d)",
+    "secret": r"(?i:\b(?:token|secret|password|passwd|api[_-]?key|key))[\"']?\s*[:=]\s*[\"']?(?P<secret>[0-9a-f]{32,64})(?![0-9A-Za-z])",
+}
+PATTERN = re.compile("|".join(PATTERNS.values()))
+#: One by one: where the first that matches is not valid, those after it are tried at the same place.
+KINDS = list(PATTERNS)
+SINGLE = {kind: re.compile(p) for kind, p in PATTERNS.items()}
+TOKEN = re.compile(r"[^\W_]+|.", re.DOTALL)
+DIGITS = re.compile(r"\d+")
+#: Length of an IBAN by its country (registry of SWIFT).
+IBAN_LENGTHS = {c: n for n, cs in {
+    15: "NO", 16: "BE", 18: "DK FI FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU"}.items() for c in cs.split()}
 #: A text without any of these signs holds no value of any kind.
 SIGNS = re.compile(r"[0-9@]")
 
@@ -180,19 +192,90 @@ class Pseudonyms:
     def _secret(self, value: str) -> str:
         return f"{self.feistel.permute(f'secret{len(value)}', 16 ** len(value), int(value, 16)):0{len(value)}x}"
 
+    def _next_card(self, text: str, at: int) -> tuple[tuple[int, int] | None, int]:
+        """(start, end) of the first valid card number in the run of digit groups from `at` on, or None, and the end of what was looked at.
+
+        A number begins and ends at borders of groups.  Where several overlap, usual layouts win, then earlier starts, then longer numbers.
+        """
+        groups, found, i = [], [], 0
+        while True:
+            # no more groups than a number can have are looked at ahead
+            while len(groups) < i + 19 and (m := DIGITS.match(text, at)):
+                groups.append(m.span())
+                at = m.end() + 1 if text[m.end() : m.end() + 1] in (" ", "-") else len(text)
+            if i == len(groups) or found and groups[i][0] >= found[0][1]:
+                break
+            digits = ""
+            for j, (a, b) in enumerate(groups[i : i + 19], 1):
+                digits += text[a : min(b, a + 20)]
+                if len(digits) > 19:
+                    break
+                if len(digits) >= 13 and self._card(digits) is not None:
+                    sizes = [d - c for c, d in groups[i : i + j]]
+                    value, before = text[groups[i][0] : b], text[max(0, groups[i][0] - 1) : groups[i][0]]
+                    # one kind of sign between groups, and no group cut off from a hyphen before it
+                    even = not (" " in value and "-" in value + before)
+                    usual = even and digits[0] != "0" and (j == 1 or sizes in ([4, 6, 5], [4, 6, 4]) or set(sizes[:-1]) == {4} and sizes[-1] <= 4)
+                    found.append((groups[i][0], b, not usual, -len(digits)))
+            found.sort(key=lambda f: (f[0], f[3]))
+            i += 1
+        if not found:
+            return None, groups[-1][1] if groups else 0
+        best = min(found, key=lambda f: (f[2], f[0], f[3]))
+        return best[:2], best[1]
+
+    def _iban_end(self, value: str) -> int | None:
+        """The end of the valid IBAN that `value` begins with: of its country's length, else the longest that ends at a border of groups."""
+        size, seen, ends = IBAN_LENGTHS.get(value[:2]), 0, []
+        for at, c in enumerate(value, 1):
+            seen += c != " "
+            if c != " " and (at == len(value) or value[at] == " "):
+                ends.append((seen != size, -at))
+        return next((-at for _, at in sorted(ends) if self._iban(value[:-at]) is not None), None)
+
     def replace(self, text: str) -> tuple[str, list[tuple[str, int, int]]]:
-        """The text with every valid value replaced, and (kind, start, end) of each in the text given."""
+        """The text with every valid value replaced, and (kind, start, end) of each in the text given.
+
+        Where a match is not valid, its shorter forms and the other kinds are tried at its start, and the search goes on one token later.
+        """
         if not SIGNS.search(text):
             return text, []
-        out, found, last = [], [], 0
-        for m in PATTERN.finditer(text):
-            kind = m.lastgroup
-            got = self.of(kind, m.group(kind))
-            if got is None:
+        out, found, last, pos, card, looked = [], [], 0, 0, None, 0
+
+        def put(kind: str, start: int, end: int, got: str) -> None:
+            nonlocal last
+            out.extend((text[last:start], got))
+            found.append((kind, start, end))
+            last = end
+
+        while True:
+            m = PATTERN.search(text, pos)
+            if m and card is None and m.lastgroup == "card" and m.start() >= looked:
+                card, looked = self._next_card(text, m.start())
+            if card and (m is None or m.start() >= card[0]):
+                start, pos = card
+                put("card", start, pos, self._card(text[start:pos]))
+                # a further number of the same run may follow after a hyphen
+                card, looked = self._next_card(text, pos + 1) if text[pos : pos + 1] in (" ", "-") else (None, pos)
                 continue
-            out += [text[last : m.start(kind)], got]
-            last = m.end(kind)
-            found.append((kind, m.start(kind), last))
+            if m is None:
+                break
+            for kind in KINDS[KINDS.index(m.lastgroup) :]:
+                one = m if kind == m.lastgroup else SINGLE[kind].match(text, m.start())
+                if one is None or kind == "card":
+                    continue
+                start, end = one.span(kind)
+                if kind == "iban":
+                    end = start + (self._iban_end(one.group(kind)) or 0)
+                # the digits of a card number are not taken for the end of something else
+                if card and end > card[0] or end == start:
+                    continue
+                if (got := self.of(kind, text[start:end])) is not None:
+                    put(kind, start, end, got)
+                    pos = end
+                    break
+            else:
+                pos = TOKEN.match(text, m.start()).end()
         return ("".join([*out, text[last:]]), found) if found else (text, [])
 
 

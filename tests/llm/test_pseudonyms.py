@@ -56,3 +56,21 @@ def test_odd_rows(spark, odd, empty):
     rows = got.collect()
     assert len(rows) == odd.count() and [r["found"] for r in rows if r["text"] is None] == [[], []]
     assert pseudonyms.pseudonymize(empty, b"k", found_col=None).columns == odd.columns
+
+
+def test_values_beside_other_digits_and_words():
+    card, iban = "4111 1111 1111 1111", "BE68 5390 0754 7034"
+    new_card, new_iban = NAMES.of("card", card), NAMES.of("iban", iban)
+    tight = lambda v: v.replace(" ", "")
+    for text in (f"{card} 12/27", f"{card} 123", f"paid 2 {card}", f"{card}-123", f"123 456 {card}", f"+49 {card} 12", f"{tight(card)} 12/27", f"7 {tight(card)} 12"):
+        assert NAMES.replace(text)[0] == text.replace(card, new_card).replace(tight(card), tight(new_card))
+    for text in (f"{iban} BANK", f"{tight(iban)} BIC", f"{iban} BANKER AND", f"XY00 {iban}"):
+        assert NAMES.replace(text)[0] == text.replace(iban, new_iban).replace(tight(iban), tight(new_iban))
+    dashed = card.replace(" ", "-")
+    assert NAMES.replace(f"2-{dashed}-5500-0000-0000-0004-1")[0] == f"2-{new_card.replace(' ', '-')}-{NAMES.of('card', '5500-0000-0000-0004')}-1"
+    got, found = NAMES.replace(f"2024-01-05 {card} 12 or 123-45-6789 {card}")
+    assert [k for k, _, _ in found] == ["date", "card", "ssn", "card"] and got.count(new_card) == 2
+    many = f"{card} " * 20000
+    assert NAMES.replace(many)[0] == f"{new_card} " * 20000
+    for text in ("1 " * 20000, "7" * 20000, "AB12 " * 5000):
+        assert len(NAMES.replace(text)[0]) == len(text)
