@@ -4,6 +4,13 @@ A value that is found and valid (a card number with its check digit, a real cale
 finite set of valid values of its format.  A Feistel network with a keyed hash as its round function permutes a set just large enough; walking on
 until the result is valid again makes it a permutation of the valid values.  The value is written in the format it was found in.  So equal values get equal
 pseudonyms in every document, different values different ones, and whoever has the key can go back.
+
+Dates are those from 1900 to 2099 as yyyy-mm-dd, yyyy/mm/dd, and with slashes or full stops day first, or month first where day first is no
+calendar date.  Phone numbers are international ones after a plus sign and ten digits in groups of 3, 3 and 4, joined by hyphens, full stops or
+spaces, the first also in brackets.  Keys are 32 to 64 hexadecimal digits of either case after a word such as "token" and a sign; one of mixed
+case is written in lower case.  Left out: dates with month names, years of two digits, dates run together with other digits, d-m-yyyy with
+hyphens and yyyy.mm.dd; phone numbers of ten digits in one piece, other national ones without a plus sign, and extensions; IPv6 addresses; keys
+that are not hexadecimal, of another length, or without such a word; names and postal addresses.
 """
 
 from __future__ import annotations
@@ -80,9 +87,9 @@ PATTERNS = {
     # where a number ends within the run of digits is for _next_card to say
     "card": r"(?<![\d-])(?P<card>\d(?:[ -]?\d){12,18})",
     "ssn": r"(?<![\d-])(?P<ssn>\d{3}-\d{2}-\d{4})(?![\d]|-\d)",
-    "date": r"(?<![\d])(?P<date>\d{4}-\d{2}-\d{2}|\d{1,2}[./]\d{1,2}[./]\d{4})(?![\d])",
-    "phone": r"(?<![\d+])(?P<phone>\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}|\(\d{3}\) ?\d{3}-\d{4}|\d{3}-\d{3}-\d{4})(?![\d]|-\d)",
-    "secret": r"(?i:\b(?:token|secret|password|passwd|api[_-]?key|key))[\"']?\s*[:=]\s*[\"']?(?P<secret>[0-9a-f]{32,64})(?![0-9A-Za-z])",
+    "date": r"(?<![\d])(?P<date>\d{4}-\d{2}-\d{2}|\d{4}/\d{1,2}/\d{1,2}|\d{1,2}[./]\d{1,2}[./]\d{4})(?![\d])",
+    "phone": r"(?<![\d+])(?P<phone>\+\d{1,3}[ .-]?(?:\(\d{1,4}\)|\d{1,4})(?:[ .-]?\d{2,4}){2,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}-\d{3}-\d{4}|\d{3}\.\d{3}\.\d{4}|\d{3} \d{3} \d{4})(?![\d]|-\d)",
+    "secret": r"(?i:\b(?:token|secret|password|passwd|api[_-]?key|key))[\"']?\s*[:=]\s*[\"']?(?P<secret>[0-9A-Fa-f]{32,64})(?![0-9A-Za-z])",
 }
 PATTERN = re.compile("|".join(PATTERNS.values()))
 #: One by one: where the first that matches is not valid, those after it are tried at the same place.
@@ -154,21 +161,26 @@ class Pseudonyms:
         return ".".join(map(str, x.to_bytes(4, "big")))
 
     def _date(self, value: str) -> str | None:
-        parts = re.split(r"[-./]", value)
-        year, month, day = (int(x) for x in (parts if len(parts[0]) == 4 else reversed(parts)))
-        try:
-            x = date(year, month, day).toordinal() - FIRST_DAY
-        except ValueError:
+        parts, marks = re.split(r"[-./]", value), re.findall(r"[-./]", value)
+        # day first; month first where that is no calendar date.  Those have days above 12, so that neither order's dates become the other's
+        orders = ("ymd",) if len(parts[0]) == 4 else ("dmy", "mdy")
+        for order in orders:
+            at = dict(zip(order, map(int, parts), strict=True))
+            try:
+                x = date(at["y"], at["m"], at["d"]).toordinal() - FIRST_DAY
+                break
+            except ValueError:
+                continue
+        else:
             return None
         if not 0 <= x < DAYS:
             return None
-        got = date.fromordinal(FIRST_DAY + self.feistel.permute("date", DAYS, x))
-        if len(parts[0]) == 4:
-            return got.isoformat()
-        mark = re.search(r"[./]", value).group()
+        valid = (lambda y: date.fromordinal(FIRST_DAY + y).day > 12) if order == "mdy" else (lambda _: True)
+        got = date.fromordinal(FIRST_DAY + self.feistel.permute("date-mdy" if order == "mdy" else "date", DAYS, x, valid))
+        new = {"y": got.year, "m": got.month, "d": got.day}
         # one digit or two as found, where the number allows it
-        wide = [len(p) for p in parts[:2]]
-        return f"{got.day:0{wide[0]}d}{mark}{got.month:0{wide[1]}d}{mark}{got.year:04d}"
+        shown = [f"{new[o]:0{len(p)}d}" for o, p in zip(order, parts, strict=True)]
+        return shown[0] + marks[0] + shown[1] + marks[1] + shown[2]
 
     def _iban(self, value: str) -> str | None:
         plain = value.replace(" ", "")
@@ -190,7 +202,8 @@ class Pseudonyms:
         return "".join(c if c == " " else next(it) for c in value)
 
     def _secret(self, value: str) -> str:
-        return f"{self.feistel.permute(f'secret{len(value)}', 16 ** len(value), int(value, 16)):0{len(value)}x}"
+        got = f"{self.feistel.permute(f'secret{len(value)}', 16 ** len(value), int(value, 16)):0{len(value)}x}"
+        return got.upper() if value == value.upper() != value.lower() else got
 
     def _next_card(self, text: str, at: int) -> tuple[tuple[int, int] | None, int]:
         """(start, end) of the first valid card number in the run of digit groups from `at` on, or None, and the end of what was looked at.

@@ -74,3 +74,25 @@ def test_values_beside_other_digits_and_words():
     assert NAMES.replace(many)[0] == f"{new_card} " * 20000
     for text in ("1 " * 20000, "7" * 20000, "AB12 " * 5000):
         assert len(NAMES.replace(text)[0]) == len(text)
+
+
+def test_dates_in_every_order_phones_with_other_signs_and_upper_case_keys():
+    shapes = {"date": ("12/31/1999", "2024/01/05", "2024/1/5", "3/4/2021", "31.12.1999", "12.31.1999"),
+              "phone": ("212.555.0123", "212 555 0123", "212-555-0123", "(212) 555 0123", "(212) 555.0123"), "secret": ("0A" * 20, "0a" * 20)}
+    for kind, values in shapes.items():
+        lead = "token = " if kind == "secret" else "on "
+        for value in values:
+            got, found = NAMES.replace(f"{lead}{value}, then")
+            assert found == [(kind, len(lead), len(lead) + len(value))] and value not in got
+            assert NAMES.replace(got)[1][0][0] == kind
+    assert re.fullmatch(r"token = [0-9A-F]{40}", NAMES.replace("token = " + "0A" * 20)[0])
+    assert NAMES.replace("key: " + "0A" * 20)[0].lower() == NAMES.replace("key: " + "0a" * 20)[0]
+    assert len({re.sub(r"[ .-]", "", NAMES.replace(v)[0]) for v in ("212.555.0123", "212 555 0123", "212-555-0123")}) == 1
+    # a date read month first becomes one that can only be read so, and no two become one
+    firsts = [datetime.date(1999, 1, 1) + datetime.timedelta(i) for i in range(365)]
+    months = [f"{d:%m/%d/%Y}" for d in firsts if d.day > 12]
+    new = [NAMES.of("date", m) for m in months]
+    assert len(set(new)) == len(months) and all(int(n.split("/")[1]) > 12 and datetime.datetime.strptime(n, "%m/%d/%Y") for n in new)
+    assert not set(new) & {NAMES.of("date", f"{d:%d/%m/%Y}") for d in firsts}
+    for text in ("13/32/1999", "2024/13/05", "2023/02/29", "0A" * 20):
+        assert NAMES.replace(text) == (text, [])
