@@ -28,3 +28,19 @@ def test_long_conversations_come_in_parts_that_join(spark):
         parts = sorted((r for r in chat.rotate(df, part_turns=7).collect() if r["perspective"] == seat), key=lambda r: r["part"])
         assert "".join(r["text"] for r in parts) == whole[seat]["text"]
         assert [(r["start"] + m["start"], r["start"] + m["end"]) for r in parts for m in r["mask"]] == [tuple(m) for m in whole[seat]["mask"]]
+
+
+def test_crowded_spans_come_in_bounded_rows(spark):
+    rows = [(None if i % 3 else 1, None if i % 2 else i % 4, "abc"[i % 3 - (i % 7 == 0)], f"text {i % 11}" + "x" * (300 * (i % 5 == 0))) for i in range(400)] + [(2, 0, "a", "one"), (2, 1, None, "two")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    whole = {(r["conv_id"], r["perspective"], r["part"]): r for r in chat.rotate(df).collect()}
+    got = {}
+    for r in chat.rotate(df, part_turns=16).collect():
+        assert r["n_turns"] <= 16
+        got.setdefault((r["conv_id"], r["perspective"], r["part"]), []).append(r)
+    assert got.keys() == whole.keys() and max(map(len, got.values())) > 5
+    for key, parts in got.items():
+        parts.sort(key=lambda r: r["start"])
+        assert "".join(r["text"] for r in parts) == whole[key]["text"] and parts[0]["start"] == whole[key]["start"]
+        assert all(a["start"] + len(a["text"]) == b["start"] for a, b in zip(parts, parts[1:]))
+        assert [r["text"][a:b] for r in parts for a, b in r["mask"]] == [whole[key]["text"][a:b] for a, b in whole[key]["mask"]]
