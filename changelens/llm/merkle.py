@@ -1,8 +1,12 @@
 """Document fingerprints: a Merkle tree over sections, paragraphs and sentences, in DataFrame functions alone.
 
 Sections are parted by blank lines, paragraphs by line ends, and a paragraph's sentences by white space after a full stop, question or exclamation mark.  A leaf is
-the SHA-256 of a sentence, each node above the SHA-256 of its children's digests in order; the root is the fingerprint.  Equal texts have equal
-roots, the nodes at which two trees differ show where the texts do, and the share of equal leaves is their likeness.
+the SHA-256 of a sentence, each node above the SHA-256 of its children's digests in order; the root is the fingerprint.
+
+There are two trees.  In that of `units` each sentence, paragraph and section keeps the separator behind it, so that the leaves tile the whole text: equal
+roots (`text_fingerprint`) mean equal texts, and the nodes at which two such trees differ (`nodes`, `differing_paragraphs`) show where the texts do, spacing included.
+In that of `leaves` separators are left out: its root (`fingerprint`) and the share of equal leaves, the likeness, take texts that differ only in the white space
+at these places for equal.
 """
 
 from __future__ import annotations
@@ -18,12 +22,26 @@ def _up(children: Column) -> Column:
 
 
 def leaves(text: Column) -> Column:
-    """Sections of paragraphs of sentence digests: array<array<array<string>>>."""
+    """Sections of paragraphs of sentence digests, separators left out: array<array<array<string>>>."""
     sentences = lambda p: F.transform(F.split(p, r"(?<=[.!?])\s+"), lambda s: F.sha2(s, 256))
     paragraphs = lambda s: F.transform(F.split(s, "\n"), sentences)
     return F.transform(F.split(text, r"\n[ \t\r]*\n\s*"), paragraphs)
 
 
+def units(text: Column) -> Column:
+    """The same sections, paragraphs and sentences, each with the separator behind it: joined, they are the text.  An empty text is one empty sentence."""
+    cut = lambda c, pattern: F.regexp_extract_all(c, F.lit(pattern), F.lit(0))
+    sentences = lambda p: cut(p, r"(?s).*?[.!?]\s+|.+")
+    paragraphs = lambda s: F.transform(cut(s, r"[^\n]*\n(?:[ \t\r]*\n\s*)?|[^\n]+"), sentences)
+    found = F.transform(cut(text, r"(?s).*?\n[ \t\r]*\n\s*|.+"), paragraphs)
+    return F.when(text == "", F.array(F.array(F.array(F.lit(""))))).otherwise(found)
+
+
+def tiling_leaves(text: Column) -> Column:
+    """The digests of `units`."""
+    return F.transform(units(text), lambda section: F.transform(section, lambda paragraph: F.transform(paragraph, lambda s: F.sha2(s, 256))))
+
+
 def root_of(tree: Column) -> Column:
     return _up(F.transform(tree, lambda section: _up(F.transform(section, _up))))
 
@@ -31,9 +49,10 @@ def root_of(tree: Column) -> Column:
 def nodes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id_col, section, paragraph, digest): every paragraph node of every document, and its section's node with paragraph null.
 
-    Comparing two versions: equal section nodes are skipped, the paragraphs of the others are compared.  Null texts are like empty ones.
+    Comparing two versions: equal section nodes are skipped, the paragraphs of the others are compared.  White space between sentences,
+    paragraphs and sections belongs to the node before it.  Null texts are like empty ones.
     """
-    tree = docs.select(F.col(id_col), leaves(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("tree"))
+    tree = docs.select(F.col(id_col), tiling_leaves(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("tree"))
     sections = tree.select(id_col, F.posexplode("tree").alias("section", "paragraphs"))
     parts = sections.select(id_col, "section", F.posexplode(F.concat(F.transform("paragraphs", _up), F.array(_up(F.transform("paragraphs", _up))))).alias("paragraph", "digest"), F.size("paragraphs").alias("n"))
     return parts.select(id_col, "section", F.when(F.col("paragraph") < F.col("n"), F.col("paragraph")).alias("paragraph"), "digest")
@@ -81,16 +100,18 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
 
 
 def edits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id_col, n_chars, edited, fingerprint, edited_fingerprint, near_edited, near_next) for every row.
+    """(id_col, n_chars, edited, fingerprint, edited_fingerprint, near_edited, near_next, text_fingerprint, edited_text_fingerprint) for every row.
 
     The edited text has the last half of its code points (rounded down) replaced by the first as many, or all, of the next document.  Null
-    and empty texts have one empty leaf and are like each other.
+    and empty texts have one empty leaf and are like each other.  The first two fingerprints and the likenesses leave separators out, the last
+    two cover the whole text.
     """
     rows = with_next(docs, id_col, text_col).withColumn("n_chars", F.length("text").cast("long"))
     half = F.floor(F.col("n_chars") / 2).cast("int")
     rows = rows.withColumn("edited", F.concat(F.substring(F.col("text"), F.lit(1), (F.col("n_chars") - half).cast("int")), F.substring(F.col("next_text"), F.lit(1), half)))
-    trees = rows.select(id_col, "n_chars", "edited", leaves(F.col("text")).alias("tree"), leaves(F.col("edited")).alias("edited_tree"), leaves(F.col("next_text")).alias("next_tree"))
+    whole = lambda c: root_of(tiling_leaves(F.col(c)))
+    trees = rows.select(id_col, "n_chars", "edited", whole("text").alias("text_fingerprint"), whole("edited").alias("edited_text_fingerprint"), leaves(F.col("text")).alias("tree"), leaves(F.col("edited")).alias("edited_tree"), leaves(F.col("next_text")).alias("next_tree"))
     flat = lambda c: F.array_distinct(F.flatten(F.flatten(c)))
-    sets = trees.select(id_col, "n_chars", "edited", root_of(F.col("tree")).alias("fingerprint"), root_of(F.col("edited_tree")).alias("edited_fingerprint"),
+    sets = trees.select(id_col, "n_chars", "edited", "text_fingerprint", "edited_text_fingerprint", root_of(F.col("tree")).alias("fingerprint"), root_of(F.col("edited_tree")).alias("edited_fingerprint"),
                         flat("tree").alias("own"), flat("edited_tree").alias("changed"), flat("next_tree").alias("after"))
-    return sets.select(id_col, "n_chars", "edited", "fingerprint", "edited_fingerprint", likeness(F.col("own"), F.col("changed")).alias("near_edited"), likeness(F.col("own"), F.col("after")).alias("near_next"))
+    return sets.select(id_col, "n_chars", "edited", "fingerprint", "edited_fingerprint", likeness(F.col("own"), F.col("changed")).alias("near_edited"), likeness(F.col("own"), F.col("after")).alias("near_next"), "text_fingerprint", "edited_text_fingerprint")

@@ -58,3 +58,18 @@ def test_differing_branches_locate_edits(spark):
     a = spark.createDataFrame([(1, "a.\nb.\n\nc.\nd.\n\ne."), (2, "same"), (3, None)], "doc_id long, text string")
     b = spark.createDataFrame([(1, "a.\nb.\n\nc.\nX.\n\ne."), (2, "same"), (3, None)], "doc_id long, text string")
     assert [tuple(r) for r in merkle.differing_paragraphs(merkle.nodes(a), merkle.nodes(b)).collect()] == [(1, 1, 1)]
+
+
+def test_whole_texts_are_covered(spark, documents):
+    pairs = [("A. B", "A.  B"), ("x\n\ny", "x\n \n\n y"), ("a.\nb", "a.\n\nb"), ("a\n", "a"), ("", "\n"), ("\n\nx", "\nx"), ("a. b! \n\n", "a. b!\n\n"), ("x\r\n\r\ny", "x\n\ny")]
+    texts = [t for p in pairs for t in p] + [r["text"] or "" for r in documents]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    cut = df.select("doc_id", merkle.units(df["text"]).alias("units"), merkle.root_of(merkle.tiling_leaves(df["text"])).alias("root")).collect()
+    assert {r["doc_id"]: "".join(u for s in r["units"] for p in s for u in p) for r in cut} == dict(enumerate(texts))
+    assert all(p and all(p) for r in cut if texts[r["doc_id"]] for s in r["units"] for p in s)
+    assert len({r["root"] for r in cut}) == len(set(texts))
+    a, b = ([(i, p[k]) for i, p in enumerate(pairs)] for k in (0, 1))
+    a, b = (spark.createDataFrame(x, "doc_id long, text string") for x in (a, b))
+    assert {r["doc_id"] for r in merkle.differing_paragraphs(merkle.nodes(a), merkle.nodes(b)).collect()} == set(range(len(pairs)))
+    roots = [{r["doc_id"]: r["text_fingerprint"] for r in merkle.edits(x).collect()} for x in (a, b)]
+    assert all(roots[0][i] != roots[1][i] for i in range(len(pairs)))
