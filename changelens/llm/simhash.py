@@ -46,14 +46,14 @@ def fingerprint(text: str | None, words: int = 3) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
-    """(id_col, fp long: the fingerprint's bits as a signed long) for every row, in one pass without a shuffle."""
+    """(id_col, fp long: the fingerprint's bits as a signed long, text_hash) for every row, in one pass without a shuffle."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.fromiter((fingerprint(t.as_py(), words) for t in batch.column(1)), "<u8", batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view("<i8"))], [id_col, "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps.view("<i8")), batch.column(2)], [id_col, "fp", "text_hash"])
 
-    slim = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string").alias(text_col))
-    return slim.mapInArrow(run, f"`{id_col}` long, fp long")
+    slim = docs.select(F.col(id_col).cast("long").alias(id_col), F.col(text_col).cast("string").alias(text_col), F.xxhash64(F.col(text_col).cast("string")).alias("text_hash"))
+    return slim.mapInArrow(run, f"`{id_col}` long, fp long, text_hash long")
 
 
 def masks(radius: int = 2, bits: int = 64) -> list[int]:
@@ -99,16 +99,37 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Null and empty texts have the fingerprint zero and link like others.  Rows with the same id, and rows whose text repeats, each keep a
     row; a null id links like others but never names a component (it is null only where no id is reachable).  An empty table gives none.
     """
-    prints = cut(fingerprints(docs, id_col, text_col, words))
+    prints = cut(fingerprints(docs, id_col, text_col, words).drop("text_hash"))
     classes = cut(prints.groupBy("fp").agg(F.min(id_col).alias("first")))
-    found = components(fingerprint_links(classes.select("fp")))
+    joined = _rooted(classes)
     # the smallest fingerprint names a component so far; its smallest document is to name it
-    joined = classes.join(found, classes["fp"] == found["node"], "left").select("fp", "first", F.coalesce("component_id", "fp").alias("root"))
     roots = joined.groupBy("root").agg(F.min("first").alias("component_id"))
     named = joined.join(roots, "root").select("fp", "component_id")
     return prints.join(named, "fp").select(F.col(id_col), "fp", "component_id")
 
 
+def _rooted(classes: DataFrame) -> DataFrame:
+    """(fp, first, root) of distinct fingerprints (fp, first): the smallest fingerprint of each one's component."""
+    found = components(fingerprint_links(classes.select("fp")))
+    return classes.join(found, classes["fp"] == found["node"], "left").select("fp", "first", F.coalesce("component_id", "fp").alias("root"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """`docs` with exactly one row for each component, in all its columns: that of the smallest id, null after all others, then of the smallest hash of the text.
+
+    A row is known by its id and the hash of its text, so rows of one id in different components each stay, and of rows without an id that are
+    copies of each other one.  Of rows equal in both, one stays.
+    """
+    prints = fingerprints(docs, id_col, text_col)
+    row = F.struct(F.col(id_col).isNull().alias("nameless"), F.col(id_col).alias("id"), F.col("text_hash").alias("text_hash"))
+    classes = cut(prints.groupBy("fp").agg(F.min(row).alias("first")))
+    kept = _rooted(classes).groupBy("root").agg(F.min("first").alias("first"))
+    # in a struct a null id equals itself, in joins as in groups
+    kept = kept.select(F.struct(F.col("first.id").alias("id"), F.col("first.text_hash").alias("text_hash")).alias("_row"))
+    keyed = docs.withColumn("_row", F.struct(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("text_hash")))
+    return keyed.join(kept, "_row", "left_semi").dropDuplicates(["_row"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """`docs` with one row for each component: the one with the smallest id, in all its columns.  Of rows that repeat that id one stays.
 

@@ -2,7 +2,9 @@ import itertools
 import random
 
 import xxhash
+from pyspark.sql import functions as F
 
+import corpus_pipeline
 from changelens.llm import catalog, simhash
 from tests.llm.conftest import SF
 
@@ -93,3 +95,15 @@ def test_one_of_each_component_stays(spark, odd):
     want = {c for i, _, c in plain_components([(r["doc_id"], plain_fingerprint(r["text"])) for r in odd.collect()]) if i == c}
     assert ids == sorted(want)
     assert [r for r in kept if r["doc_id"] is None] and set(kept[0].asDict()) == set(odd.columns)
+
+
+def test_exactly_one_row_of_each_component_stays_whatever_its_id(spark, odd, empty):
+    for stage in (simhash.keep_one, lambda df: corpus_pipeline.near_dedup_stage(spark, df, SF)):
+        kept = stage(odd)
+        assert kept.columns == odd.columns
+        got = sorted(((r["doc_id"], (r["text"] or "").strip()[:5].replace("\xa0", " ")) for r in kept.collect()), key=repr)
+        # both texts of id 7 stay, and no copy without an id
+        assert got == [(1, "a b c"), (2, ""), (5, "Größe"), (7, "other"), (7, "x y▁z"), (8, "one")]
+        nameless = stage(odd.withColumn("doc_id", F.lit(None).cast("long"))).collect()
+        assert len(nameless) == 6 and len({plain_fingerprint(r["text"]) for r in nameless}) == 6
+        assert stage(empty).collect() == []
