@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from changelens.llm import chat, language, merkle, mixing, pieces, pseudonyms, quality, simhash, token_files, vectors
+from changelens.llm import chat, language, lexical, merkle, mixing, pieces, pseudonyms, quality, simhash, token_files, toxicity, vectors, whitening
 from changelens.llm.common import table
 from changelens.session import work_dir
 
@@ -81,9 +81,27 @@ def pseudonymized(docs: DataFrame, found_col: str | None = None) -> DataFrame:
     return pseudonyms.pseudonymize(docs, KEY, found_col=found_col)
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("label"))
+    model = toxicity.train(docs.where(_bucket(3) != 1), labels.where(_bucket(3) != 1))
+    held = F.coalesce(_bucket(3) == 1, F.lit(False))
+    scored = toxicity.score(docs, model)
+    return scored.select("doc_id", held.alias("held_out"), "score", F.when(F.col("score") >= 0.7, 1).otherwise(0).alias("predicted"),
+                         F.col("worst.start").alias("worst_start"), F.col("worst.end").alias("worst_end"), F.col("worst.score").alias("worst_score"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_embedding_near_dedup, op2_token_files, op3_quality_classifier, op4_language_id, op5_mixing, op6_chat_perspectives,
-    op7_simhash_near_dedup, op8_merkle_fingerprints, op9_sentencepiece, op10_pseudonyms)}
+    op7_simhash_near_dedup, op8_merkle_fingerprints, op9_sentencepiece, op10_pseudonyms, op11_ranked_search, op12_whitening, op13_toxicity)}
 
 ORACLES = {
     "op6_chat_perspectives": """
@@ -106,4 +124,20 @@ parts AS (
 SELECT conv_id, perspective, part, n_turns, text, mask,
   coalesce(sum(length(text)) OVER (PARTITION BY conv_id, perspective ORDER BY part ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start
 FROM parts""",
+    "op11_ranked_search": r"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM documents),
+items AS (
+  SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM (SELECT DISTINCT item_id, text FROM benchmark)),
+asked AS (SELECT item_id, term, count(*) AS times FROM items GROUP BY ALL),
+total AS (SELECT count(*) AS n, sum(len(terms))::BIGINT AS l FROM docs WHERE len(terms) > 0),
+tf AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(terms) AS term FROM docs) WHERE term IN (SELECT term FROM asked) GROUP BY ALL),
+weights AS (SELECT term, floor(1000 * ln((2 * n + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM tf, total GROUP BY term, n),
+spread AS (SELECT r, doc_id, 25 + (75 * len(terms) * n) // l AS m FROM docs, total WHERE len(terms) > 0),
+scored AS (
+  SELECT item_id, r, doc_id, sum(times * w * ((1000000000 * tf) // (1000 * tf + 8 * m)))::BIGINT AS score
+  FROM asked JOIN tf USING (term) JOIN weights USING (term) JOIN spread USING (r) GROUP BY ALL)
+SELECT item_id, rank, doc_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id)::INTEGER AS rank FROM scored WHERE score > 0)
+WHERE rank <= 10""",
 }
