@@ -6,18 +6,24 @@ is right on average, <code, q> / f is an unbiased estimate of the cosine (Gao an
 sqrt(1-c^2) sqrt(1-f^2) / (f sqrt(d-1)) and by half the rounding step over f, as standard deviations.  A pair whose estimate lies more than
 `sigmas` of these below the threshold is dropped; every other pair is computed exactly, in double precision, before it is linked.
 
+Every vector is coded once, and its code, factor and rounded coordinates are stored with it.  Codes alone are shuffled into the buckets; a vector follows
+only into those where the bounds leave it a partner.
+
 Pairs to estimate come from buckets: a table holds the vectors that agree in the signs of `bits` rotated coordinates.  The number of bits grows with
 the logarithm of the number of vectors, so that buckets of unrelated vectors keep their size; the number of tables follows from the bits, so that a pair right at the
-threshold misses every table with a probability under `miss`.  A bucket above `block` vectors is compared in pairs of blocks of bounded size, each a task's group.
+threshold misses every table with a probability under `miss`.  A bucket above `block` vectors is compared in pairs of blocks of bounded size, read one after another by a task.
 Equal vectors are one vector with a count throughout.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +32,7 @@ from changelens.llm.common import components, cut
 SEED, LEVELS = 20240229, 15
 
 
+@lru_cache(64)
 def rotation(dim: int, number: int) -> np.ndarray:
     """The random rotation of that number: the same in every task."""
     q, r = np.linalg.qr(np.random.default_rng([SEED, dim, number]).standard_normal((dim, dim)))
@@ -51,6 +58,41 @@ def codes(unit: np.ndarray, key: np.ndarray) -> dict[str, np.ndarray]:
     return {"bits": packed(signs), "factor": factor, "low": low, "step": step, "total": rounded.sum(1), "planes": np.stack([packed(rounded >> b & 1) for b in range(4)])}
 
 
+def stored(code: dict[str, np.ndarray]) -> list[bytes]:
+    """A row of bytes for each vector: factor, low, step, sign bits, four planes."""
+    numbers = np.stack([code["factor"], code["low"], code["step"]], axis=1).astype("<f8").view("<u8")
+    return [row.tobytes() for row in np.concatenate([numbers, code["bits"], *code["planes"]], axis=1)]
+
+
+def restored(rows: list[bytes], dim: int) -> dict[str, np.ndarray]:
+    """What `codes` gave for these rows."""
+    words = -(-dim // 64)
+    table = np.frombuffer(b"".join(rows), "<u8").reshape(len(rows), 3 + 5 * words)
+    numbers = np.ascontiguousarray(table[:, :3]).view("<f8")
+    planes = np.stack([table[:, 3 + words * (p + 1) : 3 + words * (p + 2)] for p in range(4)])
+    total = sum(np.bitwise_count(planes[p]).sum(axis=1).astype(np.int64) << p for p in range(4))
+    return {"bits": table[:, 3 : 3 + words], "factor": numbers[:, 0], "low": numbers[:, 1], "step": numbers[:, 2], "total": total, "planes": planes}
+
+
+def groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """The rows of sorted batches, one table for each run of equal values in the first `keys` columns (whole numbers)."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        table = np.stack([batch.column(k).to_numpy() for k in range(keys)], axis=1)
+        cuts = [0, *(np.flatnonzero((table[1:] != table[:-1]).any(axis=1)) + 1).tolist(), batch.num_rows]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            if last is not None and last != tuple(table[a].tolist()):
+                yield pa.Table.from_batches(held)
+                held = []
+            last = tuple(table[a].tolist())
+            held.append(batch.slice(a, b - a))
+    if held:
+        yield pa.Table.from_batches(held)
+
+
 def estimates(a: dict, b: dict, dim: int) -> np.ndarray:
     """Estimated cosines of all of a (by their codes) with all of b (by their rounded vectors)."""
     both = np.zeros((len(a["factor"]), len(b["factor"])))
@@ -95,58 +137,70 @@ def near_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "
     def keyed(batches):
         for pdf in batches:
             for dim, part in pdf.groupby(pdf["v"].map(len)):
-                x = np.array(part["v"].to_list(), float)
-                unit = _units(x)
+                unit = _units(np.array(part["v"].to_list(), float))
                 turns = -(-bits * tables // dim)
                 signs = np.concatenate([unit @ rotation(dim, r + 1).T > 0 for r in range(turns)], axis=1)[:, : bits * tables]
-                keys = signs.reshape(len(x), tables, bits) @ (1 << np.arange(bits))
-                yield pd.DataFrame({"id": part["id"], "copies": part["copies"], "v": part["v"], "dim": dim, "keys": list(keys.astype(np.int32))})
+                keys = signs.reshape(len(unit), tables, bits) @ (1 << np.arange(bits))
+                yield pd.DataFrame({"id": part["id"], "mark": part["mark"], "copies": part["copies"], "v": part["v"], "dim": dim, "code": stored(codes(unit, part["id"].to_numpy())), "keys": list(keys.astype(np.int32))})
 
-    keyed_rows = classes.mapInPandas(keyed, "id long, copies long, v array<double>, dim int, keys array<int>")
-    keyed_rows = cut(keyed_rows)
-    places = keyed_rows.select("id", "dim", F.posexplode("keys").alias("t", "key"))
+    coded = classes.withColumn("mark", F.xxhash64("v")).mapInPandas(keyed, "id long, mark long, copies long, v array<double>, dim int, code binary, keys array<int>")
+    coded = cut(coded)
+    places = coded.select("id", "mark", "dim", "code", F.posexplode("keys").alias("t", "key"))
     # how many blocks a bucket has; those of one vector hold no pair
     sizes = places.groupBy("dim", "t", "key").agg(F.count("*").alias("n")).where("n > 1").select("dim", "t", "key", F.ceil(F.col("n") / block).alias("blocks"))
-    placed = keyed_rows.select("id", "copies", "v", "dim", "keys", F.posexplode("keys").alias("t", "key")).join(sizes, ["dim", "t", "key"])
-    own = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
-    dealt = placed.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)))
+    own = F.pmod(F.xxhash64("id", "mark"), F.col("blocks")).cast("int")
+    dealt = places.join(sizes, ["dim", "t", "key"]).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)))
     dealt = dealt.withColumn("first", F.least("own", "other")).withColumn("second", F.greatest("own", "other"))
+    group = ["dim", "t", "key", "first", "second"]
 
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        first, second, t = int(pdf["first"].iat[0]), int(pdf["second"].iat[0]), int(pdf["t"].iat[0])
-        pdf = pdf.sort_values("id", ignore_index=True)
-        ids, copies = pdf["id"].to_numpy(), pdf["copies"].to_numpy()
-        x = np.array(pdf["v"].to_list(), float)
-        keys = np.array(pdf["keys"].to_list())
-        unit, dim = _units(x), x.shape[1]
-        code = codes(unit, ids)
-        links, low = np.zeros(len(ids), np.int64), np.arange(len(ids))
-        # a block is compared with itself only in its own group; across, only with the other block
-        across = (pdf["own"].to_numpy()[:, None] != pdf["own"].to_numpy()[None, :]) if first != second else None
+    def open_pairs(own: np.ndarray, code: dict, dim: int, first: int, second: int) -> np.ndarray:
+        """Pairs that the bounds leave open, above the diagonal."""
         maybe = estimates(code, code, dim) + sigmas * margins(code, code, dim, threshold) >= threshold
         maybe = np.triu(maybe | maybe.T, 1)
-        if across is not None:
-            maybe &= across
-        i, j = np.nonzero(maybe)
-        linked = np.concatenate([np.einsum("ij,ij->i", unit[i[a : a + 65536]], unit[j[a : a + 65536]]) >= threshold for a in range(0, len(i), 65536)] or [np.zeros(0, bool)])
-        i, j = i[linked], j[linked]
-        # a pair that meets in several tables counts in the first
-        new = np.ones(len(i), bool)
-        for s in range(t):
-            new &= keys[i, s] != keys[j, s]
-        np.add.at(links, i[new], copies[j[new]])
-        np.add.at(links, j[new], copies[i[new]])
-        while len(i):  # smallest linked place, until nothing changes: a star for each component of the group
-            before = low.copy()
-            np.minimum.at(low, j, low[i])
-            np.minimum.at(low, i, low[j])
-            low = low[low]
-            if (before == low).all():
-                break
-        told = (links > 0) | (low != np.arange(len(ids)))
-        return pd.DataFrame({"id": ids[told], "links": links[told], "to": ids[low][told]})
-
-    found = cut(dealt.groupBy("dim", "t", "key", "first", "second").applyInPandas(compare, "id long, links long, to long"))
+        # a block is compared with itself only in its own group; across, only with the other block
+        return maybe & (own[:, None] != own[None, :]) if first != second else maybe
+
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in groups(batches, 5):
+            dim, first, second = (rows.column(k)[0].as_py() for k in (0, 3, 4))
+            maybe = open_pairs(rows["own"].to_numpy(), restored(rows["code"].to_pylist(), dim), dim, first, second)
+            left = rows.filter(pa.array(maybe.any(axis=0) | maybe.any(axis=1))).drop_columns(["code"])
+            yield from left.combine_chunks().to_batches()
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in groups(batches, 5):
+            dim, t, first, second = (rows.column(k)[0].as_py() for k in (0, 1, 3, 4))
+            rows = rows.sort_by([("id", "ascending"), ("mark", "ascending")])
+            ids, copies = rows["id"].to_numpy(), rows["copies"].to_numpy()
+            keys = np.asarray(rows["keys"].combine_chunks().flatten()).reshape(len(ids), -1)
+            unit = _units(np.asarray(rows["v"].combine_chunks().flatten(), float).reshape(len(ids), dim))
+            links, low = np.zeros(len(ids), np.int64), np.arange(len(ids))
+            i, j = np.nonzero(open_pairs(rows["own"].to_numpy(), restored(rows["code"].to_pylist(), dim), dim, first, second))
+            linked = np.concatenate([np.einsum("ij,ij->i", unit[i[a : a + 65536]], unit[j[a : a + 65536]]) >= threshold for a in range(0, len(i), 65536)] or [np.zeros(0, bool)])
+            i, j = i[linked], j[linked]
+            # a pair that meets in several tables counts in the first
+            new = np.ones(len(i), bool)
+            for s in range(t):
+                new &= keys[i, s] != keys[j, s]
+            np.add.at(links, i[new], copies[j[new]])
+            np.add.at(links, j[new], copies[i[new]])
+            while len(i):  # smallest linked place, until nothing changes: a star for each component of the group
+                before = low.copy()
+                np.minimum.at(low, j, low[i])
+                np.minimum.at(low, i, low[j])
+                low = low[low]
+                if (before == low).all():
+                    break
+            told = (links > 0) | (low != np.arange(len(ids)))
+            if told.any():
+                yield pa.RecordBatch.from_arrays([pa.array(ids[told]), pa.array(links[told]), pa.array(ids[low][told])], ["id", "links", "to"])
+
+    # groups are short and many, so a task reads its sorted rows through instead of starting a function for each
+    slim = dealt.select(*group, "own", "id", "mark", "code").repartition(*group).sortWithinPartitions(*group)
+    kind = "dim int, t int, key int, first int, second int, own int, id long, mark long"
+    left = slim.mapInArrow(bounded, kind)
+    whole = left.join(coded.select("id", "mark", "copies", "v", "code", "keys"), ["id", "mark"]).select(*group, "own", "id", "mark", "copies", "v", "code", "keys")
+    found = cut(whole.repartition(*group).sortWithinPartitions(*group).mapInArrow(compare, "id long, links long, to long"))
     counts = found.groupBy("id").agg(F.sum("links").alias("links"))
     named = components(found.where("id <> to").select(F.col("id").alias("a"), F.col("to").alias("b")))
     told = classes.join(counts, "id", "left").join(named, classes["id"] == named["node"], "left").select(
