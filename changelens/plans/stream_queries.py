@@ -12,6 +12,7 @@ from changelens.session import work_dir
 from changelens.sources import views as V
 from changelens.streaming import alerts as A
 from changelens.streaming import events as E
+from changelens.streaming import state as S
 
 QUERIES, ORACLES = {}, {}
 _ACCEPTED = "event_type = 'pull_request' AND action IN ('opened', 'synchronize', 'reopened') AND coalesce(pr_number, 0) <> 0"
@@ -121,6 +122,29 @@ def _compacted(spark, sf):
 
 
 QUERIES["t2_compaction"] = _compacted
+
+
+def _state_table(spark, sf):
+    """Quarters of the events, the last one first and one of them twice, into the bucketed table."""
+    events = E.gate(_events(spark, sf))[0]
+    table = S.Table(spark, work_dir(spark, "pr-state"), 16).create(stored_prs(spark, sf))
+    for part in (3, 1, 2, 1, 0):
+        table.apply(E.fold(events.filter(F.col("seq") % 4 == part)))
+    return _shown(table.current())
+
+
+QUERIES["t2_state_table"] = _state_table
+
+
+def _state_stream(spark, sf):
+    path, schema = _message_files(spark, sf)
+    table = S.Table(spark, work_dir(spark, "pr-state"), 16).create(stored_prs(spark, sf))
+    S.stream_into(table, E.read_messages(spark, path, schema, 1), work_dir(spark, "pr-stream")).awaitTermination()
+    return _shown(table.current())
+
+
+QUERIES["t2_state_table_stream"] = _state_stream
+ORACLES["t2_state_table"] = ORACLES["t2_state_table_stream"] = query(_MERGED)
 ORACLES["t2_pr_upsert"] = ORACLES["t2_pr_upsert_stream"] = ORACLES["t2_compaction"] = query(_MERGED)
 
 

@@ -148,17 +148,43 @@ def upsert_stream(messages: DataFrame, path: str, checkpoint: str) -> StreamingQ
     return write_batches(messages, path, checkpoint, lambda batch, _: fold(gate(deduplicate(parse(batch)))[0]))
 
 
+_BASE_FIELDS = (*FIELDS, "status", "risk_score", "applied_seq")
+
+
+def _told(folds: DataFrame, snapshot: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Stored rows as they were before any event, and all folds since: those in the snapshot and the new ones."""
+    if "clocks" not in snapshot.columns:
+        return snapshot, folds
+    base = snapshot.filter("base is not null").select(*KEY, "base.*")
+    known = snapshot.filter("clocks is not null").select(*KEY, "clocks.*")
+    return base, known.unionByName(folds)
+
+
 def current_prs(snapshot: DataFrame, path: str, after: int = -1, upto: int | None = None) -> DataFrame:
     """Snapshot plus the folds of the batches beyond ``after``, the last one in the snapshot; other batches' folders are not read."""
+    base, folds = _merged(snapshot, path, after, upto)
+    return upsert(base, folds)
+
+
+def _merged(snapshot: DataFrame, path: str, after: int, upto: int | None) -> tuple[DataFrame, DataFrame]:
     folds = snapshot.sparkSession.read.parquet(path).filter(F.col("batch") > after)
     folds = folds if upto is None else folds.filter(F.col("batch") <= upto)
-    return upsert(snapshot, merge_folds(folds.drop("batch")))
+    base, folds = _told(folds.drop("batch"), snapshot)
+    return base, merge_folds(folds)
 
 
 def compact(snapshot: DataFrame, path: str, after: int, upto: int, out: str) -> DataFrame:
-    """Write the state after batch ``upto`` as the next snapshot (T2); read on with ``current_prs(snapshot, path, upto)``."""
-    current_prs(snapshot, path, after, upto).write.parquet(out)
-    return snapshot.sparkSession.read.schema(snapshot.schema).parquet(out)
+    """Write the state after batch ``upto`` as the next snapshot (T2); read on with ``current_prs(snapshot, path, upto)``.
+
+    Beside each row the snapshot keeps the row before any event and the number of the event that set each field, so batches whose events are
+    older than those of earlier batches still change the fields that no newer event has set.
+    """
+    base, folds = _merged(snapshot, path, after, upto)
+    kept = base.select(*KEY, F.struct(*_BASE_FIELDS).alias("base"))
+    clocks = folds.select(*KEY, F.struct(*[c for c in folds.columns if c not in KEY]).alias("clocks"))
+    rows = upsert(base, folds).join(kept, list(KEY), "left").join(clocks, list(KEY), "left")
+    rows.write.parquet(out)
+    return snapshot.sparkSession.read.schema(rows.schema).parquet(out)
 
 
 def bucket_of(keys: Sequence[str], buckets: int) -> Column:
