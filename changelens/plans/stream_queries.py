@@ -10,6 +10,7 @@ from changelens.plans import scanning  # noqa: F401  (defines the finding CTEs)
 from changelens.plans.sqlbase import query
 from changelens.session import work_dir
 from changelens.sources import views as V
+from changelens.streaming import alarms as M
 from changelens.streaming import alerts as A
 from changelens.streaming import events as E
 from changelens.streaming import state as S
@@ -423,6 +424,36 @@ QUERIES["t13_pool_alert"] = lambda spark, sf: _fired(A.pool_alert(_pairs(spark,
 ORACLES["t13_pool_alert"] = _gauge_sql("SELECT * FROM gauge_states", "whole - part < 2", 300, _UNTIL, "pod")
 QUERIES["t13_memory_alert"] = lambda spark, sf: _fired(A.memory_alert(_pairs(spark, sf), ["pod"], _until(spark)))
 ORACLES["t13_memory_alert"] = _gauge_sql("SELECT * FROM gauge_states", "part / whole > 0.85", 300, _UNTIL, "pod")
+
+
+# --------------------------------------------------------------------------- the same alerts told by streams
+def _alarm(spark, rows, time, build, until, keys=(), mark=None):
+    """Periods of an alarm over rows that arrive as files by time; rows long after the others move the watermark past every time of interest."""
+    path, out = work_dir(spark, "alarm-rows"), work_dir(spark, "alarms")
+    rows.repartitionByRange(6, time).write.parquet(path)
+    for days in (1, 2):
+        late = {time: F.col(time) + F.expr(f"INTERVAL {days} DAYS")}
+        rows.agg(F.max(time).alias(time)).select(*[late[c].alias(c) if c in late else F.lit((mark or {}).get(c)).cast(rows.schema[c].dataType).alias(c) for c in rows.columns]).coalesce(1).write.mode("append").parquet(path)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 3).parquet(path)
+    transitions = build(stream)
+    M.start(transitions, out, work_dir(spark, "alarm-state")).awaitTermination()
+    return _fired(M.periods(spark.read.schema(transitions.schema).parquet(out), until, keys))
+
+
+QUERIES["t6_error_alarm_stream"] = lambda spark, sf: _alarm(
+    spark, pressed(V.request_log(spark, sf), "ts").select("ts", "status_code"), "ts",
+    lambda s: M.error_alarm(s, "ts", F.col("status_code") >= 500, F.col("status_code").isNotNull()), None)
+ORACLES["t6_error_alarm_stream"] = ORACLES["t6_error_alert"]
+QUERIES["t7_loop_alarm_stream"] = lambda spark, sf: _alarm(
+    spark, pressed(V.run_facts(spark, sf), "started_at").select("started_at", (F.col("run_id") % 7).alias("pr_id"), "findings_count"), "started_at",
+    lambda s: M.loop_alarm(s, "started_at", "findings_count", "pr_id"), None, ["pr_id"])
+ORACLES["t7_loop_alarm_stream"] = ORACLES["t7_loop_alert"]
+QUERIES["t13_memory_alarm_stream"] = lambda spark, sf: _alarm(
+    spark, _gauge_samples(spark, sf), "ts", lambda s: M.memory_alarm(s, "ts", "series", "value", "used", "limit", ["pod"]), _until(spark), ["pod"], {"series": "used", "pod": -1})
+ORACLES["t13_memory_alarm_stream"] = ORACLES["t13_memory_alert"]
+QUERIES["t13_pool_alarm_stream"] = lambda spark, sf: _alarm(
+    spark, _gauge_samples(spark, sf), "ts", lambda s: M.pool_alarm(s, "ts", "series", "value", "used", "limit", ["pod"]), _until(spark), ["pod"], {"series": "used", "pod": -1})
+ORACLES["t13_pool_alarm_stream"] = ORACLES["t13_pool_alert"]
 QUERIES["t12_findings_per_hour"] = lambda spark, sf: _at(A.hourly(V.finding_facts(spark, sf), "created_at", ["severity"]), "ends_at")
 ORACLES["t12_findings_per_hour"] = query("""
 SELECT strftime(date_trunc('hour', created_at::TIMESTAMP) + INTERVAL 1 HOUR, '%Y-%m-%d %H:%M:%S') AS ends_at, severity, count(*) AS n FROM finding_facts GROUP BY ALL""")
