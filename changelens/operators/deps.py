@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -128,22 +130,74 @@ def stale_findings(dependencies: DataFrame) -> DataFrame:
     )
 
 
+#: Names of pre-releases in their order, and other spellings of them.
+_EARLY = {"dev": "0dev", "snapshot": "0dev", "a": "1a", "alpha": "1a", "b": "2b", "beta": "2b", "m": "3m", "milestone": "3m", "c": "4rc", "rc": "4rc", "pre": "4rc", "preview": "4rc"}
+
+
 def version_key(version: Column) -> Column:
-    """Numeric parts of a version as an array; arrays compare part by part."""
+    """A struct whose order is that of versions; null where the text begins with no number.
+
+    Numeric parts compare by value whatever their length, and missing ones count as zero: 1.0 and 1.0.0 are equal.  Then come pre-releases (a hyphen, or one of the known
+    names, with or without separator), the release, post-releases.  Among pre-releases dev, alpha, beta, milestone, rc, then other words by the alphabet; numbers in
+    them by value, before words.  A leading v or = and a build after + do not count; any other ending counts as the release.
+    """
+    text = F.regexp_replace(F.regexp_replace(F.lower(strip(version)), r"^[=v\s]+", ""), r"\+.*$", "")
+    release = F.regexp_extract(text, r"^(\d+(?:\.\d+)*)", 1)
+    rest = F.substring(text, F.length(release) + 1, F.length(text))
+    number = lambda d: F.concat(F.lpad(F.length(F.ltrim(d, F.lit("0"))).cast("string"), 4, "0"), F.ltrim(d, F.lit("0")))
+    known = F.create_map(*[F.lit(x) for pair in _EARLY.items() for x in pair])
+    parts = F.transform(F.split(F.regexp_replace(release, r"(\.0+)+$", ""), r"\."), number)
+    tail = F.transform(F.regexp_extract_all(rest, F.lit(r"(\d+|[a-z]+)"), F.lit(1)), lambda t: F.when(
+        t.rlike(r"^\d"), F.concat(F.lit("0"), number(t))).otherwise(F.concat(F.lit("1"), F.coalesce(F.try_element_at(known, t), F.concat(F.lit("5"), t)))))
+    early = rest.rlike(r"^[-._]?(" + "|".join(_EARLY) + r")(?![a-z])") | rest.rlike(r"^-(?!post)")
+    stage = F.when(rest.rlike(r"^[-._]?post"), 2).when(early, 0).otherwise(1)
+    return F.when(release != "", F.struct(parts.alias("parts"), stage.alias("stage"), F.when(stage == 1, F.array().cast("array<string>")).otherwise(tail).alias("tail")))
+
+
+def _power(level: Column) -> Column:
+    return F.call_function("shiftleft", F.lit(1).cast("bigint"), level.cast("int"))
+
+
+def _nodes(low: Column, high: Column, levels: Column) -> Column:
+    """The fewest aligned blocks of sizes 2^level that tile [low, high), at most two of each size."""
+    def of(level: Column) -> Column:
+        size = _power(level)
+        first, last = F.floor((low + size - 1) / size).cast("bigint"), F.floor(high / size).cast("bigint")
+        odd = (first % 2 == 1) & (first < last)
+        left = F.when(odd, F.struct(level.cast("int").alias("level"), first.alias("block")))
+        right = F.when((last % 2 == 1) & (F.when(odd, first + 1).otherwise(first) < last), F.struct(level.cast("int").alias("level"), (last - 1).alias("block")))
+        return F.array(left, right)
+
+    return F.filter(F.flatten(F.transform(F.sequence(F.lit(0), levels), of)), lambda n: n.isNotNull())
+
+
+def part_key(version: Column) -> Column:
+    """A plainer order for parts that are whole numbers of 32 bits: the number at the start of each part, 0 without one; of equal beginnings the shorter text is smaller."""
     return F.transform(F.split(version, r"\."), lambda p: F.coalesce(F.regexp_extract(p, r"^(\d+)", 1).try_cast("int"), F.lit(0)))
 
 
-def affected_dependencies(dependencies: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Dependencies whose version lies in [introduced, fixed) of an advisory.
+def affected_dependencies(dependencies: DataFrame, ranges: DataFrame, key: Callable[[Column], Column] = version_key) -> DataFrame:
+    """Dependencies whose version lies in [introduced, fixed) of an advisory, in the order of ``key``.
 
-    The range test runs over the distinct versions of each package, so a
-    package used everywhere costs no more than a rare one; the hits are then
-    joined back on equality.
+    Versions and bounds of a package are numbered in their order.  A range is then a few aligned blocks of numbers and a version is in one block of each size, so
+    both meet on equality: no version is compared with a range that does not hold it, however many of both a package has.  A range with an unreadable
+    start holds nothing, as does one whose end is unreadable; without an end it goes on.
     """
-    versions = dependencies.select("ecosystem", "name", "version").distinct().withColumn("_v", version_key(F.col("version")))
-    hits = versions.join(ranges, ["ecosystem", "name"]).filter(
-        (F.col("_v") >= version_key(F.col("introduced"))) & (F.col("fixed").isNull() | (F.col("_v") < version_key(F.col("fixed")))))
-    return dependencies.join(hits.drop("_v"), ["ecosystem", "name", "version"])
+    package = ["ecosystem", "name"]
+    versions = dependencies.select(*package, "version").distinct().withColumn("_v", key(F.col("version"))).filter("_v IS NOT NULL")
+    bounds = ranges.withColumns({"_low": key(F.col("introduced")), "_high": key(F.col("fixed"))}).filter("_low IS NOT NULL AND (fixed IS NULL OR _high IS NOT NULL)")
+    points = versions.select(*package, "_v").unionByName(bounds.select(*package, F.col("_low").alias("_v"))).unionByName(bounds.filter("_high IS NOT NULL").select(*package, F.col("_high").alias("_v")))
+    ordered = Window.partitionBy(*package).orderBy("_v")
+    numbered = points.distinct().withColumn("_n", F.row_number().over(ordered).cast("bigint") - 1).withColumn("_count", F.count("*").over(Window.partitionBy(*package)))
+    levels = F.length(F.bin("_count")).cast("int")
+    placed = versions.join(numbered, [*package, "_v"]).select(*package, "version", F.explode(F.transform(
+        F.sequence(F.lit(0), levels), lambda k: F.struct(k.alias("level"), F.floor(F.col("_n") / _power(k)).cast("bigint").alias("block")))).alias("_node"))
+    low = numbered.select(*package, F.col("_v").alias("_low"), F.col("_n").alias("_from"), "_count")
+    high = numbered.select(*package, F.col("_v").alias("_high"), F.col("_n").alias("_to"))
+    tiled = bounds.join(low, [*package, "_low"]).join(high, [*package, "_high"], "left")
+    tiled = tiled.withColumn("_node", F.explode(_nodes(F.col("_from"), F.coalesce("_to", "_count"), levels))).drop("_low", "_high", "_from", "_to", "_count")
+    hits = placed.join(tiled, [*package, "_node"]).drop("_node")
+    return dependencies.join(hits, [*package, "version"])
 
 
 def license_issues(packages: DataFrame) -> DataFrame:

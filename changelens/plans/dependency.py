@@ -109,7 +109,7 @@ ORACLES["x13_advisory_severity"] = query("SELECT severity AS level, count(*) AS
 
 def _affected(spark, sf):
     uses = _deps(spark, sf).groupBy("ecosystem", "name", "version").agg(F.count("*").alias("uses"))
-    return E.affected_dependencies(uses, advisory_ranges(spark, sf)).groupBy("ecosystem", "name", "version").agg(
+    return E.affected_dependencies(uses, advisory_ranges(spark, sf), E.part_key).groupBy("ecosystem", "name", "version").agg(
         F.first("uses").alias("uses"), F.count("*").alias("advisories"), F.min("id").alias("first_id"))
 
 
@@ -124,6 +124,48 @@ JOIN (SELECT CASE p_partkey % 4 WHEN 1 THEN 'npm' WHEN 2 THEN 'Go' ELSE 'PyPI' E
   ON d.ecosystem = r.ecosystem AND d.name = r.name AND d.v >= r.introduced AND (r.fixed IS NULL OR d.v < r.fixed)
 GROUP BY 1, 2, 3""")
 
+
+
+def odd_versions(spark, sf):
+    """Versions of every spelling, one per part, for few packages that have many of them."""
+    p = F.col("p_partkey")
+    n, minor, number = (p % 3).cast("string"), (p % 5).cast("string"), (p % 4).cast("string")
+    shapes = [F.concat_ws(".", n, minor), F.concat_ws(".", n, minor, F.lit("0")), F.concat(F.lit("v"), n, F.lit("."), minor, F.lit(".0.0")), F.concat(n, F.lit("."), minor, F.lit("-rc"), number),
+              F.concat(n, F.lit("."), minor, F.lit(".0b"), number), F.concat(n, F.lit("."), minor, F.lit(".post"), number), F.concat(F.lit("202401011234"), number, F.lit("."), minor),
+              F.concat(n, F.lit("."), minor, F.lit("+build"), number), F.lit("latest"), F.concat_ws(".", n, minor, number)]
+    version = F.element_at(F.array(*shapes), (p % len(shapes)).cast("int") + 1)
+    return V.table(spark, sf, "part").select(F.lit("PyPI").alias("ecosystem"), F.concat(F.lit("pkg-"), (p % 2).cast("string")).alias("name"), version.alias("version"))
+
+
+def odd_ranges(spark, sf):
+    """Ranges between such versions, one per supplier; every fifth goes on without end."""
+    k = F.col("s_suppkey")
+    low = F.when(k % 3 == 0, F.concat((k % 3).cast("string"), F.lit("."), (k % 5).cast("string"), F.lit("-rc2"))).when(k % 3 == 1, F.concat_ws(".", (k % 3).cast("string"), F.lit("0"))).otherwise((k % 3).cast("string"))
+    high = F.when(k % 5 == 0, None).when(k % 5 == 1, F.lit("2.4.0")).when(k % 5 == 2, F.lit("20240101123412")).when(k % 5 == 3, F.lit("2.0.0-rc1")).otherwise(F.lit("1.3.post2"))
+    return V.table(spark, sf, "supplier").select(F.lit("PyPI").alias("ecosystem"), F.concat(F.lit("pkg-"), (k % 2).cast("string")).alias("name"), F.concat(F.lit("ADV-"), k.cast("string")).alias("id"),
+                                                 low.alias("introduced"), high.alias("fixed"))
+
+
+QUERIES["j10_version_order"] = lambda spark, sf: E.affected_dependencies(odd_versions(spark, sf).distinct(), odd_ranges(spark, sf)).select("name", "version", "id")
+
+
+def _placed(v):
+    """Six whole numbers that order the spellings above: three parts, stage, kind and number of a pre- or post-release."""
+    nth = lambda i: f"coalesce(try_cast(list_extract(string_split(regexp_extract({v}, '^v?([0-9.]*[0-9])', 1), '.'), {i}) AS BIGINT), 0)"
+    tail = f"regexp_extract({v}, '(rc|b|post)([0-9]+)$', 1)"
+    return f"""[{nth(1)}, {nth(2)}, {nth(3)}, CASE WHEN contains({v}, '+') THEN 1 WHEN {tail} IN ('rc', 'b') THEN 0 WHEN {tail} = 'post' THEN 2 ELSE 1 END,
+  CASE WHEN contains({v}, '+') THEN 0 WHEN {tail} = 'rc' THEN 4 WHEN {tail} = 'b' THEN 2 ELSE 0 END, CASE WHEN contains({v}, '+') THEN 0 ELSE coalesce(try_cast(regexp_extract({v}, '(rc|b|post)([0-9]+)$', 2) AS BIGINT), 0) END]"""
+
+
+ORACLES["j10_version_order"] = query(f"""
+WITH v AS (SELECT DISTINCT 'pkg-' || (p % 2) AS name, [n || '.' || minor, n || '.' || minor || '.0', 'v' || n || '.' || minor || '.0.0', n || '.' || minor || '-rc' || num, n || '.' || minor || '.0b' || num,
+    n || '.' || minor || '.post' || num, '202401011234' || num || '.' || minor, n || '.' || minor || '+build' || num, 'latest', n || '.' || minor || '.' || num][p % 10 + 1] AS version
+  FROM (SELECT p_partkey AS p, (p_partkey % 3)::VARCHAR AS n, (p_partkey % 5)::VARCHAR AS minor, (p_partkey % 4)::VARCHAR AS num FROM part)),
+r AS (SELECT 'pkg-' || (k % 2) AS name, 'ADV-' || k AS id, CASE k % 3 WHEN 0 THEN (k % 3) || '.' || (k % 5) || '-rc2' WHEN 1 THEN (k % 3) || '.0' ELSE (k % 3)::VARCHAR END AS introduced,
+    CASE k % 5 WHEN 0 THEN NULL WHEN 1 THEN '2.4.0' WHEN 2 THEN '20240101123412' WHEN 3 THEN '2.0.0-rc1' ELSE '1.3.post2' END AS fixed FROM (SELECT s_suppkey AS k FROM supplier))
+SELECT v.name, v.version, r.id FROM v JOIN r USING (name)
+WHERE v.version <> 'latest' AND {_placed("v.version")} >= {_placed("r.introduced")} AND (r.fixed IS NULL OR {_placed("v.version")} < {_placed("r.fixed")})""")
+
 CTES["packages"] = """
 SELECT source AS project, 'pkg-' || doc_id AS package, CASE WHEN contains(text, 'Apache License') THEN 'Apache-2.0' WHEN contains(text, 'MIT License') THEN 'MIT'
   WHEN contains(text, 'GNU General Public License') THEN 'GPL-3.0' WHEN doc_id % 6 = 0 THEN 'AGPL-3.0' WHEN doc_id % 6 = 2 THEN 'SSPL-1.0'

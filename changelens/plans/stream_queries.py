@@ -265,6 +265,10 @@ def _quantile_sql(q):
 ORACLES["t8_latency_quantiles"] = query(f"""
 SELECT {_AT}, endpoint, {_quantile_sql(0.5)} AS p50, {_quantile_sql(0.95)} AS p95, {_quantile_sql(0.99)} AS p99
 FROM ({_windows('request_log', {f'b{i}': f'count(*) FILTER (latency <= {b})' for i, b in enumerate(A.ALERT_BOUNDS)} | {'total': 'count(*)'}, 6, 3600, 'endpoint')})""")
+QUERIES["t8_latency_sketches"] = lambda spark, sf: _at(A.latency_sketches(V.request_log(spark, sf), "ts", "latency", "6 hours", "1 hour"), "ends_at")
+ORACLES["t8_latency_sketches"] = query(f"""
+SELECT {_AT}, endpoint, quantile_disc(latency, 0.5) AS p50, quantile_disc(latency, 0.95) AS p95, quantile_disc(latency, 0.99) AS p99
+FROM (SELECT date_trunc('hour', ts) + to_hours(k) AS ends_at, endpoint, latency FROM request_log, range(1, 7) r(k)) GROUP BY 1, 2""")
 QUERIES["t9_backlog"] = lambda spark, sf: _at(A.backlog(
     V.table(spark, sf, "events"), "ts", F.when(F.col("event_type") == "click", 1).when(F.col("event_type") == "view", -1).otherwise(0)), "ends_at")
 ORACLES["t9_backlog"] = query(f"""

@@ -79,6 +79,24 @@ def latency_quantiles(log: DataFrame, time: str, latency: str, window: str = "5
     return sums.select("ends_at", *keys, *[histogram_quantile(q, list(counts), bounds).alias(f"p{round(q * 100)}") for q in quantiles])
 
 
+def latency_sketches(log: DataFrame, time: str, latency: str, window: str = "5 minutes", step: str = STEP, keys: Sequence[str] = ("endpoint",),
+                     quantiles: Sequence[float] = (0.5, 0.95, 0.99), size: int = 400, watermark: str = "10 minutes") -> DataFrame:
+    """Latency quantiles per window and endpoint from mergeable KLL sketches (T8): values that occurred, at every height, with a bounded error of rank.
+
+    Each row goes into one sketch, that of its step; a window merges its steps' sketches, some kilobytes each however many rows they stand for.  With ``size`` k a
+    quantile's rank is off by less than 1.66 / k for single quantiles with 99% confidence (0.42% at 400), and exact up to k rows a window.  Null latencies do not count.
+    """
+    known = log.filter(F.col(latency).isNotNull())
+    if known.isStreaming:
+        known = known.withWatermark(time, watermark)
+    steps = known.groupBy(F.window(time, step).alias("_step"), *keys).agg(F.kll_sketch_agg_double(F.col(latency).cast("double"), size).alias("_sketch"))
+    sliding = F.window(F.window_time("_step"), window, step)
+    merged = steps.groupBy(sliding.alias("_w"), *keys).agg(F.kll_merge_agg_double("_sketch", size).alias("_sketch"))
+    at = F.kll_sketch_get_quantile_double("_sketch", F.array(*[F.lit(float(q)) for q in quantiles]))
+    told = merged.select(F.col("_w.end").alias("ends_at"), *keys, at.alias("_at"))
+    return told.select("ends_at", *keys, *[F.col("_at")[i].alias(f"p{round(q * 100)}") for i, q in enumerate(quantiles)])
+
+
 def backlog(rows: DataFrame, time: str, change: Column, step: str = STEP, keys: Sequence[str] = ()) -> DataFrame:
     """Running total of arrivals minus completions at every step.
 
