@@ -195,9 +195,20 @@ def hybrid(corpus: DataFrame, query: str, query_vector: Sequence[float], key: st
     Beyond the m where the second exceeds the first no row can enter the result,
     so only those lists are fused, with their exact ranks.
     """
-    depth = max(k, int((RANK_CONSTANT + k) / max(alpha, 1 - alpha)) - RANK_CONSTANT + 1)
     scored = once(keyword_scores(corpus, query.split(), text), _cos=cosine(F.col(vector), query_vector)).select(
         key, "_cos", F.nullif("bm25", F.lit(0.0)).alias("bm25"))
+    return fuse(scored, key, k, alpha)
+
+
+def hybrid_stored(vectors: DataFrame, matches: DataFrame, query_vector: Sequence[float], key: str, vector: str = "vector", k: int = 5, alpha: float = 0.5) -> DataFrame:
+    """``hybrid`` with the keyword scores (key, bm25) of a stored index, see ``postings.keyword_matches`` (V6); no text is read."""
+    near = vectors.select(F.col(key), cosine(F.col(vector), query_vector).alias("_cos"))
+    return fuse(near.join(matches.select(F.col("key").alias(key), F.nullif("bm25", F.lit(0.0)).alias("bm25")), key, "left"), key, k, alpha)
+
+
+def fuse(scored: DataFrame, key: str, k: int, alpha: float) -> DataFrame:
+    """Reciprocal-rank fusion of rows (key, _cos, bm25), bm25 null without a match; see ``hybrid``."""
+    depth = max(k, int((RANK_CONSTANT + k) / max(alpha, 1 - alpha)) - RANK_CONSTANT + 1)
     # three narrow columns per row, read by the four steps below
     scored = materialize(scored, "hybrid-scores")
     best = scored.orderBy(F.desc("_cos"), key).limit(depth).unionByName(

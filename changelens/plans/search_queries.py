@@ -6,6 +6,8 @@ import math
 
 from pyspark.sql import functions as F
 
+from changelens.operators import cells as C
+from changelens.operators import postings as P
 from changelens.operators import search as V
 from changelens.functions.vectors import hash_embedding
 from changelens.plans.mining import CTES
@@ -108,6 +110,46 @@ SELECT query_id, vec_id, rank, round((1 + c) / 2, 6) AS certainty FROM (SELECT *
   SELECT q.vec_id AS query_id, e.vec_id, list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]) AS c FROM embeddings e, embeddings q WHERE q.vec_id % 100 = 0)) WHERE rank <= 5""")
 
 
+def _in_cells(spark, sf):
+    path, rows = work_dir(spark, "cells"), views.table(spark, sf, "embeddings")
+    C.write_cells(rows, path, "vec_id", "embedding", pivots=64)
+    asked = rows.filter("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return C.nearest_in_cells(path, asked, "vec_id", "query_id", "embedding", 5).select("query_id", "vec_id", F.col("rank").cast("bigint"), F.round("certainty", 6).alias("certainty"))
+
+
+QUERIES["v4_nearest_in_cells"] = _in_cells
+ORACLES["v4_nearest_in_cells"] = ORACLES["v4_nearest_join"]
+
+
+def _postings(spark, sf):
+    """Stored chunks, and their postings written in two parts."""
+    stored, path = work_dir(spark, "chunks"), work_dir(spark, "postings")
+    _index(spark, sf).withColumn("chunk", F.concat_ws("|", "pr_id", "file_path", "chunk_index")).select("chunk", "content", "vector", "pr_id").write.parquet(stored)
+    chunks = spark.read.parquet(stored)
+    for part in (0, 1):
+        P.write_postings(chunks.filter(F.col("pr_id").cast("bigint") % 2 == part), path, "chunk", "content", 32)
+    return chunks, path
+
+
+def _hybrid_stored(spark, sf):
+    chunks, path = _postings(spark, sf)
+    return V.hybrid_stored(chunks.select("chunk", "vector"), P.keyword_matches(spark, path, _TERMS, 32), _LONG_WAVE, "chunk", k=10).select(
+        "chunk", F.coalesce("vector_rank", F.lit(-1)).alias("vector_rank"), F.coalesce("keyword_rank", F.lit(-1)).alias("keyword_rank"), F.round("score", 9).alias("score"))
+
+
+QUERIES["v6_hybrid_from_postings"] = _hybrid_stored
+ORACLES["v6_hybrid_from_postings"] = ORACLES["v6_hybrid_search"]
+
+
+def _top_keywords(spark, sf):
+    _, path = _postings(spark, sf)
+    return P.top_keywords(spark, path, _TERMS, 20, 32).select(F.col("key").alias("chunk"), F.round("bm25", 9).alias("bm25"))
+
+
+QUERIES["v6_top_keywords"] = _top_keywords
+ORACLES["v6_top_keywords"] = query(f"SELECT chunk, round(b, 9) AS bm25 FROM (SELECT chunk, {_BM25} AS b FROM term_counts, term_totals) WHERE b > 0 ORDER BY b DESC, chunk LIMIT 20")
+
+
 def _after_delete(spark, sf):
     path, _ = _stored(spark, sf)
     gone = views.table(spark, sf, "documents").filter("doc_id % 7 = 0").select(F.col("doc_id").cast("string").alias("pr_id"))
