@@ -10,7 +10,7 @@ from changelens.llm import chat, language, lexical, merkle, mixing, pieces, pseu
 from changelens.llm.common import table
 from changelens.session import work_dir
 
-#: Key of the pseudonyms in the registered query; a user passes their own.
+#: Key of the pseudonyms where spark.changelens.pseudonymKey is not set; whoever has it can undo them, so set your own.
 KEY = b"demonstration key"
 END_ID = 2
 
@@ -78,7 +78,9 @@ def op10_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pseudonymized(docs: DataFrame, found_col: str | None = None) -> DataFrame:
-    return pseudonyms.pseudonymize(docs, KEY, found_col=found_col)
+    """Under the key in the setting spark.changelens.pseudonymKey; the constant stands in where there is none, as in tests."""
+    key = docs.sparkSession.conf.get("spark.changelens.pseudonymKey", None)
+    return pseudonyms.pseudonymize(docs, key.encode() if key else KEY, found_col=found_col)
 
 
 def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,7 +7,6 @@ probabilities, all windows counted, each by the bytes it holds.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -20,7 +19,11 @@ WIDTHS, FILTERS, WINDOW = (2, 3, 4), 8, 256
 UNKNOWN = "und"
 #: Windows computed together.
 BATCH = 64
-LETTER = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str | None) -> bool:
+    """Whether a sign is of Unicode's categories L; training asks for the same by \\p{L}.  Digits, fractions and numbered signs are none."""
+    return any(map(str.isalpha, text or ""))
 
 
 def encode(text: str) -> bytes:
@@ -86,7 +89,7 @@ class Network:
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         """Language and probability of each text; a text that is null or has no letter is `und` with 0."""
         out: list = [(UNKNOWN, 0.0)] * len(texts)
-        spoken = [i for i, t in enumerate(texts) if t and LETTER.search(t)] if self.names else []
+        spoken = [i for i, t in enumerate(texts) if has_letter(t)] if self.names else []
         raws = [encode(texts[i]) for i in spoken]
         x = [cut(r) for r in raws]
         owner = np.repeat(np.arange(len(x)), [len(w) for w in x])
@@ -146,8 +149,9 @@ def fit(texts: list[str], labels: list[str], epochs: int = 12, rate: float = 0.0
     return net
 
 
-def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", sample: int = 300, seed: int = 3, most_chars: int = 4096) -> Network:
-    """Fit on at most `sample` texts of each language, chosen by a hash of the text, and `most_chars` characters of each, at a place the hash names.
+def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", sample: int = 300, seed: int = 3, most_chars: int = 4096, windows: int = 4) -> Network:
+    """Fit on at most `sample` texts of each language, chosen by a hash of the text, and `most_chars` characters of each, at a place the hash names; of these at most
+    `windows` windows of 256 bytes, drawn at random.  The bounds hold for the fit alone: predictions read whole texts.
 
     Rows without a language, or whose text is null or has no letter, teach nothing.
     """
@@ -159,7 +163,7 @@ def train(labelled: DataFrame, text_col: str = "text", lang_col: str = "lang", s
     spot = F.pmod("turn", F.greatest(F.lit(1), F.length("text") - most_chars + 1)).cast("int")
     named = rows.join(F.broadcast(chosen), ["lang", "turn"]).select("lang", "turn", F.substring(F.col("text"), spot + 1, F.lit(most_chars)).alias("text"))
     got = sorted(named.groupBy("lang", "turn").agg(F.min("text").alias("text")).collect())
-    return fit([r["text"] for r in got], [r["lang"] for r in got], seed=seed)
+    return fit([r["text"] for r in got], [r["lang"] for r in got], seed=seed, windows=windows)
 
 
 def predict(docs: DataFrame, net: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

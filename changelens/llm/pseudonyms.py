@@ -81,7 +81,8 @@ def _shaped(shape: str, digits: str) -> str:
 FIRST_DAY, DAYS = date(1900, 1, 1).toordinal(), date(2100, 1, 1).toordinal() - date(1900, 1, 1).toordinal()
 #: The order matters: where patterns begin at one place, the first wins.
 PATTERNS = {
-    "email": r"(?P<email>[A-Za-z0-9._%+-]{1,64}@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24})",
+    # from the beginning of a run of such signs, so a local part of any length is found whole and each run is read once
+    "email": r"(?<![A-Za-z0-9._%+-])(?P<email>[A-Za-z0-9._%+-]+@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24})",
     "iban": r"(?<![A-Za-z0-9])(?P<iban>[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)(?![A-Za-z0-9])",
     "ip": r"(?<![\d.])(?P<ip>(?:\d{1,3}\.){3}\d{1,3})(?![\d]|\.\d)",
     # where a number ends within the run of digits is for _next_card to say
@@ -295,7 +296,7 @@ class Pseudonyms:
 def pseudonymize(docs: DataFrame, key: bytes, text_col: str = "text", found_col: str | None = "found") -> DataFrame:
     """`docs` with `text_col` replaced, and `found_col`: array<struct<kind, start, end>> in code points of the text before.
 
-    One pass in place, no shuffle and no row dropped.  A null text stays null with nothing found (an empty array), an empty one empty.  Other
+    One pass in place, no shuffle and no row dropped; whole texts however long, with work in proportion to their length.  A null text stays null with nothing found (an empty array), an empty one empty.  Other
     columns stay as they are, a column called like `found_col` is replaced.
     """
     kind = "struct<text:string,found:array<struct<kind:string,start:int,end:int>>>"
@@ -312,5 +313,6 @@ def pseudonymize(docs: DataFrame, key: bytes, text_col: str = "text", found_col:
     run.__annotations__ = {"texts": pa.Array, "return": pa.Array}
     # a generator between, so that the function runs once for both columns
     names = [c for c in docs.columns if c != found_col]
-    done = docs.select(*[F.col(f"`{c}`") for c in names], F.explode(F.array(F.arrow_udf(run, kind)(F.col(f"`{text_col}`").cast("string")))).alias("_done"))
-    return done.select(*[F.col("_done.text").alias(c) if c == text_col else F.col(f"`{c}`") for c in names], *([F.col("_done.found").alias(found_col)] if found_col else []))
+    row = F.struct(*[F.col(f"`{c}`") for c in names]).alias("row")  # all columns in one, so that none can clash with the new ones
+    done = docs.select(row, F.explode(F.array(F.arrow_udf(run, kind)(F.col(f"`{text_col}`").cast("string")))).alias("done"))
+    return done.select(*[F.col("done.text").alias(c) if c == text_col else F.col(f"row.`{c}`") for c in names], *([F.col("done.found").alias(found_col)] if found_col else []))

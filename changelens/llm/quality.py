@@ -112,11 +112,12 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(self.slope * self.margin(text), -30, 30))))
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "label", sample: int = 6000, seed: int = 5) -> Model:
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "label", sample: int = 6000, seed: int = 5, most_chars: int = WINDOW) -> Model:
     """Fit on the documents that `labels` (id, label 0 or 1; other labels and null ones are left out) names.
 
     The counts behind the ratios cover every labelled document; the support vectors come from at most `sample` of them, half of each class,
-    chosen by a hash of their id, so that only their texts are read again.  Without documents of both classes the model scores 1/2 everywhere, on the side of the class there is.
+    chosen by a hash of their id, so that only their texts are read again; of each of these texts the vectors see at most `most_chars` characters, at a place (and for
+    half of them of a length) that the hash names, in one or more windows.  Both bounds hold for the vectors alone: the counts read whole texts, however long, as scores do.  Without documents of both classes the model scores 1/2 everywhere, on the side of the class there is.
     """
     texts_of = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     marks = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).where("label in (0, 1)").distinct()
@@ -146,20 +147,21 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     # at most `sample` short rows
     chosen = marks.withColumn("place", first).where(F.col("place") <= sample // 2).withColumn("turn", order)
     # of each sampled text a window at a place and of a length that the hash names: bounded in bytes, and short texts are learned too
-    spot = F.pmod("turn", F.greatest(F.lit(1), F.length("text") - WINDOW + 1)).cast("int")
-    length = F.pow(2.0, 3 + F.pmod(F.shiftright("turn", 20), F.lit(1000)) / 1000 * float(np.log2(WINDOW) - 3)).cast("int")
-    length = F.when(F.pmod(F.shiftright("turn", 40), F.lit(2)) == 0, length).otherwise(WINDOW)
+    spot = F.pmod("turn", F.greatest(F.lit(1), F.length("text") - most_chars + 1)).cast("int")
+    length = F.pow(2.0, 3 + F.pmod(F.shiftright("turn", 20), F.lit(1000)) / 1000 * float(np.log2(most_chars) - 3)).cast("int")
+    length = F.when(F.pmod(F.shiftright("turn", 40), F.lit(2)) == 0, length).otherwise(most_chars)
     some = texts_of.join(F.broadcast(chosen), "id").select("id", "label", F.coalesce(F.substring(F.col("text"), spot + 1, length), F.lit("")).alias("text"))
-    got = sorted(some.limit(2 * sample).collect())
-    texts, y = [r["text"] for r in got], [2 * r["label"] - 1 for r in got]
-    y = np.array(y)
+    # a repeated id gives one text, so no more than `sample` of them come
+    got = sorted(some.groupBy("id", "label").agg(F.min("text").alias("text")).collect())
+    cuts = [(w, 2 * r["label"] - 1) for r in got for w in windows(r["text"])]
+    y = np.array([c for _, c in cuts])
     if len(set(y.tolist())) < 2:
         return Model(scale * 0, scale * 0, float(y[0]) * 1e-9 if len(y) else 0.0)
-    return Model(scale, *descend([grams(windows(t)[0]) for t in texts], y, scale))
+    return Model(scale, *descend([grams(w) for w, _ in cuts], y, scale))
 
 
 def score(docs: DataFrame, model: Model, text_col: str = "text", score_col: str = "score") -> DataFrame:
-    """`docs` with a double from 0 to 1 (higher: label 1 is likelier), never null.  Null texts count as empty ones; no row is dropped."""
+    """`docs` with a double from 0 to 1 (higher: label 1 is likelier), never null.  Null texts count as empty ones; whole texts are read, however long; no row is dropped."""
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(model)  # a fixed number of weights, 2**BITS
 

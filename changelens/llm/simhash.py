@@ -125,9 +125,11 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     classes = cut(prints.groupBy("fp").agg(F.min(row).alias("first")))
     kept = _rooted(classes).groupBy("root").agg(F.min("first").alias("first"))
     # in a struct a null id equals itself, in joins as in groups
-    kept = kept.select(F.struct(F.col("first.id").alias("id"), F.col("first.text_hash").alias("text_hash")).alias("_row"))
-    keyed = docs.withColumn("_row", F.struct(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("text_hash")))
-    return keyed.join(kept, "_row", "left_semi").dropDuplicates(["_row"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    kept = kept.select(F.struct(F.col("first.id").alias("id"), F.col("first.text_hash").alias("text_hash")).alias("key"))
+    # all columns of the documents in one, so that none can clash with the key
+    key = F.struct(F.col(f"`{id_col}`").cast("long").alias("id"), F.xxhash64(F.col(f"`{text_col}`").cast("string")).alias("text_hash"))
+    keyed = docs.select(key.alias("key"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    return keyed.join(kept, "key", "left_semi").dropDuplicates(["key"]).select(*[F.col(f"row.`{c}`") for c in docs.columns])
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
