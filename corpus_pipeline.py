@@ -13,8 +13,11 @@ from changelens.session import materialize
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier rejects go.  Its model is learned from the labelled rows among its input."""
-    scored = quality.score(docs, catalog.quality_model(spark, docs, sf_dir), score_col="_score")
-    return scored.where(F.col("_score") >= 0.5).drop("_score")
+    name = "score"
+    while name in docs.columns:
+        name += "_"
+    scored = quality.score(docs, catalog.quality_model(spark, docs, sf_dir), score_col=name)
+    return scored.where(F.col(name) >= 0.5).drop(name)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
