@@ -7,8 +7,11 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from changelens.functions.text import duration_text, severity_rank
+from changelens.operators import findings as G
 from changelens.operators import metrics as A
+from changelens.operators import rollups as R
 from changelens.plans.sqlbase import query
+from changelens.session import work_dir
 from changelens.sources import views as V
 
 QUERIES, ORACLES = {}, {}
@@ -127,3 +130,41 @@ QUERIES["x15_severity_rank"] = lambda spark, sf: V.finding_facts(spark, sf).grou
     F.min(severity_rank(F.col("severity"))).cast("bigint").alias("worst"))
 ORACLES["x15_severity_rank"] = query("""
 SELECT pr_id, min(list_position(['critical', 'high', 'medium', 'low', 'info'], severity))::BIGINT AS worst FROM finding_facts GROUP BY pr_id""")
+
+
+# --------------------------------------------------------------------------- the same from maintained sums
+def kept_sums(spark, sf):
+    """Sums of the findings after three batches: some come with the wrong flag and get feedback, some come twice under another id and go."""
+    facts = V.finding_facts(spark, sf).join(V.pr_facts(spark, sf).select("pr_id", "repo_full_name"), "pr_id", "left")
+    path, fid = work_dir(spark, "finding-sums"), F.crc32(F.col("finding_id").cast("binary"))
+    wrong = facts.filter(fid % 5 == 0).withColumns({"false_positive": ~F.col("false_positive"), "human_feedback": F.lit(None).cast("string")})
+    extra = facts.filter(fid % 4 == 1).withColumns({"finding_id": F.concat("finding_id", F.lit("-again")), "severity": F.lit("low")})
+    R.apply_batch(R.FINDINGS, path, 0, R.FINDINGS.sums(facts.filter(fid % 5 != 0)), R.FINDINGS.sums(extra))
+    R.apply_batch(R.FINDINGS, path, 1, R.FINDINGS.sums(wrong))
+    feedback = facts.filter(fid % 5 == 0).select("finding_id", "false_positive", "human_feedback", F.lit(1).alias("seq"))
+    for _ in range(2):  # run again after a failure
+        R.apply_batch(R.FINDINGS, path, 2, R.FINDINGS.changed(wrong, G.apply_feedback(wrong, feedback, "finding_id", [F.desc("seq")])), R.FINDINGS.sums(extra, -1))
+    return R.read(spark, R.FINDINGS, path)
+
+
+QUERIES["a4_breakdown_from_sums"] = lambda spark, sf: R.breakdown(kept_sums(spark, sf), AS_OF)
+ORACLES["a4_breakdown_from_sums"] = ORACLES["a4_severity_category_breakdown"]
+QUERIES["a5_trend_from_sums"] = lambda spark, sf: R.daily_trend(kept_sums(spark, sf), AS_OF)
+ORACLES["a5_trend_from_sums"] = ORACLES["a5_daily_trend"]
+QUERIES["a7_repositories_from_sums"] = lambda spark, sf: R.top_repositories(kept_sums(spark, sf), AS_OF)
+ORACLES["a7_repositories_from_sums"] = ORACLES["a7_top_repositories"]
+QUERIES["a10_reviewed_rate_from_sums"] = lambda spark, sf: R.reviewed_false_positive_rate(kept_sums(spark, sf), AS_OF, 90).withColumn("period_days", F.col("period_days").cast("bigint"))
+ORACLES["a10_reviewed_rate_from_sums"] = ORACLES["a10_reviewed_false_positive_rate"]
+
+
+def run_sums(spark, sf):
+    """Sums of the runs: first all as begun, then those that have ended as they ended."""
+    runs, path = V.run_facts(spark, sf), work_dir(spark, "run-sums")
+    begun = runs.filter("run_id % 3 = 0").withColumns({"status": F.lit("running"), "duration_seconds": F.lit(None).cast("double"), "tokens_used": F.lit(0), "findings_count": F.lit(0)})
+    R.apply_batch(R.RUNS, path, 0, R.RUNS.sums(runs.filter("run_id % 3 <> 0")), R.RUNS.sums(begun))
+    R.apply_batch(R.RUNS, path, 1, R.RUNS.changed(begun, runs.filter("run_id % 3 = 0")))
+    return R.read(spark, R.RUNS, path)
+
+
+QUERIES["a8_performance_from_sums"] = lambda spark, sf: R.agent_performance(run_sums(spark, sf), RUNS_AS_OF)
+ORACLES["a8_performance_from_sums"] = ORACLES["a8_agent_performance"]
