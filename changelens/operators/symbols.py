@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import ast
+import gc
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -65,17 +66,25 @@ def python_sources(documents: DataFrame) -> DataFrame:
 
 
 _BRANCHES = (ast.If, ast.While, ast.For, ast.ExceptHandler, ast.With, ast.Assert, ast.comprehension)
+_NAMED = (ast.BoolOp, ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef, ast.Import, ast.ImportFrom)
 _SYMBOL_SCHEMA = "kind string, name string, line int, args array<string>, decorators int, is_async boolean, complexity int, total_lines int"
+_SYMBOL_NAMES = [c.split()[0] for c in _SYMBOL_SCHEMA.split(", ")]
+_SYMBOL_TYPES = [pa.string(), pa.string(), pa.int32(), pa.list_(pa.string()), pa.int32(), pa.bool_(), pa.int32(), pa.int32()]
+# fields that hold names, numbers, operators or import aliases: nothing below them is counted
+_PLAIN = frozenset(("arg", "attr", "conversion", "ctx", "id", "is_async", "kind", "kwd_attrs", "level", "module", "name", "names", "op", "ops", "rest", "simple", "tag", "type_comment", "type_ignores"))
 
 
-def _complexity(node: ast.AST) -> int:
-    score = 1
-    for inner in ast.walk(node):
-        if isinstance(inner, _BRANCHES):
-            score += 1
-        elif isinstance(inner, ast.BoolOp):
-            score += len(inner.values) - 1
-    return score
+class _Kinds(dict):
+    """What a type of node counts (1 a branch, 2 looked at by its type, 0 nothing) and its fields that may lead to nodes worth a visit; none for constants and other values."""
+
+    def __missing__(self, kind: type) -> tuple[int, tuple[str, ...]]:
+        nodes = issubclass(kind, ast.AST) and kind is not ast.Constant
+        counted = 1 if issubclass(kind, _BRANCHES) else 2 if issubclass(kind, _NAMED) else 0
+        self[kind] = counted, tuple(f for f in kind._fields if f not in _PLAIN) if nodes else ()
+        return self[kind]
+
+
+_KINDS = _Kinds()
 
 
 def _structure(code: str | None) -> list[tuple]:
@@ -83,26 +92,59 @@ def _structure(code: str | None) -> list[tuple]:
     if code is None:
         return [("error", "No source", None, [], 0, False, 0, 0)]
     lines = code.count("\n") + 1
+    collects = gc.isenabled()
+    gc.disable()  # a tree has no cycles: it goes with its last reference, and looking for cycles in it only costs time
     try:
         return _nodes(ast.parse(code), lines)
     except SyntaxError as error:
         return [("error", f"Syntax error: {error}", None, [], 0, False, 0, lines)]
     except (RecursionError, MemoryError, ValueError) as error:
         return [("error", f"Not parsed: {type(error).__name__}", None, [], 0, False, 0, lines)]
+    finally:
+        if collects:
+            gc.enable()
 
 
 def _nodes(tree: ast.AST, lines: int) -> list[tuple]:
-    rows = []
-    for node in ast.walk(tree):
-        if isinstance(node, (ast.FunctionDef, ast.AsyncFunctionDef)):
-            rows.append(("function", node.name, node.lineno, [a.arg for a in node.args.args], len(node.decorator_list),
-                         isinstance(node, ast.AsyncFunctionDef), _complexity(node), lines))
-        elif isinstance(node, ast.ClassDef):
+    """Rows in the order of ``ast.walk``, in one walk: each branch counts for the function it lies in, and a function's count for the one around it."""
+    rows, around, counts = [], [], []
+    nodes, inside = [tree], [-1]
+    for node, owner in zip(nodes, inside):  # both lists grow on the way
+        kind = node.__class__
+        counted, fields = _KINDS[kind]
+        if not counted:
+            pass
+        elif counted == 1:
+            if owner >= 0:
+                counts[owner] += 1
+        elif kind is ast.BoolOp:
+            if owner >= 0:
+                counts[owner] += len(node.values) - 1
+        elif kind is ast.FunctionDef or kind is ast.AsyncFunctionDef:
+            around.append((owner, len(rows)))
+            owner = len(counts)
+            counts.append(0)
+            rows.append(("function", node.name, node.lineno, [a.arg for a in node.args.args], len(node.decorator_list), kind is ast.AsyncFunctionDef, 0, lines))
+        elif kind is ast.ClassDef:
             rows.append(("class", node.name, node.lineno, [], 0, False, 0, lines))
-        elif isinstance(node, ast.Import):
+        elif kind is ast.Import:
             rows.extend(("import", alias.name, node.lineno, [], 0, False, 0, lines) for alias in node.names)
-        elif isinstance(node, ast.ImportFrom):
+        elif kind is ast.ImportFrom:
             rows.append(("import", node.module or "", node.lineno, [], 0, False, 0, lines))
+        for field in fields:
+            below = getattr(node, field, None)
+            if below.__class__ is list:
+                if below:
+                    nodes += below
+                    inside += [owner] * len(below)
+            elif _KINDS[below.__class__][1]:
+                nodes.append(below)
+                inside.append(owner)
+    for i in range(len(counts) - 1, -1, -1):  # inner functions come after outer ones
+        outer, at = around[i]
+        if outer >= 0:
+            counts[outer] += counts[i]
+        rows[at] = (*rows[at][:6], 1 + counts[i], lines)
     return rows
 
 
@@ -112,23 +154,29 @@ def python_structure(sources: DataFrame, code: str = "code") -> DataFrame:
     Structure summaries take the synchronous functions only (``not is_async``);
     complexity counts both, and a nested function also counts in its parent.
     """
-    keys = [f for f in sources.schema.fields if f.name != code]
-    names = [f.name for f in keys]
-    out_names = names + [c.split()[0] for c in _SYMBOL_SCHEMA.split(", ")]
+    names = [f.name for f in sources.schema.fields if f.name != code]
+
+    def frame(rows: list[tuple], keys: list[pa.Array], sources_of: list[int]) -> pa.RecordBatch:
+        at = pa.array(sources_of, pa.int32())
+        told = [pa.array(column, kind) for column, kind in zip(zip(*rows, strict=True), _SYMBOL_TYPES, strict=True)]
+        return pa.RecordBatch.from_arrays([k.take(at) for k in keys] + told, names=[*names, *_SYMBOL_NAMES])
 
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        rows = []
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for *key, text in batch[[*names, code]].itertuples(index=False):
-                rows.extend((*key, *symbol) for symbol in _structure(text))
+            keys, texts = [batch.column(n) for n in names], batch.column(code)
+            rows, sources_of = [], []
+            for i in range(batch.num_rows):  # one text at a time: no second copy of the batch
+                found = _structure(texts[i].as_py())
+                rows += found
+                sources_of += [i] * len(found)
                 if len(rows) >= 10_000:  # a frame holds this many rows and those of one more source
-                    yield pd.DataFrame(rows, columns=out_names)
-                    rows = []
-        if rows:
-            yield pd.DataFrame(rows, columns=out_names)
+                    yield frame(rows, keys, sources_of)
+                    rows, sources_of = [], []
+            if rows:
+                yield frame(rows, keys, sources_of)
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in keys) + ", " + _SYMBOL_SCHEMA
-    return sources.mapInPandas(parse, schema)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in sources.schema.fields if f.name != code) + ", " + _SYMBOL_SCHEMA
+    return sources.mapInArrow(parse, schema)
 
 
 def complexity_hotspots(structure: DataFrame, key: str, top: int, threshold: int = 10) -> DataFrame:
