@@ -11,6 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,6 +21,7 @@ from changelens.streaming import alerts as A
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 NAN = float("nan")
+ROW, CHUNK = np.dtype([("at", "<i8"), ("part", "<f8"), ("whole", "<f8")]), 16_384  # a row that waits, and how many are packed together
 PENDING, FIRING, RESOLVED, INACTIVE = "pending", "firing", "resolved", "inactive"
 
 
@@ -35,59 +37,77 @@ class Alarm(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        # rows that the watermark has not passed, in the order of their times: one value, so that a batch costs a few calls and not some for each row
-        self.waiting = handle.getValueState("waiting", "at array<long>, part array<double>, whole array<double>")
+        # rows that the watermark has not passed, in packed chunks under their first and last times: a batch costs a call for each chunk and not some for each row
+        self.waiting = handle.getMapState("waiting", "first long, last long", "rows binary")
         self.run = handle.getValueState("run", "begun long, last long, fired boolean")
         self.known = handle.getValueState("known", "part double, whole double")
 
     def _timer(self, micros: int) -> None:
         self.handle.registerTimer(-(-micros // 1000))
 
-    def _waiting(self) -> dict[int, tuple[float, float]]:
-        return {at: (part, whole) for at, part, whole in zip(*self.waiting.get(), strict=True)} if self.waiting.exists() else {}
-
-    def _wait(self, rows: dict[int, tuple[float, float]]) -> None:
-        if not rows:
-            self.waiting.clear()
-            return
-        order = sorted(rows)
-        self.waiting.update((order, [rows[at][0] for at in order], [rows[at][1] for at in order]))
-        self._timer(order[0])
+    def _wait(self, rows: np.ndarray) -> None:
+        for start in range(0, len(rows), CHUNK):
+            chunk = rows[start:start + CHUNK]
+            place, packed = (int(chunk["at"].min()), int(chunk["at"].max())), chunk.tobytes()
+            if self.waiting.containsKey(place):
+                packed = self.waiting.getValue(place)[0] + packed
+            self.waiting.updateValue(place, (packed,))
+
+    def _due(self, now: int) -> np.ndarray | None:
+        """Takes the rows up to ``now`` from those that wait, in order of their times; None if there is none."""
+        places = [tuple(place) for place in self.waiting.keys()]
+        reached = [place for place in places if place[0] <= now]
+        if not reached:
+            return None
+        chunks = []
+        for place in reached:
+            chunks.append(np.frombuffer(self.waiting.getValue(place)[0], ROW))
+            self.waiting.removeKey(place)
+        rows = np.concatenate(chunks)
+        del chunks
+        rows = rows[np.argsort(rows["at"], kind="stable")]
+        due = int(np.searchsorted(rows["at"], now, side="right"))
+        self._wait(rows[due:])
+        first = [place[0] for place in places if place[0] > now] + rows["at"][due:due + 1].tolist()
+        if first:
+            self._timer(min(first))
+        rows = rows[:due]
+        # of several samples of one time the largest; unknown values are NaN
+        starts = np.flatnonzero(np.concatenate(([True], rows["at"][1:] != rows["at"][:-1])))
+        if len(starts) == len(rows):
+            return rows
+        merged = rows[starts]
+        for name in ("part", "whole"):
+            merged[name] = np.fmax.reduceat(rows[name], starts)
+        return merged
+
+    def _holds(self, rows: np.ndarray) -> np.ndarray:
+        ok = np.zeros(len(rows), dtype=bool)
+        for start in range(0, len(rows), CHUNK):
+            chunk = rows[start:start + CHUNK]
+            ok[start:start + CHUNK] = [bool(self.condition(part if part == part else None, whole if whole == whole else None)) for part, whole in zip(chunk["part"].tolist(), chunk["whole"].tolist(), strict=True)]
+        return ok
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        held = self._waiting()
+        first = None
         for frame in rows:
-            for at, *given in zip(frame["at"].tolist(), frame["part"].astype(float).tolist(), frame["whole"].astype(float).tolist(), strict=True):
-                # of several samples of one time the largest; unknown values are NaN
-                held[at] = tuple(max((v for v in pair if v == v), default=NAN) for pair in zip(given, held.get(at, (NAN, NAN)), strict=True))
-        self._wait(held)
+            given = np.empty(len(frame), ROW)
+            given["at"], given["part"], given["whole"] = frame["at"], frame["part"].astype(float), frame["whole"].astype(float)
+            self._wait(given)
+            if len(given):
+                first = min(int(given["at"].min()), first if first is not None else int(given["at"].min()))
+        if first is not None:
+            self._timer(first)
         return iter(())
 
     def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         now = timerValues.getCurrentWatermarkInMs() * 1000
         told: list[tuple[str, int, int]] = []
-        held = self._waiting()
-        due = sorted(at for at in held if at <= now)
         run = list(self.run.get()) if self.run.exists() else None
-        known = list(self.known.get()) if self.known.exists() else [None, None]
-        for at in due:
-            run = self._pass(run, at, told)
-            given = [v if v == v else None for v in held.pop(at)]
-            known = [new if new is not None else old for new, old in zip(given, known, strict=True)] if self.step is None else given
-            if self.condition(*known):
-                if run is None:
-                    run = [at, at, False]
-                    told.append((PENDING, at, at))
-                run[1] = at
-                if self.step is not None and not run[2] and at - run[0] >= self.seconds:
-                    run[2] = True
-                    told.append((FIRING, run[0], run[0] + self.seconds))
-            elif run is not None:
-                # a gauge holds up to this row, a rate up to its last evaluation
-                run = self._end(run, at if self.step is None else run[1], told)
+        due = self._due(now)
+        if due is not None:
+            run = self._gauge(run, due, told) if self.step is None else self._rate(run, due, told)
         run = self._pass(run, now, told)
-        if due:
-            self._wait(held)
         if run is None:
             self.run.clear()
         else:
@@ -96,11 +116,49 @@ class Alarm(StatefulProcessor):
                 self._timer(run[1] + self.step + 1000)
             elif not run[2]:
                 self._timer(run[0] + self.seconds)
-        if self.step is None and known != [None, None]:
-            self.known.update(tuple(known))
         if told:
             yield pd.DataFrame([(*key, state, begun, at) for state, begun, at in told], columns=[*self.keys, "state", "pending_us", "at_us"])
 
+    def _gauge(self, run: list | None, rows: np.ndarray, told: list) -> list | None:
+        """Rows of a gauge: each carries the last known values, and only those where the condition begins or ends to hold tell something."""
+        known = list(self.known.get()) if self.known.exists() else [None, None]
+        rows = rows.copy()
+        for i, name in enumerate(("part", "whole")):
+            last = np.maximum.accumulate(np.where(np.isnan(rows[name]), -1, np.arange(len(rows))))
+            rows[name] = np.where(last >= 0, rows[name][last], NAN if known[i] is None else known[i])
+        known = [float(v) if v == v else None for v in (rows["part"][-1], rows["whole"][-1])]
+        if known != [None, None]:
+            self.known.update(tuple(known))
+        ok = self._holds(rows)
+        before = np.concatenate(([run is not None], ok[:-1]))
+        for at, begins in zip(rows["at"][ok != before].tolist(), ok[ok != before].tolist(), strict=True):
+            run = self._pass(run, at, told)
+            if begins:
+                run = [at, at, False]
+                told.append((PENDING, at, at))
+            else:
+                run = self._end(run, at, told)
+        if run is not None:
+            run[1] = int(rows["at"][-1])
+        return run
+
+    def _rate(self, run: list | None, rows: np.ndarray, told: list) -> list | None:
+        """Evaluations of a rate, one after the other."""
+        for at, ok in zip(rows["at"].tolist(), self._holds(rows).tolist(), strict=True):
+            run = self._pass(run, at, told)
+            if ok:
+                if run is None:
+                    run = [at, at, False]
+                    told.append((PENDING, at, at))
+                run[1] = at
+                if not run[2] and at - run[0] >= self.seconds:
+                    run[2] = True
+                    told.append((FIRING, run[0], run[0] + self.seconds))
+            elif run is not None:
+                # a rate holds up to its last evaluation
+                run = self._end(run, run[1], told)
+        return run
+
     def _pass(self, run: list | None, now: int, told: list) -> list | None:
         """What time alone does up to ``now``."""
         if run is None:
