@@ -14,8 +14,9 @@ from pyspark.sql import functions as F
 
 from changelens.functions.text import once
 from changelens.operators.search import BM25_B, BM25_K1
+from changelens.session import materialize
 
-BUCKETS, BLOCK = 256, 256
+BUCKETS, BLOCK, SLICE = 256, 256, 500_000
 
 
 def _bucket(word: Column, buckets: int) -> Column:
@@ -25,17 +26,37 @@ def _bucket(word: Column, buckets: int) -> Column:
 def write_postings(corpus: DataFrame, path: str, key: str, text: str, buckets: int = BUCKETS, block: int = BLOCK) -> None:
     """Add rows to the index.  Keys must be new to it; null and empty texts count as rows without words.
 
-    A word of a third of all rows is many blocks: its rows are dealt by their hash, counted first, never gathered whole.
+    A word of a third of all rows is many blocks: its rows are dealt by their hash, counted first, never gathered whole.  A task takes blocks of a slice of a bucket,
+    some ``SLICE`` words of text.
     """
-    words = F.filter(F.split(F.lower(F.coalesce(F.col(text).cast("string"), F.lit(""))), r"[^\p{L}\p{N}_]+"), lambda w: w != "")
+    words = F.array_sort(F.filter(F.split(F.lower(F.coalesce(F.col(text).cast("string"), F.lit(""))), r"[^\p{L}\p{N}_]+"), lambda w: w != ""))
     rows = once(corpus.select(key, text), _words=words).select(F.col(key).alias("key"), "_words", F.size("_words").alias("len"))
-    rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.col("len").cast("bigint")), F.lit(0)).alias("words")).write.mode("append").parquet(f"{path}/totals")
-    counted = rows.select("key", "len", F.explode("_words").alias("word")).groupBy("word", "key", "len").agg(F.count("*").alias("tf"))
-    held = counted.groupBy("word").agg(F.count("*").alias("df"))
-    dealt = counted.join(held, "word").withColumn("block", F.pmod(F.xxhash64(F.col("key").cast("string")), F.ceil(F.col("df") / block)))
-    blocks = dealt.groupBy("word", "block").agg(F.collect_list(F.struct("key", "tf", "len")).alias("rows"), F.max("tf").alias("most"), F.min("len").alias("shortest"), F.count("*").alias("n"))
-    placed = blocks.drop("block").withColumn("bucket", _bucket(F.col("word"), buckets))
-    placed.hint("rebalance", "bucket").sortWithinPartitions("bucket", "word").write.mode("append").partitionBy("bucket").parquet(f"{path}/blocks")
+    spark, total = corpus.sparkSession, rows.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.col("len").cast("bigint")), F.lit(0)).alias("words")).first()
+    spark.createDataFrame([total], "n bigint, words bigint").coalesce(1).write.mode("append").parquet(f"{path}/totals")
+    # a row's own words are counted in the row: equal ones stand together
+    begun = once(rows.filter("len > 0"), _starts=_starts("len", lambda i: F.get("_words", i) != F.get("_words", i - 1)))
+    counts = F.transform("_starts", lambda p, i: F.struct(F.get("_words", p).alias("word"), (F.coalesce(F.get("_starts", i + 1), F.col("len")) - p).cast("bigint").alias("tf")))
+    counted = begun.select("key", "len", F.inline(counts))
+    # words of more than one block are a small part of all words; a small table goes to every task, so the postings themselves are shuffled once
+    held = materialize(counted.groupBy("word").agg(F.count("*").alias("df")).filter(F.col("df") > block), "frequent-words")
+    deal = F.coalesce(F.pmod(F.xxhash64(F.col("key").cast("string")), F.ceil(F.col("df") / block)), F.lit(0))
+    slices = -(-total["words"] // (buckets * SLICE)) or 1
+    dealt = counted.join(held, "word", "left").withColumn("block", deal).withColumns({"bucket": _bucket(F.col("word"), buckets), "slice": F.pmod(F.xxhash64("word", "block"), F.lit(slices))})
+    blocks = dealt.repartition("bucket", "slice").groupBy("bucket", "slice", "word", "block").agg(F.array_sort(F.collect_list(F.struct("key", "len", "tf"))).alias("_found"))
+    # a key that repeats against the rule is one row with the sum of its counts
+    at = lambda i: F.get("_found", i)
+    same = once(blocks, _size=F.size("_found"))
+    same = once(same, _starts=_starts("_size", lambda i: ~at(i)["key"].eqNullSafe(at(i - 1)["key"]) | (at(i)["len"] != at(i - 1)["len"])))
+    upto = lambda i: F.coalesce(F.get("_starts", i + 1), F.col("_size"))
+    summed = lambda p, i: F.aggregate(F.slice("_found", p + 1, upto(i) - p), F.lit(0).cast("bigint"), lambda a, r: a + r["tf"])
+    placed = once(same, rows=F.transform("_starts", lambda p, i: F.struct(at(p)["key"].alias("key"), summed(p, i).alias("tf"), at(p)["len"].alias("len")))).select(
+        "word", "rows", F.array_max("rows.tf").alias("most"), F.array_min("rows.len").alias("shortest"), F.size("rows").cast("bigint").alias("n"), "bucket")
+    placed.sortWithinPartitions("bucket", "word").write.mode("append").partitionBy("bucket").parquet(f"{path}/blocks")
+
+
+def _starts(size: str, differs) -> Column:
+    """Places in a sorted array of at least one entry where an entry differs from the one before."""
+    return F.filter(F.sequence(F.lit(0), F.col(size) - 1), lambda i: (i == 0) | differs(i))
 
 
 def _blocks(spark: SparkSession, path: str, terms: Sequence[str], buckets: int) -> DataFrame:
