@@ -18,6 +18,7 @@ from changelens.session import materialize
 
 RANK_CONSTANT = 60  # of reciprocal-rank fusion
 BM25_K1, BM25_B = 1.2, 0.75
+GROUP_ROWS, GROUP_QUERIES = 8192, 1024  # of one task of a join of vectors
 
 
 def chunk_index(changes: DataFrame, max_files: int | None = None, max_chunks: int | None = None) -> DataFrame:
@@ -50,8 +51,10 @@ def delete_from_index(spark: SparkSession, path: str, deleted: DataFrame, out: s
 
     A folder can't be read and overwritten by one job, so the caller puts the new one in the place of the old.
     """
-    kept = read_index(spark, path).join(deleted.select("pr_id").distinct(), "pr_id", "left_anti")
-    write_index(kept, out)
+    gone = materialize(deleted.select("pr_id").distinct(), "deleted")
+    kept = read_index(spark, path).join(gone, "pr_id", "left_anti")
+    # rows come by folder, language by language as they were written: dealing them out again would only move all vectors once more
+    conform(kept, CODE_CHUNKS).write.mode("append").partitionBy("language").parquet(out)
     return read_index(spark, out)
 
 
@@ -77,9 +80,16 @@ def _best(matrix: np.ndarray, query_ids: np.ndarray, batch: pd.DataFrame, key: s
     norms = np.linalg.norm(vectors, axis=1, keepdims=True)
     scores = matrix @ (vectors / np.where(norms > 0, norms, 1)).T
     by_key = np.argsort(keys, kind="stable")
-    best = by_key[np.argsort(-scores[:, by_key], axis=1, kind="stable")[:, :k]]
-    row = np.repeat(np.arange(len(matrix)), best.shape[1])
-    return pd.DataFrame({query_key: query_ids[row], key: keys[best.ravel()], "certainty": (1 + scores[row, best.ravel()]) / 2})
+    scores = scores[:, by_key]
+    # all that reach the k-th best score, sorted: among equal ones the first by key stay
+    least = np.partition(scores, -k, axis=1)[:, -k] if k < scores.shape[1] else np.full(len(matrix), -np.inf)
+    row, at = np.nonzero(scores >= least[:, None])
+    order = np.lexsort((at, -scores[row, at], row))
+    row, at = row[order], at[order]
+    first = np.searchsorted(row, np.arange(len(matrix)))
+    kept = np.arange(len(row)) - first[row] < k
+    row, at = row[kept], at[kept]
+    return pd.DataFrame({query_key: query_ids[row], key: keys[by_key[at]], "certainty": (1 + scores[row, at]) / 2})
 
 
 def _normalised(vectors) -> tuple[np.ndarray, np.ndarray]:
@@ -118,9 +128,11 @@ def nearest_join(corpus: DataFrame, queries: DataFrame, key: str, query_key: str
                  slices: int = 64, blocks: int = 1) -> DataFrame:
     """The k nearest rows for each query of a table (V4), as ``nearest_many`` gives them.
 
-    Rows are dealt over ``slices`` and queries over ``blocks`` by their hash; each pair of a slice and a block is one task's group,
-    so choose them for groups of some 10 000 rows and 1 000 queries.  A group gives at most k rows per query.
+    Rows are dealt over slices and queries over blocks by their hash; each pair of a slice and a block is one task's group and gives at most k rows per query.
+    Both tables are counted first: there are at least ``slices`` and ``blocks``, and more where a group would go beyond some ``GROUP_ROWS`` rows or
+    ``GROUP_QUERIES`` queries, so a group's memory does not follow the tables.  Of a group 256 queries are compared at a time.
     """
+    slices, blocks = max(slices, -(-corpus.count() // GROUP_ROWS)), max(blocks, -(-queries.count() // GROUP_QUERIES))
     key_type, query_type = corpus.schema[key].dataType.simpleString(), queries.schema[query_key].dataType.simpleString()
     place = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n))
     rows = corpus.select(F.col(key), F.col(vector).alias("_v"), place(key, slices).alias("_slice"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("_block"))
@@ -133,7 +145,9 @@ def nearest_join(corpus: DataFrame, queries: DataFrame, key: str, query_key: str
         if given.empty:
             return pd.DataFrame({query_key: given[query_key], key: some_rows[key][:0], "certainty": np.zeros(0)})
         matrix, some = _normalised(np.stack(given["_v"].to_numpy()))
-        return _best(matrix, given[query_key].to_numpy()[some], some_rows, key, "_v", query_key, k)
+        ids = given[query_key].to_numpy()[some]
+        found = [_best(matrix[at:at + 256], ids[at:at + 256], some_rows, key, "_v", query_key, k) for at in range(0, max(len(matrix), 1), 256)]
+        return pd.concat(found, ignore_index=True)
 
     found = grouped(rows).cogroup(grouped(asked)).applyInPandas(candidates, f"`{query_key}` {query_type}, `{key}` {key_type}, certainty double")
     return _ranked(found, query_key, key, k)
@@ -147,13 +161,15 @@ def by_symbol(index: DataFrame, symbol: str, repo: str | None = None, limit: int
     return hits.orderBy(*order).limit(limit)
 
 
-def keyword_scores(corpus: DataFrame, terms: Sequence[str], text: str) -> DataFrame:
-    """BM25 of each row for the query terms; term counts stay in the row, only totals are aggregated."""
-    terms = list(dict.fromkeys(t.lower() for t in terms))
+def _term_counts(corpus: DataFrame, terms: Sequence[str], text: str) -> DataFrame:
+    """The rows with their number of words and of each term."""
     words = F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}_]+"), lambda w: w != "")
-    counted = once(corpus, _words=words)
     frequency = lambda term: F.size(F.filter("_words", lambda w: w == term))
-    counted = once(counted, _len=F.size("_words"), **{f"_tf{i}": frequency(t) for i, t in enumerate(terms)}).drop("_words")
+    return once(once(corpus, _words=words), _len=F.size("_words"), **{f"_tf{i}": frequency(t) for i, t in enumerate(terms)}).drop("_words")
+
+
+def _scored(counted: DataFrame, terms: Sequence[str]) -> DataFrame:
+    """BM25 of counted rows, in the place of their counts; the rows are read twice."""
     totals = counted.agg(
         F.count("*").alias("n"), F.avg("_len").alias("mean"), *[F.count_if(F.col(f"_tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))])
     # one struct, so that all references are to one subquery and the corpus is counted once
@@ -167,6 +183,16 @@ def keyword_scores(corpus: DataFrame, terms: Sequence[str], text: str) -> DataFr
     return counted.withColumn("bm25", score).drop("_len", *[f"_tf{i}" for i in range(len(terms))])
 
 
+def _distinct_terms(terms: Sequence[str]) -> list[str]:
+    return list(dict.fromkeys(t.lower() for t in terms))
+
+
+def keyword_scores(corpus: DataFrame, terms: Sequence[str], text: str) -> DataFrame:
+    """BM25 of each row for the query terms; term counts stay in the row, only totals are aggregated."""
+    terms = _distinct_terms(terms)
+    return _scored(_term_counts(corpus, terms, text), terms)
+
+
 def _exact_ranks(scores: DataFrame, candidates: DataFrame, key: str, score: str, rank: str) -> DataFrame:
     """Rank of each candidate among all rows with a score, counted in parallel.
 
@@ -195,9 +221,11 @@ def hybrid(corpus: DataFrame, query: str, query_vector: Sequence[float], key: st
     Beyond the m where the second exceeds the first no row can enter the result,
     so only those lists are fused, with their exact ranks.
     """
-    scored = once(keyword_scores(corpus, query.split(), text), _cos=cosine(F.col(vector), query_vector)).select(
-        key, "_cos", F.nullif("bm25", F.lit(0.0)).alias("bm25"))
-    return fuse(scored, key, k, alpha)
+    terms = _distinct_terms(query.split())
+    counted = once(_term_counts(corpus, terms, text), _cos=cosine(F.col(vector), query_vector))
+    # a few numbers per row, for the totals and the scores: the texts are read once
+    counted = materialize(counted.select(key, "_cos", "_len", *[f"_tf{i}" for i in range(len(terms))]), "hybrid-counts")
+    return fuse(_scored(counted, terms).select(key, "_cos", F.nullif("bm25", F.lit(0.0)).alias("bm25")), key, k, alpha)
 
 
 def hybrid_stored(vectors: DataFrame, matches: DataFrame, query_vector: Sequence[float], key: str, vector: str = "vector", k: int = 5, alpha: float = 0.5) -> DataFrame:

@@ -1,5 +1,7 @@
 """Search over vectors that are missing or odd, and over a stored index."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from changelens.operators import search
@@ -36,3 +38,15 @@ def test_reembedding_goes_on_where_it_stopped(spark):
     indexed = first.select(F.col("pr_id").cast("string"))
     assert [r.pr_id for r in search.reembed_selection(prs, indexed, 2).collect()] == [2, 3]
     assert search.reembed_selection(prs, indexed).count() == 3
+
+
+def test_groups_of_a_join_grow_in_number_and_not_in_size(spark, monkeypatch):
+    monkeypatch.setattr(search, "GROUP_ROWS", 50)
+    monkeypatch.setattr(search, "GROUP_QUERIES", 100)
+    turn = lambda n: F.array(F.cos(F.col("id") % n), F.sin(F.col("id") % n))
+    corpus, queries = spark.range(420).withColumn("vector", turn(70)), spark.range(700).select(F.col("id").alias("q"), turn(70).alias("vector"))
+    joined = search.nearest_join(corpus, queries, "id", "q", k=4, slices=2)
+    plan = joined._jdf.queryExecution().optimizedPlan().toString()
+    assert re.search(r"pmod\(xxhash64\(id#\d+L, 42\), 9\)", plan) and re.search(r"pmod\(xxhash64\(q#\d+L, 42\), 7\)", plan), plan
+    # six copies of each direction: of equal rows the first by key
+    assert {(r.q, r.rank, r.id) for r in joined.collect()} == {(q, i + 1, q % 70 + 70 * i) for q in range(700) for i in range(4)}
