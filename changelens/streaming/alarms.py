@@ -92,7 +92,7 @@ class Alarm(StatefulProcessor):
         first = None
         for frame in rows:
             given = np.empty(len(frame), ROW)
-            given["at"], given["part"], given["whole"] = frame["at"], frame["part"].astype(float), frame["whole"].astype(float)
+            given["at"], given["part"], given["whole"] = frame["at"].astype("int64"), frame["part"].astype(float), frame["whole"].astype(float)
             self._wait(given)
             if len(given):
                 first = min(int(given["at"].min()), first if first is not None else int(given["at"].min()))

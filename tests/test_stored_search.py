@@ -83,3 +83,21 @@ def test_a_search_opens_few_blocks_and_reads_its_own_words(spark):
     assert got == [0, 1500, 3000, 4500] and report["opened"] < 0.2 * report["blocks"]
     plan = P._blocks(spark, path, ["rare"], 16)._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(bucket" in plan and "rare" in plan.split("PushedFilters: ")[1].split("]")[0]
+
+
+def test_postings_are_whole_over_many_slices_and_repeated_keys(spark, monkeypatch):
+    monkeypatch.setattr(P, "SLICE", 50)
+    rows = [(f"k{i}", "common " * (i % 4 + 1) + f"word{i % 7} Rare{i}") for i in range(300)] + [("k5", "common common word5 rare5"), (None, "common x"), ("e", ""), ("n", None)]
+    path = work_dir(spark, "postings")
+    P.write_postings(spark.createDataFrame(rows, "key string, content string"), path, "key", "content", 4, 16)
+    want = {}
+    for key, text in rows:
+        words = (text or "").lower().split()
+        for w in set(words):
+            want[w, key, len(words)] = want.get((w, key, len(words)), 0) + words.count(w)
+    blocks = spark.read.parquet(f"{path}/blocks")
+    got = blocks.select("word", F.explode("rows").alias("r")).select("word", "r.key", "r.len", "r.tf").collect()
+    assert len(got) == len(want) and {(r.word, r.key, r.len): r.tf for r in got} == want
+    told = blocks.select("most", "shortest", "n", "rows").collect()
+    assert all(b.most == max(r.tf for r in b.rows) and b.shortest == min(r.len for r in b.rows) and b.n == len(b.rows) for b in told)
+    assert tuple(spark.read.parquet(f"{path}/totals").agg(F.sum("n"), F.sum("words")).first()) == (304, sum(len((t or "").split()) for _, t in rows))
