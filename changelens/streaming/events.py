@@ -74,10 +74,13 @@ def gate(events: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def deduplicate(events: DataFrame, watermark: str = "10 minutes") -> DataFrame:
-    """Drop redelivered events by their id (T4); a stream remembers ids within the watermark."""
+    """Drop redelivered events by their id (T4); a stream remembers ids within the watermark.
+
+    A batch is spread by the id before anything is sorted, so a task holds its part of the shuffle and not a whole row group of a file.
+    """
     if events.isStreaming:
         return events.withWatermark("ts", watermark).dropDuplicatesWithinWatermark(["seq"])
-    return events.dropDuplicates(["seq"])
+    return events.repartition("seq").dropDuplicates(["seq"])
 
 
 def fold(events: DataFrame) -> DataFrame:
@@ -87,11 +90,16 @@ def fold(events: DataFrame) -> DataFrame:
     number.  Folds of folds give the same result in any grouping, so partial
     aggregation applies and a busy pull request is no hot key.
     """
-    aggregates = [F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"), F.max(F.when(F.col("action") == "synchronize", F.col("seq"))).alias("sync_seq")]
-    for name, key in FIELDS.items():
-        at = F.when(F.array_contains("present", key), F.col("seq"))
+    # one bit for each key that an event has: the rows to be sorted carry a number in place of an array of names
+    given = reduce(Column.bitwiseOR, [F.when(F.array_contains("present", key), 1 << i).otherwise(0) for i, key in enumerate(FIELDS.values())])
+    synced = F.when(F.col("action") == "synchronize", F.col("seq"))
+    # spread by the number first, as in ``deduplicate``: a task sorts its part of the shuffle, however large a file's row group is
+    narrow = events.select(*KEY, "seq", synced.alias("_synced"), given.alias("_given"), *FIELDS.values()).repartition("seq")
+    aggregates = [F.min("seq").alias("first_seq"), F.max("seq").alias("last_seq"), F.max("_synced").alias("sync_seq")]
+    for i, (name, key) in enumerate(FIELDS.items()):
+        at = F.when(F.col("_given").bitwiseAND(1 << i) != 0, F.col("seq"))
         aggregates += [F.max_by(key, at).alias(name), F.max(at).alias(f"{name}_seq")]
-    return events.groupBy(*KEY).agg(*aggregates)
+    return narrow.groupBy(*KEY).agg(*aggregates)
 
 
 def merge_folds(folds: DataFrame) -> DataFrame:
@@ -145,7 +153,7 @@ def upsert_stream(messages: DataFrame, path: str, checkpoint: str) -> StreamingQ
     The state of the table is ``upsert`` of its last snapshot with
     ``merge_folds`` of the written folds, see ``current_prs``.
     """
-    return write_batches(messages, path, checkpoint, lambda batch, _: fold(gate(deduplicate(parse(batch)))[0]))
+    return write_batches(messages, path, checkpoint, lambda batch, _: fold(gate(parse(deduplicate(batch)))[0]))
 
 
 _BASE_FIELDS = (*FIELDS, "status", "risk_score", "applied_seq")
@@ -214,7 +222,7 @@ def scan_stream(messages: DataFrame, changes: DataFrame, scan: Callable[[DataFra
     Two findings are the same if they agree in ``unique`` (all columns where it is not given), so an event that comes again writes nothing.
     """
     def fresh(batch: DataFrame, batch_id: int) -> DataFrame:
-        found = incremental_scan(deduplicate(parse(batch)), changes, scan, on, buckets)
+        found = incremental_scan(parse(deduplicate(batch)), changes, scan, on, buckets)
         names = list(unique or found.columns)
         found = found.dropDuplicates(names)
         if batch_id == 0:

@@ -8,6 +8,7 @@ from changelens.session import work_dir
 from changelens.sources import views as V
 from changelens.streaming import alerts as A
 from changelens.streaming import events as E
+from changelens.streaming import state as S
 
 SF = "/root/testdata/sf0.001"
 
@@ -125,3 +126,62 @@ def test_published_records_come_back(spark):
     records = spark.createDataFrame([("a:1", "{}"), ("b:2", "[]")], "key string, value string")
     E.publish(records, "parquet", path=path)
     assert sorted((bytes(r.key).decode(), bytes(r.value).decode()) for r in spark.read.parquet(path).collect()) == [("a:1", "{}"), ("b:2", "[]")]
+
+
+def _message_rows(spark):
+    """Messages of two pull requests, of which one comes twice and two are not for the table."""
+    head = '"event_type":"pull_request","repo_full_name":"r","pr_number"'
+    rows = [(1, '{%s:1,"action":"opened","pr_title":"a","body":null,"additions":null}' % head), (2, '{%s:1,"action":"synchronize","pr_author":"me"}' % head),
+            (2, '{%s:1,"action":"synchronize","pr_author":"me"}' % head), (3, '{%s:2,"action":"opened","html_url":"u","deletions":4}' % head),
+            (4, '{%s:2,"action":"closed","pr_title":"b"}' % head), (5, "no json"), (6, None)]
+    return spark.createDataFrame(rows, "seq bigint, value string").withColumns({"ts": F.timestamp_seconds(F.lit(0)), "key": F.lit("k")})
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_fold_keeps_which_keys_each_event_has(spark):
+    found = {r.pr_number: r for r in E.fold(E.gate(E.parse(E.deduplicate(_message_rows(spark))))[0]).collect()}
+    one, two = found[1], found[2]
+    assert len(found) == 2 and (one.first_seq, one.last_seq, one.sync_seq, two.first_seq, two.last_seq, two.sync_seq) == (1, 2, 2, 3, 3, None)
+    assert (one.title, one.title_seq, one.author, one.author_seq, one.body, one.body_seq, one.additions, one.additions_seq) == ("a", 1, "me", 2, None, 1, None, 1)
+    assert (two.html_url, two.html_url_seq, two.deletions, two.deletions_seq, two.title_seq, two.body_seq) == ("u", 3, 4, 3, None, None)
+
+
+@pytest.mark.parametrize("step", ["deduplicate", "fold"])
+def test_rows_of_a_file_are_spread_before_they_are_sorted(spark, step):
+    path = work_dir(spark, "one-file")
+    _message_rows(spark).coalesce(1).write.parquet(path)
+    messages = spark.read.parquet(path)
+    plan = _plan(E.deduplicate(messages) if step == "deduplicate" else E.fold(E.gate(E.parse(messages))[0]))
+    # the plan is a chain, the scan last
+    assert "Sort [" in plan and plan.rindex("Sort [") < plan.rindex("Exchange hashpartitioning(seq")
+    assert "present" not in plan.partition("Exchange hashpartitioning(seq")[0]
+
+
+@pytest.mark.parametrize("run", ["folds"])
+def test_a_batch_is_parsed_after_its_messages_are_spread(spark, monkeypatch, run):
+    path, plans, fold = work_dir(spark, "messages"), [], E.fold
+
+    def seen(events):
+        plans.append(_plan(fold(events)))
+        return fold(events)
+
+    monkeypatch.setattr(E, "fold", seen)
+    messages = _message_rows(spark)
+    messages.coalesce(1).write.parquet(path)
+    stream = E.read_messages(spark, path, messages.schema)
+    prs = spark.createDataFrame([("r", 3, *[None] * 7, 1, 1, 1, "completed", 0.4, 9)], "repo_full_name string, pr_number int, " + S.BASE[7:-1]).select(Q.stored_prs(spark, SF).columns)
+    if run == "folds":
+        folds = work_dir(spark, "folds")
+        E.upsert_stream(stream, folds, work_dir(spark, "upsert")).awaitTermination()
+        got = E.current_prs(prs, folds)
+    else:
+        table = S.Table(spark, work_dir(spark, "pr-state"), 4).create(prs)
+        S.stream_into(table, stream, work_dir(spark, "pr-stream")).awaitTermination()
+        got = table.current()
+    assert rows(got.select("pr_number", "title", "author", "deletions", "applied_seq")) == [(1, "a", "me", 0, 2), (2, "PR #2", "unknown", 4, 3), (3, None, None, 1, 9)]
+    # one shuffle by the number, of unparsed messages
+    assert len(plans) == 1 and plans[0].count("Exchange hashpartitioning(seq") == 1
+    assert plans[0].rindex("from_json") < plans[0].index("Exchange hashpartitioning(seq")
