@@ -113,7 +113,7 @@ def stream_into(table: Table, messages: DataFrame, checkpoint: str, available_no
     """Apply every micro-batch of messages to the table (T2); a batch run again after a failure changes nothing more."""
     def sink(batch: DataFrame, _: int) -> None:
         own = Table(batch.sparkSession, table.path, table.buckets)
-        folds = E.fold(E.gate(E.deduplicate(E.parse(batch)))[0]).persist()
+        folds = E.fold(E.gate(E.parse(E.deduplicate(batch)))[0]).persist()
         own.apply(folds)
         folds.unpersist()
 

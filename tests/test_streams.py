@@ -160,7 +160,7 @@ def test_rows_of_a_file_are_spread_before_they_are_sorted(spark, step):
     assert "present" not in plan.partition("Exchange hashpartitioning(seq")[0]
 
 
-@pytest.mark.parametrize("run", ["folds"])
+@pytest.mark.parametrize("run", ["folds", "table"])
 def test_a_batch_is_parsed_after_its_messages_are_spread(spark, monkeypatch, run):
     path, plans, fold = work_dir(spark, "messages"), [], E.fold
 
