@@ -1,9 +1,11 @@
 """Findings of advisories stay folded until the end: same results as one by one, nothing shuffled or written for each of them."""
 
+import os
+
 import pytest
 from pyspark.sql import functions as F
 
-from changelens.operators import findings
+from changelens.operators import findings, scoring
 from changelens.plans import review
 from tests.test_review import PR
 from tests.test_rules import diff_of
@@ -51,9 +53,13 @@ def test_same_results_as_one_by_one(spark, odd, title):
     widths = review.Widths(title=title)
     single = review.final_findings(review.raw_findings(*odd, widths), widths).localCheckpoint()
     assert rows_of(review.review(*odd, widths)) == rows_of(single)
-    folded = review.review(*odd, widths, folded=True)
+    folded = review.stored(review.review(*odd, widths, folded=True), "final-findings")
     if title != 0:
         assert folded.spans.filter("pr_id = 'plain' AND head = 'CVE in p 1.0: '").count() == (2 if title != 12 else 0)
+    heads = scoring.with_risk(odd[0], widths.places).select("pr_id", "repo_full_name", "pr_number", "score_pts", "risk_score")
+    counts = findings.agent_counts(review.raw_findings(*odd, widths))
+    assert rows_of(findings.agent_counts(review.raw_findings(*odd, widths, folded=True))) == rows_of(counts)
+    assert rows_of(review.reports(*odd, widths)) == rows_of(findings.review_reports(heads, single, counts))
 
 
 def shuffled(df):
@@ -81,3 +87,13 @@ def popular(spark):
 def test_final_findings_are_not_shuffled_one_by_one(spark, popular):
     final = review.review(*popular)
     assert len(final.collect()) == 9000 and shuffled(final) < 3000
+
+
+@pytest.mark.parametrize("texts, rows", [(review.reports, 30 * 151)])
+def test_texts_write_no_table_of_all_findings(spark, popular, texts, rows):
+    shared = spark.conf.get("spark.checkpoint.dir")
+    before = set(os.listdir(shared)) if os.path.isdir(shared) else set()
+    got = texts(*popular)
+    assert len(got.collect()) == rows
+    written = [spark.read.parquet(f"{shared}/{d}").count() for d in set(os.listdir(shared)) - before if not d.startswith(".")]
+    assert 0 < sum(written) < 3000
