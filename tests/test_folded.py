@@ -60,6 +60,7 @@ def test_same_results_as_one_by_one(spark, odd, title):
     counts = findings.agent_counts(review.raw_findings(*odd, widths))
     assert rows_of(findings.agent_counts(review.raw_findings(*odd, widths, folded=True))) == rows_of(counts)
     assert rows_of(review.reports(*odd, widths)) == rows_of(findings.review_reports(heads, single, counts))
+    assert rows_of(review.outbox(*odd, widths)) == rows_of(findings.comment_outbox(heads.drop("score_pts"), single))
 
 
 def shuffled(df):
@@ -89,7 +90,7 @@ def test_final_findings_are_not_shuffled_one_by_one(spark, popular):
     assert len(final.collect()) == 9000 and shuffled(final) < 3000
 
 
-@pytest.mark.parametrize("texts, rows", [(review.reports, 30 * 151)])
+@pytest.mark.parametrize("texts, rows", [(review.reports, 30 * 151), (review.outbox, 30)])
 def test_texts_write_no_table_of_all_findings(spark, popular, texts, rows):
     shared = spark.conf.get("spark.checkpoint.dir")
     before = set(os.listdir(shared)) if os.path.isdir(shared) else set()
